@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datalode.llm.packing import best_fit_pack
+from datalode.llm.suffixes import remove_repeats
 from datalode.llm.tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that start twice or more in the corpus."""
+    out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["b"] - s["a"]).cast("long")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return out.select(
+        "doc_id", size.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     packed = best_fit_pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -32,4 +43,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES |= {"op8_best_fit_packing": op8_best_fit_packing, "op9_token_counts": op9_token_counts}
+QUERIES |= {
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing, "op9_token_counts": op9_token_counts}
