@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from datalode.llm.jaccard import similar_groups
 from datalode.llm.packing import best_fit_pack
 from datalode.llm.suffixes import remove_repeats
 from datalode.llm.tokens import token_counts
@@ -43,6 +44,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similar_groups(docs, words=4, share=(85, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES |= {
+    "op10_ngram_jaccard": op10_ngram_jaccard,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_best_fit_packing": op8_best_fit_packing, "op9_token_counts": op9_token_counts}
