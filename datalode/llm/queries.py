@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datalode.llm.jaccard import similar_groups
+from datalode.llm.lm import language_scores
 from datalode.llm.packing import best_fit_pack
 from datalode.llm.suffixes import remove_repeats
 from datalode.llm.tokens import token_counts
@@ -20,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of those whose crc32(doc_id) mod 7 is not 2."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_scores(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of 400-byte strings that start twice or more in the corpus."""
     out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
@@ -51,6 +58,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
+    "op4_language_scores": op4_language_scores,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_best_fit_packing": op8_best_fit_packing, "op9_token_counts": op9_token_counts}
