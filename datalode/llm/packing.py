@@ -10,13 +10,14 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from datalode.llm.common import prepare
-from datalode.llm.tokens import _ODD, vocabulary_path
+from datalode.llm.tokens import _ODD, SIGNS, plain_word, symbols, vocabulary_path
 
 #: Words that a worker remembers.
 CACHE_ENTRIES = 400_000
@@ -63,25 +64,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, p: str) -> bytes:
+        """Ids of a piece given by its symbols."""
         out = self.pieces.get(p)
         if out is None:
-            out = self._ids(p)
+            out = np.array([t.id for t in self.model.tokenize(p)], "<u4").tobytes()
             if len(self.pieces) < CACHE_ENTRIES:
                 self.pieces[p] = out
         return out
 
     def _word(self, w: str) -> bytes:
-        base = w.rstrip(".,!?;:|")
-        if base.isascii() and base.isalpha():
-            out = self._piece(base.lower())
+        base = w.rstrip(SIGNS)
+        if plain_word(base):
+            out = self._piece(symbols(base.lower()))
             if len(base) < len(w):
                 out += self._piece(w[len(base) :])
         else:

@@ -11,6 +11,7 @@ last token of the prefix before it, and the prefix has one token more than that
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,24 @@ from datalode.llm.common import prepare
 #: Entries that a worker remembers; beyond that new words are counted but not kept.
 CACHE_ENTRIES = 500_000
 _END = "</w>"
+#: Runs that are one piece whatever stands beside them: composed letters with a lower case of one letter.
+plain_word = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Signs at the end of a run that make a piece of their own.
+SIGNS = ".,!?;:|"
+
+
+def _symbol_table() -> dict[int, int]:
+    """Byte-level symbols: visible Latin-1 signs stand for themselves, the other bytes for 256 and on, in order."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_SYMBOLS = _symbol_table()
+
+
+def symbols(piece: str) -> str:
+    """A piece as the vocabulary's symbols, one for each UTF-8 byte."""
+    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SYMBOLS)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -172,9 +191,9 @@ class TextCounter:
 
     def _word(self, w: str) -> int:
         """Tokens of a run without white space."""
-        base = w.rstrip(".,!?;:|")
-        if base.isascii() and base.isalpha():
-            n = self._piece(base.lower()) + (self._piece(w[len(base) :]) if len(base) < len(w) else 0)
+        base = w.rstrip(SIGNS)
+        if plain_word(base):
+            n = self._piece(symbols(base.lower())) + (self._piece(w[len(base) :]) if len(base) < len(w) else 0)
         else:
             n = self.plain_count(w)
         if len(self.words) < CACHE_ENTRIES:
