@@ -24,7 +24,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if labels is None:
             labels = step
         else:
-            moved = step.withColumnsRenamed({"node": "label", "label": "next"})
+            moved = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
             labels = written(labels.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label")), name)
         ends = both.join(step.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
         ends = ends.join(step.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")

@@ -262,5 +262,5 @@ def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return index.withColumns({"label": F.col("node"), "hub_label": F.col("hub")})
     index = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    hubs = labels.withColumnsRenamed({"node": "hub", "label": "hub_label"})
+    hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     return index.join(hubs, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
