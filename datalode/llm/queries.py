@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datalode.llm.jaccard import similar_groups
+from datalode.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from datalode.llm.lm import language_scores
 from datalode.llm.packing import best_fit_pack
 from datalode.llm.suffixes import remove_repeats
 from datalode.llm.tokens import token_counts
+from datalode.llm.urls import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +23,59 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Listed URL rules: verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's URL."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    out = filter_urls(pages, _table(spark, sf_dir, "labels"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("mined_tokens", " ").alias("mined_rule"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
+    out = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = "list_filter(regexp_split_to_array(lower({}), '" + _GAP + "'), lambda x: x <> '')"
+
+
+def _license_sql() -> str:
+    """Every line against every template, and every phrase at every word."""
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
+    templates = ", ".join(f"({i}, '{label}', '{t}')" for i, (label, t) in enumerate(TEMPLATES))
+    return f"""
+    WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, coalesce(text, '') AS text FROM documents),
+    p(phrase, label, n) AS (VALUES {phrases}),
+    b AS (SELECT doc_id, label, s - 1 AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d) x JOIN p
+          ON array_to_string(list_slice(w, s, s + n - 1), ' ') = phrase),
+    bl AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, list(DISTINCT label) AS ls FROM b GROUP BY 1),
+    t AS (SELECT i, label, list_distinct({_WORDS.format("t")}) AS tw FROM (VALUES {templates}) v(i, label, t)),
+    m AS (SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw) AS score
+          FROM (SELECT doc_id, list_distinct({_WORDS.format("line")}) AS lw
+                FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) y) l, t
+          WHERE len(list_intersect(lw, tw)) >= 0.85 * len(tw)),
+    ml AS (SELECT doc_id, max(score) AS score, list(DISTINCT label) AS ls FROM m GROUP BY 1)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(array_to_string(list_sort(bl.ls), ','), '') AS base_labels,
+           coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bl.ls, []), coalesce(ml.ls, [])))), ','), '') AS labels,
+           CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(ml.score, 0.0)::DOUBLE END AS score
+    FROM d LEFT JOIN bl USING (doc_id) LEFT JOIN ml USING (doc_id)"""
+
+
+ORACLES["op5_license_scan"] = _license_sql()
+
+
 def op4_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under a model of those whose crc32(doc_id) mod 7 is not 2."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +113,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
+    "op2_url_filters": op2_url_filters,
+    "op5_license_scan": op5_license_scan,
     "op4_language_scores": op4_language_scores,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op7_suffix_dedup": op7_suffix_dedup,
