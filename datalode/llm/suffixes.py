@@ -361,17 +361,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group
     texts = _keyed(docs.select(F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") >= length), "text")
     rows = "t1 long, t2 long, gram long, context long, place int, start int, windows int"
     anchors = written(texts.select("t1", "t2", "text").mapInArrow(_anchor_rows(length), rows), "anchors")
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    anchors = written(anchors.join(twice, "gram", "left_semi"), "anchors-repeated")
+    # Counts are written before they are joined, so that Spark can split a hot gram's rows on the other
+    # side, and all joins with texts are merge joins, whatever the size, so that plans are alike.
+    twice = written(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
+    anchors = written(anchors.join(twice.hint("merge"), "gram", "left_semi"), "anchors-repeated")
     contexts = anchors.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place", "start", "windows")).alias("at"))
     contexts = written(contexts, "contexts")
-    of_gram = contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    of_gram = written(contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "grams-mixed")
     equal = contexts.where("n > 1").select("gram", "context", F.lit(0).alias("a"), (F.col("at.windows") - 1 + length).alias("b"))
     asked = contexts.join(of_gram, "gram")
     # one text for each key, so that copies of a text give their contexts once
     asked = asked.groupBy("at.t1", "at.t2").agg(F.collect_list(F.struct("gram", "context", "m", F.col("at.place").alias("place"), F.col("at.start").alias("start"), F.col("at.windows").alias("windows"))).alias("asked"))
     cut = written(
-        texts.join(asked, ["t1", "t2"]).select("text", "asked").mapInArrow(_context_rows(length), "gram long, context long, at int, bytes binary").dropDuplicates(["gram", "context"]),
+        texts.join(asked.hint("merge"), ["t1", "t2"]).select("text", "asked").mapInArrow(_context_rows(length), "gram long, context long, at int, bytes binary").dropDuplicates(["gram", "context"]),
         "contexts-cut",
     )
     large = of_gram.where(F.col("m") > group).select("gram")
@@ -382,8 +384,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group
     shared = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     counted = windows.join(shared, ["h1", "h2"], "left_semi").select("gram", "context", F.col("off").alias("a"), (F.col("off") + length).alias("b"))
     covered = equal.unionByName(matched).unionByName(counted)
-    covered = covered.groupBy("gram", "context").agg(_union(F.collect_set(F.struct("a", "b"))).alias("spans"))
-    of_text = anchors.join(covered, ["gram", "context"]).select("t1", "t2", "start", F.explode("spans").alias("s"))
+    covered = written(covered.groupBy("gram", "context").agg(_union(F.collect_set(F.struct("a", "b"))).alias("spans")), "covered")
+    of_text = anchors.join(covered.hint("merge"), ["gram", "context"]).select("t1", "t2", "start", F.explode("spans").alias("s"))
     of_text = of_text.select("t1", "t2", F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")).alias("s"))
     return of_text.groupBy("t1", "t2").agg(_union(F.collect_set("s")).alias("spans"))
 
@@ -403,7 +405,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, group
     spans = written(repeated_spans(docs, text, length, group), "spans")
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     docs = docs.drop("spans", "kept").withColumns({"__t1": F.xxhash64(F.coalesce(text, F.lit(""))), "__t2": F.xxhash64(F.lit(1), F.coalesce(text, F.lit("")))})
-    out = docs.join(spans.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}), ["__t1", "__t2"], "left").drop("__t1", "__t2")
+    out = docs.join(spans.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}).hint("merge"), ["__t1", "__t2"], "left").drop("__t1", "__t2")
     if characters:
         out = out.withColumn("spans", whole_characters(text, "spans"))
     walk = F.aggregate(
