@@ -8,11 +8,7 @@ times in a block is sent once.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +56,3 @@ def borders(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where each bucket's share of the sorted keys of ``bits`` bits begins and ends."""
     step = (1 << bits) // buckets + 1
     return np.searchsorted(keys, np.array([step * i for i in range(buckets)] + [1 << bits], np.uint64))
-
-
-def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[pa.RecordBatch]]:
-    """The rows of a partition by block, the block in the first column."""
-    out: dict[int, list[pa.RecordBatch]] = defaultdict(list)
-    for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        for k in np.unique(ids).tolist():
-            out[k].append(b if ids[0] == k and (ids == k).all() else b.filter(pa.array(ids == k)))
-    return out

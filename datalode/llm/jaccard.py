@@ -19,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datalode.llm.blocks import block, blocks_of, borders, gathered, packed, planes, unpacked, unplanes
+from datalode.llm.blocks import block, blocks_of, borders, packed, planes, unpacked, unplanes
 from datalode.llm.common import chunks_of, mix, prepare, run_hashes, word_hashes, written
 from datalode.llm.components import components
 
@@ -46,36 +45,32 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return h, r
 
 
-def _block_shingles(batches: list[pa.RecordBatch], column: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row (over all batches) of the shingles of a block."""
-    hashes, rows, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    for b in batches:
-        for first, _, data, offsets in chunks_of(b.column(column)):
-            h, r = shingles(data, offsets, words)
-            hashes.append(h)
-            rows.append(r + base + first)
-        base += len(b)
+def _table_shingles(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of the shingles of a block, by row."""
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for first, _, data, offsets in chunks_of(table.column("text")):
+        h, r = shingles(data, offsets, words)
+        hashes.append(h)
+        rows.append(r + first)
     return np.concatenate(hashes), np.concatenate(rows)
 
 
 def _send(words: int, buckets: int):
     """What each block says of its tokens to each bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, rows in gathered(batches).items():
-            h, _ = _block_shingles(rows, 1, words)
-            keys, counts = np.unique(h >> np.uint64(64 - BITS), return_counts=True)
-            at = borders(keys, buckets, BITS)
-            full = np.flatnonzero(np.diff(at)).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(full, pa.int32()),
-                    pa.array([k] * len(full), pa.int32()),
-                    pa.array([packed(keys[at[i] : at[i + 1]]) for i in full], pa.binary()),
-                    pa.array([planes(counts[at[i] : at[i + 1]]) for i in full], pa.binary()),
-                ],
-                names=["bucket", "block", "keys", "counts"],
-            )
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h, _ = _table_shingles(table, words)
+        keys, counts = np.unique(h >> np.uint64(64 - BITS), return_counts=True)
+        at = borders(keys, buckets, BITS)
+        full = np.flatnonzero(np.diff(at)).tolist()
+        return pa.table(
+            {
+                "bucket": pa.array(full, pa.int32()),
+                "block": pa.array([key[0].as_py()] * len(full), pa.int32()),
+                "keys": pa.array([packed(keys[at[i] : at[i + 1]]) for i in full], pa.binary()),
+                "counts": pa.array([planes(counts[at[i] : at[i + 1]]) for i in full], pa.binary()),
+            }
+        )
 
     return run
 
@@ -97,7 +92,11 @@ def _answer(often: int):
 
 
 def entries(tokens: np.ndarray, kind: np.ndarray, missing: int, least: int, most: int) -> np.ndarray:
-    """What a text of the sorted ``tokens`` is indexed under; similar texts have ``least`` to ``most`` tokens."""
+    """What a text of the sorted ``tokens`` is indexed under; similar texts have ``least`` to ``most`` tokens.
+
+    No other text has the tokens that occur once: with more than ``missing`` of them nothing is similar."""
+    if not missing or np.count_nonzero(kind == 0) > missing:
+        return tokens[:0]
     rare = kind < 2
     alone, need = tokens[rare], missing + 1
     if len(alone) >= need:
@@ -123,38 +122,24 @@ def _index(words: int, share: tuple[int, int]):
     """Set size, node and entries of each text of a block; the text stays with those that have entries."""
     num, den = share
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in gathered(batches).values():
-            answers, docs = [], []
-            for b in rows:
-                told = b.column(3).is_valid()
-                answers += list(zip(b.column(3).filter(told).to_pylist(), b.column(4).filter(told).to_pylist(), strict=True))
-                docs.append(b.filter(pc.invert(told)))
-            docs = [b for b in docs if len(b)]
-            h, r = _block_shingles(docs, 2, words)
-            _, place = np.unique(h >> np.uint64(64 - BITS), return_inverse=True)
-            kinds = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for _, x in sorted(answers))])
-            kind = kinds[place]
-            order = np.argsort(r, kind="stable")
-            h, kind, r = h[order], kind[order], r[order]
-            base = 0
-            for b in docs:
-                at = np.searchsorted(r, np.arange(base, base + len(b) + 1))
-                base += len(b)
-                sizes, nodes, index = [], [], []
-                for i in range(len(b)):
-                    tokens, first = np.unique(h[at[i] : at[i + 1]], return_index=True)
-                    n = len(tokens)
-                    sizes.append(n)
-                    nodes.append(hashlib.md5(tokens.tobytes(), usedforsecurity=False).digest() if n else None)
-                    missing = (den - num) * n // den
-                    found = entries(tokens, kind[at[i] : at[i + 1]][first], missing, -(-num * n // den), den * n // num) if missing else tokens[:0]
-                    index.append(found.view(np.int64) if len(found) else None)
-                texts = pa.array([t if e is not None else None for t, e in zip(b.column(2).to_pylist(), index, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(1), texts, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(index, pa.list_(pa.int64()))],
-                    names=["id", "text", "n", "node", "entries"],
-                )
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        h, r = _table_shingles(docs, words)
+        _, place = np.unique(h >> np.uint64(64 - BITS), return_inverse=True)
+        kinds = [np.frombuffer(x, np.uint8) for x in told.sort_by("bucket").column("kinds").to_pylist()]
+        kind = np.concatenate([np.zeros(0, np.uint8), *kinds])[place]
+        at = np.searchsorted(r, np.arange(docs.num_rows + 1))
+        sizes, nodes, index = [], [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            tokens, first = np.unique(h[a:b], return_index=True)
+            n = len(tokens)
+            missing = (den - num) * n // den
+            found = entries(tokens, kind[a:b][first], missing, -(-num * n // den), den * n // num)
+            sizes.append(n)
+            nodes.append(hashlib.md5(tokens.tobytes(), usedforsecurity=False).digest() if n else None)
+            index.append(found.view(np.int64) if len(found) else None)
+        texts = pa.array([t if e is not None else None for t, e in zip(docs.column("text").to_pylist(), index, strict=True)], pa.string())
+        held = {"n": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.binary()), "entries": pa.array(index, pa.list_(pa.int64()))}
+        return pa.table({"id": docs.column("id"), "text": texts, **held})
 
     return run
 
@@ -214,14 +199,11 @@ def similar_groups(
     docs = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     count = blocks_of(docs, "text")
     docs = docs.withColumn("block", block(count, "id", "text"))
-    sent = docs.select("block", "text").repartition(count, "block").mapInArrow(_send(words, count), "bucket int, block int, keys binary, counts binary")
+    sent = docs.groupBy("block").applyInArrow(_send(words, count), "bucket int, block int, keys binary, counts binary")
     told = sent.groupBy("bucket").applyInArrow(_answer(often), "block int, bucket int, kinds binary")
-    none = F.lit(None)
-    rows = docs.select("block", "id", "text", none.cast("int").alias("bucket"), none.cast("binary").alias("kinds")).unionByName(
-        told.select("block", none.cast(docs.schema["id"].dataType).alias("id"), none.cast("string").alias("text"), "bucket", "kinds")
-    )
     kind = docs.schema["id"].dataType.simpleString()
-    sets = written(rows.repartition(count, "block").mapInArrow(_index(words, share), f"id {kind}, text string, n long, node binary, entries array<long>"), "sets")
+    columns = f"id {kind}, text string, n long, node binary, entries array<long>"
+    sets = written(docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_index(words, share), columns), "sets")
 
     nodes = sets.where("entries is not null").groupBy("node").agg(F.min(F.struct("id", "n", "entries")).alias("s"))
     index = nodes.select("node", "s.n", F.explode(F.array_distinct("s.entries")).alias("entry"))
