@@ -11,8 +11,10 @@ from datalode.llm.jaccard import similar_groups
 from datalode.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from datalode.llm.lm import language_scores
 from datalode.llm.packing import best_fit_pack
+from datalode.llm.quality import graded, score_quality
 from datalode.llm.suffixes import remove_repeats
 from datalode.llm.tokens import token_counts
+from datalode.llm.topk import exact_top_k
 from datalode.llm.urls import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +84,27 @@ def op4_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th vector with all others."""
+    return exact_top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+ORACLES["op3_exact_top_k"] = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5"""
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and the probability of the highest grade for every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", graded(F.col("quality"), F.col("toxic")).alias("grade"))
+    return score_quality(docs, labels).select("doc_id", "expected_grade", "p_tail", "keep")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of 400-byte strings that start twice or more in the corpus."""
     out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
@@ -113,6 +136,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
+    "op3_exact_top_k": op3_exact_top_k,
+    "op6_quality_classifier": op6_quality_classifier,
     "op2_url_filters": op2_url_filters,
     "op5_license_scan": op5_license_scan,
     "op4_language_scores": op4_language_scores,
