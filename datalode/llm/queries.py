@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
+from datalode.llm.decontaminate import mark_contaminated
 from datalode.llm.jaccard import similar_groups
 from datalode.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from datalode.llm.lm import language_scores
@@ -25,6 +28,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with its most similar window."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = mark_contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
+    return marked.select("doc_id", F.col("m.item").alias("item_id"), "m.similarity", "m.start_word", "m.n_words")
+
+
 #: Listed URL rules: verdict, host, path.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -136,6 +146,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
+    "pipeline": corpus_pipeline.run,
+    "op1_decontamination": op1_decontamination,
     "op3_exact_top_k": op3_exact_top_k,
     "op6_quality_classifier": op6_quality_classifier,
     "op2_url_filters": op2_url_filters,
