@@ -7,8 +7,8 @@ after the first in its class of neighbouring hashes. Seldom tokens of the prefix
 ones as pairs within their class, so a passage that many texts share makes no candidates by itself. Two
 similar texts share an indexed entry. Candidates are verified on their whole sets.
 
-Texts with equal sets are one node. Each node is first compared with one hub (the smallest node of an
-entry); after that only nodes of different components are, so large groups of copies cost one comparison
+Texts with equal sets are one node. Each node is first compared with one hub (of an entry's nodes the
+one with the smallest share of tokens that no other text has); after that only nodes of different components are, so large groups of copies cost one comparison
 per copy. Links between nodes of one component could not change the result.
 """
 
@@ -31,7 +31,7 @@ OFTEN = 16
 #: Bits of a token's hash that its count is kept by.
 BITS = 44
 #: Frequent tokens in a class, about.
-CLASS_TOKENS = 8
+CLASS_TOKENS = 4
 #: Members of a hub that one group compares with it.
 FAN = 1000
 
@@ -118,6 +118,19 @@ def entries(tokens: np.ndarray, kind: np.ndarray, missing: int, least: int, most
     return np.concatenate(out)
 
 
+#: Buckets of a set's sketch, and tokens that a bucket can hold (one byte in unary).
+SKETCH = 64
+
+
+def sketch(tokens: np.ndarray) -> tuple[np.ndarray, int]:
+    """Tokens per bucket in unary as 64-bit words, and how many found no room.
+
+    Two sets have at most (common bits) + (the smaller number without room) tokens in common."""
+    counts = np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=SKETCH)
+    full = np.minimum(counts, 8)
+    return ((1 << full) - 1).astype(np.uint8).view(np.int64), int((counts - full).sum())
+
+
 def _index(words: int, share: tuple[int, int]):
     """Set size, node and entries of each text of a block; the text stays with those that have entries."""
     num, den = share
@@ -128,17 +141,23 @@ def _index(words: int, share: tuple[int, int]):
         kinds = [np.frombuffer(x, np.uint8) for x in told.sort_by("bucket").column("kinds").to_pylist()]
         kind = np.concatenate([np.zeros(0, np.uint8), *kinds])[place]
         at = np.searchsorted(r, np.arange(docs.num_rows + 1))
-        sizes, nodes, index = [], [], []
+        sizes, alone, nodes, index, bits, over = [], [], [], [], [], []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             tokens, first = np.unique(h[a:b], return_index=True)
             n = len(tokens)
             missing = (den - num) * n // den
-            found = entries(tokens, kind[a:b][first], missing, -(-num * n // den), den * n // num)
+            own = kind[a:b][first]
+            found = entries(tokens, own, missing, -(-num * n // den), den * n // num)
             sizes.append(n)
+            alone.append(int(np.count_nonzero(own == 0)))
             nodes.append(hashlib.md5(tokens.tobytes(), usedforsecurity=False).digest() if n else None)
             index.append(found.view(np.int64) if len(found) else None)
+            held, more = sketch(tokens[own > 0]) if len(found) else (None, 0)
+            bits.append(held)
+            over.append(more)
         texts = pa.array([t if e is not None else None for t, e in zip(docs.column("text").to_pylist(), index, strict=True)], pa.string())
-        held = {"n": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.binary()), "entries": pa.array(index, pa.list_(pa.int64()))}
+        extra = {"bits": pa.array(bits, pa.list_(pa.int64())), "over": pa.array(over, pa.int64())}
+        held = extra | {"n": pa.array(sizes, pa.int64()), "alone": pa.array(alone, pa.int64()), "node": pa.array(nodes, pa.binary()), "entries": pa.array(index, pa.list_(pa.int64()))}
         return pa.table({"id": docs.column("id"), "text": texts, **held})
 
     return run
@@ -174,12 +193,12 @@ def _compare(words: int, share: tuple[int, int]):
 def verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
     """Those pairs (a, b) whose texts (by node) are similar. Large groups of one ``a`` are split."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs, "pairs")  # all joins with texts are merge joins, so that plans are alike at every size
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
     members = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), "fans").cast("int").alias("salt"), F.col("b").alias("node"))
     hubs = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.lit(None).cast("binary").alias("node"))
-    rows = members.join(texts, "node").select("a", "salt", "node", "text")
-    rows = rows.unionByName(hubs.join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", "node", "text"))
+    rows = members.join(texts.hint("merge"), "node").select("a", "salt", "node", "text")
+    rows = rows.unionByName(hubs.join(texts.withColumnRenamed("node", "a").hint("merge"), "a").select("a", "salt", "node", "text"))
     rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("node").asc_nulls_first())
     return rows.mapInArrow(_compare(words, share), "a binary, b binary")
 
@@ -202,16 +221,18 @@ def similar_groups(
     sent = docs.groupBy("block").applyInArrow(_send(words, count), "bucket int, block int, keys binary, counts binary")
     told = sent.groupBy("bucket").applyInArrow(_answer(often), "block int, bucket int, kinds binary")
     kind = docs.schema["id"].dataType.simpleString()
-    columns = f"id {kind}, text string, n long, node binary, entries array<long>"
+    columns = f"id {kind}, text string, bits array<long>, over long, n long, alone long, node binary, entries array<long>"
     sets = written(docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_index(words, share), columns), "sets")
 
-    nodes = sets.where("entries is not null").groupBy("node").agg(F.min(F.struct("id", "n", "entries")).alias("s"))
-    index = nodes.select("node", "s.n", F.explode(F.array_distinct("s.entries")).alias("entry"))
-    shared = index.groupBy("entry").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1")
-    index = written(index.join(shared.select("entry", "hub"), "entry"), "index")
+    nodes = sets.where("entries is not null").groupBy("node").agg(F.min(F.struct("id", "n", "alone", "entries")).alias("s"))
+    index = nodes.select("node", "s.n", "s.alone", F.explode(F.array_distinct("s.entries")).alias("entry"))
+    # the hub has the smallest share of tokens that only it has: copies with edits link to their original
+    first = F.min_by("node", F.struct(F.col("alone") / F.col("n"), F.col("node")))
+    shared = index.groupBy("entry").agg(F.count("*").alias("c"), first.alias("hub")).where("c > 1")
+    index = written(index.join(shared.select("entry", "hub").hint("merge"), "entry"), "index")
     # one text per node that shares an entry
     asked = index.select("node").distinct()
-    texts = sets.where("entries is not null").join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text")).alias("s"))
+    texts = sets.where("entries is not null").join(asked.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text")).alias("s"))
     texts = written(texts.select("node", "s.text"), "texts")
 
     links = None
@@ -226,9 +247,17 @@ def similar_groups(
     seen = _labelled(index, labels)
     mixed = seen.groupBy("entry").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("entry")
     left = written(seen.join(mixed, "entry", "left_semi").select("entry", "node", "n", "label"), "index-mixed")
-    other = left.select("entry", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label")))
+    sketches = sets.where("entries is not null").groupBy("node").agg(F.first(F.struct("bits", "over")).alias("s")).select("node", "s.bits", "s.over")
+    # plain columns, so that the condition stays small enough to be compiled
+    bits = [f"b{i}" for i in range(SKETCH // 8)]
+    left = left.join(sketches.hint("merge"), "node").select("entry", "node", "n", "label", "over", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits)))
+    other = left.select("entry", *(F.col(c).alias(f"{c}2") for c in left.columns if c != "entry"))
     num, den = share
-    close = (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & (den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
+    # a bound of the tokens in common; tokens that only one text has are not in the sketch
+    most = F.least("over", "over2")
+    for b in bits:
+        most += F.bit_count(F.col(b).bitwiseAND(F.col(f"{b}2")))
+    close = (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & ((den + num) * most >= num * (F.col("n") + F.col("n2")))
     pairs = left.join(other, "entry").where(close).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     links = links.unionByName(verified(pairs, texts, words, share))
     labels = components(links)
