@@ -119,10 +119,14 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), held], names=["grade", "features"])
 
 
-def trained(labelled: DataFrame, levels: int, sample: int = SAMPLE) -> Ordinal:
-    """A model of ``grade`` (0 to levels - 1) by ``text``, from at most ``sample`` rows in hash order."""
-    chosen = labelled.where(F.col("grade").isNotNull()).select("grade", "text").orderBy(F.xxhash64("text"), "grade").limit(sample)
-    got = chosen.mapInArrow(_featured, "grade int, features array<int>").toArrow()
+def trained(docs: DataFrame, labels: DataFrame, levels: int, sample: int = SAMPLE) -> Ordinal:
+    """A model of ``grade`` (0 to levels - 1) from the texts of at most ``sample`` labels in hash order.
+
+    Only the chosen labels (their number is the bound) are sent to the texts, which stay where they are;
+    an id that repeats may bring as many texts again, not more."""
+    chosen = labels.where(F.col("grade").isNotNull() & F.col("__id").isNotNull()).orderBy(F.xxhash64("__id"), "__id", "grade").limit(sample)
+    rated = docs.join(F.broadcast(chosen), "__id").select("grade", "text")
+    got = rated.mapInArrow(_featured, "grade int, features array<int>").limit(2 * sample).toArrow()
     grades = got.column("grade").to_numpy().astype(np.int64)
     lists = got.column("features").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -148,8 +152,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     prepare(docs.sparkSession)
     added = ["expected_grade", "p_tail", "keep"]
     docs = docs.drop(*added)
-    rated = docs.select(F.col(id).alias("__id"), F.coalesce(text, F.lit("")).alias("text")).join(labels.select(F.col(id).alias("__id"), "grade"), "__id")
-    model = trained(rated, levels, sample)
+    texts = docs.select(F.col(id).alias("__id"), F.coalesce(text, F.lit("")).alias("text"))
+    model = trained(texts, labels.select(F.col(id).alias("__id"), "grade"), levels, sample)
     weights = model.weights.astype(np.float32)
     thresholds = model.thresholds
     schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.DoubleType()), T.StructField(added[2], T.BooleanType())])
