@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datalode.plans import retrieval_queries  # noqa: F401
+from datalode.plans import llmops_queries, retrieval_queries, text_queries  # noqa: F401
 from datalode.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
