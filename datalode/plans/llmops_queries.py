@@ -97,10 +97,10 @@ def latency_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("model", F.explode(rows).alias("b")).select("model", "b.le", "b.n")
 
 
-@query("budget_status", f"WITH {_CALLS} , d AS (SELECT tenant_id, CAST(ts AS DATE) AS day, round(sum(cost_usd), 6) AS spent FROM priced GROUP BY ALL), l AS (SELECT *, CASE WHEN tenant_id % 10 = 0 THEN 100.0 ELSE 10.0 END::DOUBLE AS daily_limit FROM d) SELECT *, spent >= daily_limit AS blocked FROM l")
+@query("budget_status", f"WITH {_CALLS} , d AS (SELECT tenant_id, CAST(ts AS DATE) AS day, round(sum(cost_usd)::DECIMAL(20, 9), 6)::DOUBLE AS spent FROM priced GROUP BY ALL), l AS (SELECT *, CASE WHEN tenant_id % 10 = 0 THEN 100.0 ELSE 10.0 END::DOUBLE AS daily_limit FROM d) SELECT *, spent >= daily_limit AS blocked FROM l")
 def budget_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5, T5: tenant days over their budget; every tenth tenant is an admin."""
-    days = _calls(spark, sf_dir).groupBy("tenant_id", F.to_date("ts").alias("day")).agg(F.round(F.sum("cost_usd"), 6).alias("spent"))
+    days = _calls(spark, sf_dir).groupBy("tenant_id", F.to_date("ts").alias("day")).agg(L.rounded(F.sum("cost_usd"), 6).alias("spent"))
     limit = F.when(F.col("tenant_id") % 10 == 0, L.ADMIN_BUDGET).otherwise(L.DAILY_BUDGET)
     return days.withColumn("daily_limit", limit).withColumn("blocked", F.col("spent") >= F.col("daily_limit"))
 
