@@ -103,7 +103,7 @@ def greedy_chunks(docs: DataFrame, most: int = 512, overlap: int = 64, least: in
     is cut as a chunk of its own. Each gathered chunk begins with the last ``overlap`` tokens of the one
     before; gathered chunks under ``least`` tokens are dropped and leave the overlap as it was.
     """
-    own = F.transform(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda p: p != ""), lambda p: F.struct(p.alias("t"), F.size(_split(p)).alias("n")))
+    own = F.transform(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda p: p != ""), lambda p: F.struct(p.alias("t"), F.size(_split(p)).alias("n")))
     start = F.struct(
         F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("buf"), F.lit(0).alias("n"), F.lit("").alias("tail"),
     )
@@ -140,8 +140,8 @@ def _tail(text: Column, n: int) -> Column:
 
 def table_of(markdown: Column) -> Column:
     """A Markdown table as struct(headers, rows); null with fewer than two lines or without rows."""
-    lines = F.filter(F.transform(F.split(markdown, "\n"), F.trim), lambda x: x.startswith("|"))
-    cells = lambda line: F.transform(F.split(F.regexp_replace(F.regexp_replace(line, r"^\s*\|", ""), r"\|\s*$", ""), r"\|"), F.trim)
+    lines = F.filter(F.transform(F.split(markdown, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|"))
+    cells = lambda line: F.transform(F.split(F.regexp_replace(F.regexp_replace(line, r"^\s*\|", ""), r"\|\s*$", ""), r"\|"), lambda x: F.trim(x))
     headers = cells(lines[0])
     data = F.filter(F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1))), lambda x: ~x.rlike(r"^[-|: ]*$"))
     row = lambda line: F.map_from_arrays(headers, F.transform(headers, lambda h, i: F.coalesce(F.get(cells(line), i), F.lit(""))))

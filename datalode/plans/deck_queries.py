@@ -225,7 +225,7 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
               CASE WHEN x.n > 512 THEN [array_to_string(list_slice({_WORDS.format("x.buf[1]")}, 1, 512), ' ')] ELSE CAST([] AS VARCHAR[]) END),
             'buf': CASE WHEN x.n > 512 THEN CAST([] AS VARCHAR[]) ELSE x.buf END, 'n': CASE WHEN x.n > 512 THEN CAST(0 AS BIGINT) ELSE x.n END,
             'tail': CASE WHEN x.n > 512 THEN array_to_string(list_slice({_WORDS.format("x.buf[1]")}, 449, 512), ' ')
-                    WHEN len(acc.buf) > 0 AND len({_WORDS.format("acc.tail || ' ' || array_to_string(acc.buf, ' ')")}) >= 50 THEN array_to_string(list_slice({_WORDS.format("array_to_string(acc.buf, ' ')")}, -64, NULL), ' ') ELSE acc.tail END}} END,
+                    WHEN len(acc.buf) > 0 AND len({_WORDS.format("acc.tail || ' ' || array_to_string(acc.buf, ' ')")}) >= 50 THEN array_to_string(list_slice({_WORDS.format("array_to_string(acc.buf, ' ')")}, -64, -1), ' ') ELSE acc.tail END}} END,
       {{'out': CAST([] AS VARCHAR[]), 'buf': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT), 'tail': ''}}).out AS chunks FROM i)
     SELECT doc_id, CAST(len(chunks) AS BIGINT) AS chunks, md5(array_to_string(chunks, '||')) AS digest FROM r WHERE len(chunks) > 0""",
 )
