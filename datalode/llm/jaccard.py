@@ -94,8 +94,9 @@ def _answer(often: int):
 def entries(tokens: np.ndarray, kind: np.ndarray, missing: int, least: int, most: int) -> np.ndarray:
     """What a text of the sorted ``tokens`` is indexed under; similar texts have ``least`` to ``most`` tokens.
 
-    No other text has the tokens that occur once: with more than ``missing`` of them nothing is similar."""
-    if not missing or np.count_nonzero(kind == 0) > missing:
+    No other text has the tokens that occur once: with more than ``missing`` of them nothing is similar.
+    Where only an equal set would be similar there is nothing to index: equal sets are one node."""
+    if not missing and most == len(tokens) or np.count_nonzero(kind == 0) > missing:
         return tokens[:0]
     rare = kind < 2
     alone, need = tokens[rare], missing + 1
