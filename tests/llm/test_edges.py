@@ -225,15 +225,15 @@ def test_top_k(spark):
 def test_quality(spark, docs, none):
     r = random.Random(9)
     rows = []
-    for i in range(400):
+    for i in range(3000):
         words = [r.choice(WORDS[:300]) for _ in range(40)]
         grade = i % 3
         words += {0: ["nasty"] * 2, 1: ["###"] * 30, 2: []}[grade]
         r.shuffle(words)
         rows.append((i, " ".join(words), grade))
     data = spark.createDataFrame(rows, "doc_id long, text string, grade int")
-    out = score_quality(data.select("doc_id", "text", F.lit("x").alias("keep")), data.select("doc_id", "grade").where("doc_id < 300"))
-    held = out.join(data.select("doc_id", "grade"), "doc_id").where("doc_id >= 300").collect()
+    out = score_quality(data.select("doc_id", "text", F.lit("x").alias("keep")), data.select("doc_id", "grade").where("doc_id < 2500"))
+    held = out.join(data.select("doc_id", "grade"), "doc_id").where("doc_id >= 2500").collect()
     assert sum((x["grade"] == 2) == x["keep"] for x in held) > 0.95 * len(held)
     assert score_quality(docs, data.select("doc_id", "grade").limit(0)).count() == len(TEXTS)
     assert score_quality(none, data.select("doc_id", "grade")).count() == 0
