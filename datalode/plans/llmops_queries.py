@@ -74,7 +74,7 @@ def tenant_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cost_rollup",
-    f"""WITH {_CALLS} SELECT model, step, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, round(sum(cost_usd), 6) AS cost_usd, CAST(grouping(model, step) AS BIGINT) AS level
+    f"""WITH {_CALLS} SELECT model, step, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 6) AS cost_usd, CAST(grouping(model, step) AS BIGINT) AS level
     FROM priced GROUP BY ROLLUP (model, step)""",
 )
 def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ def model_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.routed(rows).groupBy("model_class", "plan", "model").agg(F.count("*").alias("n"))
 
 
-@query("trace_rollup", f"WITH {_CALLS} SELECT tenant_id AS parent_id, step, sum(input_tokens + output_tokens) AS tokens, round(sum(duration_secs), 6) AS duration, count(*) FILTER (step = 'error') AS errors FROM calls GROUP BY ALL")
+@query("trace_rollup", f"WITH {_CALLS} SELECT tenant_id AS parent_id, step, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, round(sum(duration_secs), 6) AS duration, count(*) FILTER (step = 'error') AS errors FROM calls GROUP BY ALL")
 def trace_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, time and errors of child calls by parent and step."""
     return _calls(spark, sf_dir).groupBy(F.col("tenant_id").alias("parent_id"), "step").agg(
