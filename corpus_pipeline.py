@@ -12,8 +12,10 @@ from datalode.llm.packing import best_fit_pack
 from datalode.llm.quality import graded, score_quality
 from datalode.llm.suffixes import remove_repeats
 
-#: Bytes of a passage that may not occur twice: some forty words, so passages of fifty are found.
+#: Bytes of a passage that may not occur twice: some forty words of usual length.
 REPEATED_BYTES = 256
+#: Words of a passage that may not occur twice, however short they are.
+REPEATED_WORDS = 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur elsewhere too; a document that loses everything goes."""
-    out = remove_repeats(docs, length=REPEATED_BYTES, characters=True)
+    out = remove_repeats(docs, length=REPEATED_BYTES, characters=True, words=REPEATED_WORDS)
     left = F.when(F.size("spans") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     out = out.where((F.size("spans") == 0) | (F.octet_length("kept") > 0))
     return out.withColumns({"text": left, "n_chars": F.when(F.size("spans") > 0, F.char_length(left).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)

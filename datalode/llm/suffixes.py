@@ -7,6 +7,9 @@ anchor's context is all windows that name it. Equal contexts repeat as a whole a
 compared. The different contexts of one gram are suffix-sorted to both sides of the gram by deep-shallow
 sorting: multikey quicksort to a shallow depth, then blind tries for groups that still agree. Grams with
 more different contexts than one task should hold are decided by counting the hash of each window.
+
+Runs of many words may be asked for too. Those of ``length`` bytes or more lie in windows; the shorter
+ones, few in most texts, are decided by counting the hash of each.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datalode.llm.common import BYTE, chunks_of, mix, prepare, text_of, written
+from datalode.llm.common import BYTE, IS_WORD, chunks_of, mix, prepare, text_of, written
 
 GRAM = 64
 #: Bytes that multikey quicksort looks at before blind tries take over.
@@ -185,12 +188,12 @@ def repeats(lefts: list[bytes], rights: list[bytes], length: int, agreed: int) -
 # -- anchors -------------------------------------------------------------------------------------
 
 
-def _doubled(data: np.ndarray, upto: int) -> dict[int, np.ndarray]:
+def _doubled(data: np.ndarray, upto: int, salt: int = 0) -> dict[int, np.ndarray]:
     """Hashes of all strings of 1, 2, 4 ... ``upto`` bytes; those that reach over the end are short."""
-    h, n, out = _EXACT[data], 1, {}
+    h, n, out = _EXACT[data] ^ np.uint64(salt * 0x5851F42D4C957F2D), 1, {}
     with np.errstate(over="ignore"):
         while n < upto:
-            longer = h * _DOUBLE[n.bit_length()]
+            longer = h * _DOUBLE[n.bit_length() + salt]
             if n < len(h):
                 longer[:-n] += h[n:]
             h, n = longer, 2 * n
@@ -337,6 +340,59 @@ def _window_rows(length: int):
     return run
 
 
+def word_runs_of(data: np.ndarray, offsets: np.ndarray, words: int, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of ``words`` whole words under ``length`` bytes of the texts of a chunk: row, start, end, two hashes."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    word = IS_WORD[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    first[edges], last[edges - 1] = word[edges], word[edges - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if len(starts) < words:
+        return none
+    starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    short = (ends <= offsets[row + 1]) & (ends - starts < length)
+    row, starts, ends = row[short], starts[short], ends[short]
+    if not len(row):
+        return none
+    hashes = []
+    for salt in (0, 1):
+        h = _doubled(data, GRAM, salt)[GRAM]
+        with np.errstate(over="ignore"):
+            total = (ends - starts).astype(np.uint64) * _DOUBLE[15]
+            for i in range(-(-length // GRAM)):
+                total = total * _DOUBLE[8 + salt] + h[np.minimum(starts + i * GRAM, ends - GRAM)]
+        hashes.append(mix(total).view(np.int64))
+    return row, starts - offsets[row], ends - offsets[row], *hashes
+
+
+def _word_rows(words: int, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, end, data, offsets in chunks_of(b.column(2)):
+                row, start, stop, h1, h2 = word_runs_of(data, offsets, words, length)
+                ids, at = b.slice(first, end - first), pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(ids.column(i).take(at) for i in (0, 1)), *(pa.array(x.astype(np.int32)) for x in (start, stop)), *(pa.array(x, pa.int64()) for x in (h1, h2))],
+                    names=["t1", "t2", "a", "b", "h1", "h2"],
+                )
+
+    return run
+
+
+def short_runs(docs: DataFrame, text: str, words: int, length: int) -> DataFrame:
+    """Byte spans ``s`` of each different text's runs of ``words`` words under ``length`` bytes that occur elsewhere too."""
+    # words are at least a byte each, with one between
+    texts = _keyed(docs.select(F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") >= 2 * words - 1), "text")
+    runs = texts.select("t1", "t2", "text").mapInArrow(_word_rows(words, length), "t1 long, t2 long, a int, b int, h1 long, h2 long")
+    runs = written(runs, "word-runs")
+    twice = written(runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "word-runs-repeated")
+    return runs.join(twice.hint("merge"), ["h1", "h2"], "left_semi").select("t1", "t2", F.struct("a", "b").alias("s"))
+
+
 def _union(spans: Column) -> Column:
     """Sorted stretches, with those that touch or overlap made one."""
     kind = "array<struct<a:int,b:int>>"
@@ -353,10 +409,12 @@ def _union(spans: Column) -> Column:
     )
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP) -> DataFrame:
-    """For each different text (by ``t1``, ``t2``) with repeated strings of ``length`` bytes, its byte spans."""
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, words: int | None = None) -> DataFrame:
+    """For each different text (by ``t1``, ``t2``) with repeated strings of ``length`` bytes or ``words`` whole words, its byte spans."""
     if not 256 <= length <= 416:  # a context, of up to 2 * length - 64 bytes, is hashed as three strings of 256
         raise ValueError("length must lie between 256 and 416")
+    if words is not None and 2 * words - 1 < GRAM:  # a run of words is hashed as strings of a gram's size
+        raise ValueError(f"words must be {GRAM // 2 + 1} or more")
     prepare(docs.sparkSession)
     texts = _keyed(docs.select(F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") >= length), "text")
     rows = "t1 long, t2 long, gram long, context long, place int, start int, windows int"
@@ -387,6 +445,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group
     covered = written(covered.groupBy("gram", "context").agg(_union(F.collect_set(F.struct("a", "b"))).alias("spans")), "covered")
     of_text = anchors.join(covered.hint("merge"), ["gram", "context"]).select("t1", "t2", "start", F.explode("spans").alias("s"))
     of_text = of_text.select("t1", "t2", F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")).alias("s"))
+    if words is not None:
+        of_text = of_text.unionByName(short_runs(docs, text, words, length))
     return of_text.groupBy("t1", "t2").agg(_union(F.collect_set("s")).alias("spans"))
 
 
@@ -394,15 +454,16 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)})
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, characters: bool = False, words: int | None = None) -> DataFrame:
     """Adds ``spans`` (array of (a, b) byte spans that repeat, merged) and ``kept`` (the other bytes).
 
-    A null text is empty; texts shorter than ``length`` bytes keep everything; repeated rows lose all that
-    lies in a repeated string. ``kept`` may cut a character of several bytes, unless ``characters`` is set:
+    A string repeats if it has ``length`` bytes, or ``words`` whole words where that is given, and starts
+    elsewhere too. A null text is empty; shorter texts keep everything; repeated rows lose all that lies in
+    a repeated string. ``kept`` may cut a character of several bytes, unless ``characters`` is set:
     then characters that lie only partly in a span stay. Columns of these names are replaced; all other
     columns stay.
     """
-    spans = written(repeated_spans(docs, text, length, group), "spans")
+    spans = written(repeated_spans(docs, text, length, group, words), "spans")
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     docs = docs.drop("spans", "kept").withColumns({"__t1": F.xxhash64(F.coalesce(text, F.lit(""))), "__t2": F.xxhash64(F.lit(1), F.coalesce(text, F.lit("")))})
     out = docs.join(spans.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}).hint("merge"), ["__t1", "__t2"], "left").drop("__t1", "__t2")

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from datalode.llm.decontaminate import mark_contaminated
 from datalode.llm.jaccard import entries, similar_groups
 from datalode.llm.licenses import scan_licenses
@@ -121,6 +122,35 @@ def test_repeats(docs, none, group):
             bytes(r["kept"]).decode()
 
 
+def test_repeated_words_under_the_bytes(spark):
+    """Runs of 51 short words go though they have fewer bytes than a window; runs of 50 stay."""
+    r = random.Random(8)
+    short = lambda n: " ".join(r.choice("abcdefgh") + r.choice(["", "é"]) for _ in range(n))
+    passage, less = short(60), short(50)
+    assert len(passage.encode()) < 256
+    texts = [f"{prose(30, i)}\n{passage} {prose(9, i + 9)} {less}" for i in range(3)] + [passage, less, short(300), None, " ".join("a" * 51), " ".join("a" * 51)]
+    for _ in range(3):
+        body = short(90)
+        texts += [body, short(20) + " " + body[10:140] + " " + short(20)]
+    ends = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    bodies = [(t or "").encode() for t in texts]
+    runs = [[(e[i][0], e[i + 50][1]) for i in range(len(e) - 50)] for e in ends]
+    seen = Counter(b[x:y] for b, e in zip(bodies, runs, strict=True) for x, y in e)
+    seen.update(b[p : p + 256] for b in bodies for p in range(len(b) - 255))
+    want = []
+    for b, e in zip(bodies, runs, strict=True):
+        gone = np.zeros(len(b), bool)
+        for x, y in [*e, *((p, p + 256) for p in range(len(b) - 255))]:
+            if seen[b[x:y]] > 1:
+                gone[x:y] = True
+        want.append(bytes(x for x, g in zip(b, gone, strict=True) if not g))
+    assert want[3] == want[7] == b"" and want[4] == less.encode() and passage.encode() not in want[0] and less.encode() in want[0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [bytes(x["kept"]) for x in remove_repeats(docs, length=256, words=51).orderBy("doc_id").collect()] == want
+    left = corpus_pipeline.repeated_passages(spark, docs.withColumn("n_chars", F.char_length("text").cast("long")), "").collect()
+    assert {x["doc_id"]: x["text"] for x in left} == {i: None if t is None else w.decode() for i, (t, w) in enumerate(zip(texts, want, strict=True)) if w or not t}
+
+
 def test_deep_shallow_and_contexts():
     r = random.Random(5)
     for _ in range(60):
