@@ -65,10 +65,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Ordinal:
-    """Weights shared by all grades, and ordered thresholds."""
+    """Weights shared by all grades, ordered thresholds, and the number of grades they come from."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    seen: int = 0
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > g) for each g, one column per threshold."""
@@ -107,7 +108,7 @@ def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, levels: int,
             t[k] = -(d_up / p)[grades == k].sum() / n + (d_down / p)[grades == k + 1].sum() / n
         t_sums += t * t
         thresholds = np.maximum.accumulate(thresholds - 0.1 / np.sqrt(t_sums) * t + np.arange(levels - 1) * 1e-9)
-    return Ordinal(weights, thresholds)
+    return Ordinal(weights, thresholds, len(grades))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     """Adds ``expected_grade``, ``p_tail`` (P(grade = highest)) and ``keep`` (p_tail >= tail) to every row.
 
     ``labels`` has the id and ``grade``. A document with several labels counts for each. A null text is
-    empty. Without any label all scores come from the start values and every row is kept. The model is
+    empty. Without any usable label (of a grade, for an id that
+    is there) all scores come from the start values and every row is kept. The model is
     fitted on the driver from ``sample`` rows at most and sent to all tasks (2 MB); no shuffle follows.
     Columns of these names are replaced.
     """
@@ -155,7 +157,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     texts = docs.select(F.col(id).alias("__id"), F.coalesce(text, F.lit("")).alias("text"))
     model = trained(texts, labels.select(F.col(id).alias("__id"), "grade"), levels, sample)
     weights = model.weights.astype(np.float32)
-    thresholds = model.thresholds
+    thresholds, fitted = model.thresholds, model.seen > 0
     schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.DoubleType()), T.StructField(added[2], T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +168,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
                 r, c = features(data, offsets)
                 scores.append(np.bincount(r, weights=ready.weights[c], minlength=end - first))
             tails = ready.tails(np.concatenate(scores))
-            new = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= tail)]
+            new = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array((tails[:, -1] >= tail) | (not fitted))]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added])
 
     return docs.mapInArrow(run, schema)

@@ -269,6 +269,15 @@ def test_quality(spark, docs, none):
     assert score_quality(none, data.select("doc_id", "grade")).count() == 0
 
 
+def test_quality_without_usable_labels_keeps_every_row(spark, docs, none):
+    empty = spark.createDataFrame([], "doc_id long, grade int")
+    for labels in (empty, spark.createDataFrame([(1, None)], empty.schema), spark.createDataFrame([(-5, 2), (None, 1)], empty.schema)):
+        for tail in (0.5, 0.9):
+            rows = score_quality(docs, labels, tail=tail).collect()
+            assert len(rows) == len(TEXTS) and all(x["keep"] for x in rows)
+    assert score_quality(none, empty).count() == 0
+
+
 def test_words_split_like_the_pattern():
     from datalode.llm.common import chunks_of, word_hashes
     import pyarrow as pa
