@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 #: ASCII letters only: other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "verdict:block"
-#: Most tokens of a kind (folders, query keys) that a URL gives; with the support it bounds the itemsets.
-PER_KIND = 3
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -33,11 +31,11 @@ def listed(host: str, path: str, rules: Sequence[tuple[str, str, str]]) -> tuple
 
 
 def url_tokens(url: str, host: str, path: str) -> Column:
-    """Tokens of a URL: scheme, host parts, folders, file ending, query keys, fragment."""
+    """Tokens of a URL: scheme, host parts, all parts of the path, file ending, all query keys, fragment."""
     labels = F.split(F.col(host), r"\.")
-    folders = F.filter(F.slice(F.split(F.col(path), "/"), 2, PER_KIND), lambda x: x.rlike("^[^0-9.]+$"))
+    folders = F.filter(F.split(F.col(path), "/"), lambda x: x != "")
     query = F.regexp_extract(F.col(url), r"^[^?#]*\?([^#]*)", 1)
-    keys = F.slice(F.filter(F.transform(F.split(query, "&"), lambda x: F.split_part(x, F.lit("="), F.lit(1))), lambda x: x != ""), 1, PER_KIND)
+    keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.split_part(x, F.lit("="), F.lit(1))), lambda x: x != "")
     ending = F.regexp_extract(F.col(path), r"\.([A-Za-z]{1,5})$", 1)
     some = lambda kind, c: F.when(c != "", F.concat(F.lit(kind + ":"), c))
     one = F.array(
@@ -54,15 +52,33 @@ def url_tokens(url: str, host: str, path: str) -> Column:
     return F.when(F.col(host) == "", F.array().cast("array<string>")).otherwise(F.coalesce(tokens, F.array().cast("array<string>")))
 
 
-def mined_rules(labelled: DataFrame, support: float, confidence: float, least: int) -> DataFrame:
-    """Token combinations (``tokens``, ``confidence``, ``support``) that mean block.
+def token_classes(lists: DataFrame, least: float) -> DataFrame:
+    """Each ``token`` of ``least`` rows or more, and the first of the tokens that lie in the same rows (``kind``).
+
+    ``lists`` has the different ``tokens`` and their number of rows ``n``."""
+    one = lists.select(F.explode("tokens").alias("token"), "n", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"))
+    often = one.groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).where(F.col("n") >= least)
+    same = often.groupBy("n", "h1", "h2").agg(F.collect_list("token").alias("tokens"), F.min("token").alias("kind"))
+    return same.select(F.explode("tokens").alias("token"), "kind")
+
+
+def mined_rules(labelled: DataFrame, support: float, confidence: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """Token combinations (``tokens``, ``confidence``, ``support``) that mean block, and what stands for each token (``token``, ``kind``).
 
     ``labelled`` has ``tokens`` and ``bad``. A rule holds for at least ``least`` bad rows. A rule with a shorter one inside it that is at least as sure
-    is left out. At most 2^(tokens of a URL) / support combinations exist, whatever the input's size.
+    is left out. So tokens that lie in the same rows never meet in a rule and take each other's place in it; one stands for all. Rarer tokens than
+    the support are dropped before. The number of combinations grows with the tokens that are frequent together in different rows.
     """
-    baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    count = baskets.count()
+    lists = labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+    count = labelled.count()
     support = min(1.0, max(support, least / max(1, count)))
+    kinds = token_classes(lists, support * count).persist()  # at most a URL's mean number of tokens / support
+    one = lists.select("tokens", "n", "n_bad", F.explode("tokens").alias("token")).join(F.broadcast(kinds), "token", "left")
+    rows = one.groupBy("tokens", "n", "n_bad").agg(F.collect_set("kind").alias("items"))
+    # as many rows again as before, a thousand at a time
+    rows = rows.select("items", "n", "n_bad", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(1000))).alias("first"))
+    rows = rows.select("items", "n_bad", F.explode(F.sequence("first", F.least(F.col("first") + 999, F.col("n") - 1))).alias("i"))
+    baskets = rows.select(F.when(F.col("i") < F.col("n_bad"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.lit(count >= least) & (F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
@@ -71,7 +87,7 @@ def mined_rules(labelled: DataFrame, support: float, confidence: float, least: i
     longer = rules.withColumn("token", F.explode("tokens"))
     inside = (F.size("t") < F.size("tokens")) & (F.size(F.array_except("t", "tokens")) == 0) & (F.col("c") >= F.col("confidence"))
     redundant = longer.join(inner, "token").where(inside).select("tokens").distinct()
-    return rules.join(redundant, "tokens", "left_anti")
+    return rules.join(redundant, "tokens", "left_anti"), kinds
 
 
 def filter_urls(
@@ -101,15 +117,20 @@ def filter_urls(
     parts = pages.select(F.col(id).alias("__id"), F.col(url).alias("url")).withColumns({"host": host, "path": path})
     parts = parts.withColumn("tokens", url_tokens("url", "host", "path"))
     marks = labels.select(F.col(label_id).alias("__id"), F.coalesce(bad, F.lit(False)).alias("bad"))
-    mined = mined_rules(parts.join(marks, "__id").where(F.size("tokens") > 0).select("tokens", "bad"), support, confidence, least)
+    mined, kinds = mined_rules(parts.join(marks, "__id").where(F.size("tokens") > 0).select("tokens", "bad"), support, confidence, least)
 
     urls = parts.where(F.col("url").isNotNull() & (F.size("tokens") > 0)).select("url", "tokens").distinct()
-    one = urls.select("url", "tokens", F.explode("tokens").alias("token"))
-    each = mined.select(F.col("tokens").alias("mined_tokens"), "confidence", F.explode("tokens").alias("token"))
-    often = one.join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = each.join(often, "token").groupBy("mined_tokens", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    hits = one.join(rarest, "token").where(F.size(F.array_except("mined_tokens", "tokens")) == 0)
-    best = hits.groupBy("url").agg(F.max(F.struct(F.col("confidence").alias("mined_confidence"), "mined_tokens")).alias("m"))
+    each = mined.select("tokens", "confidence", F.explode("tokens").alias("kind"))
+    asked = kinds.join(each.select("kind").distinct(), "kind", "left_semi")
+    # of the tokens that take each other's place the last names the rule
+    one = urls.select("url", F.explode("tokens").alias("token")).join(F.broadcast(asked), "token").groupBy("url", "kind").agg(F.max("token").alias("token"))
+    often = one.groupBy("kind").agg(F.count("*").alias("n"))
+    rarest = each.join(often, "kind").groupBy("tokens", "confidence").agg(F.min_by("kind", F.struct("n", "kind")).alias("kind"))
+    held = one.groupBy("url").agg(F.map_from_entries(F.collect_list(F.struct("kind", "token"))).alias("held"))
+    hits = held.select("url", "held", F.explode(F.map_keys("held")).alias("kind")).join(rarest, "kind")
+    hits = hits.where(F.size(F.array_except("tokens", F.map_keys("held"))) == 0)
+    hits = hits.select("url", F.array_sort(F.transform("tokens", lambda x: F.col("held")[x])).alias("mined_tokens"), F.col("confidence").alias("mined_confidence"))
+    best = hits.groupBy("url").agg(F.max(F.struct("mined_confidence", "mined_tokens")).alias("m"))
     out = pages.withColumns({"host": host, "path": path})
     rule, verdict = listed("host", "path", rules)
     out = out.withColumns({"rule": rule, "__listed": verdict}).join(best.withColumnRenamed("url", "__url"), F.col(url) == F.col("__url"), "left")

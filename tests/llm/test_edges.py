@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -240,6 +241,48 @@ def test_urls(spark):
     assert filter_urls(bad.limit(0), marks.limit(0), rules).count() == 0
 
 
+def test_urls_of_any_depth(spark):
+    """Folders at any depth and query keys at any place are learnt and found; few itemsets for keys that come together."""
+    many = "&".join(f"k{i}=1" for i in range(30))
+    urls = {
+        "deep": ["http://h.org/a/b/c/{0}/x", "bad", "good"],
+        "key": ["http://i.org/p?a=1&b=2&c=3&{0}=4", "spam", "fine"],
+        "digits": ["http://j.org/{0}/x", "v2.1", "v3.0"],
+        "many": ["http://{0}.org/?" + many, "k", "l"],
+    }
+    rows = [(f.format(w) + f"#{i}", i % 2) for f, *ws in urls.values() for i in range(120) for w in [ws[1 - i % 2]]]
+    pages = spark.createDataFrame([(n, u) for n, (u, _) in enumerate(rows)] + [(9999, "http://z.org/q/w/e/r/t/bad"), (9998, "http://z.org/w/good")], "page_id long, url string")
+    marks = spark.createDataFrame([(n, 1, bad) for n, (_, bad) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in filter_urls(pages, marks, []).collect()}
+    assert [got[n]["verdict"] for n in range(len(rows))] == ["block" if bad else "allow" for _, bad in rows]
+    assert (got[9999]["verdict"], got[9999]["mined_tokens"], got[9998]["verdict"]) == ("block", ["folder:bad"], "allow")
+
+
+def test_mined_rules_are_those_of_all_itemsets(spark):
+    r = random.Random(21)
+    rows = []
+    for i in range(300):
+        keys = [k for k in "abcd" if r.random() < 0.5]
+        keys += ["e", "f"] if "a" in keys else []  # e and f lie in the rows of a
+        rows.append((i, f"http://h.org/?{'&'.join(keys)}", int(r.random() < (0.95 if {"b", "a"} <= set(keys) else 0.3))))
+    rows += [(300, "http://h.org/?b&f", 0), (301, "http://h.org/?e&b&c", 0)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    marks = spark.createDataFrame([(i, 1, bad) for i, _, bad in rows[:300]], "doc_id long, quality int, toxic int")
+    got = filter_urls(pages, marks, []).collect()
+    common = {"scheme:http", "host:h.org", "site:h.org", "zone:org"}
+    sets = {i: common | {f"key:{k}" for k in u.split("?")[1].split("&") if k} for i, u, _ in rows}
+    rules = {}
+    for n in range(1, 11):
+        for c in combinations(sorted(set().union(*sets.values())), n):
+            bads = [bad for i, _, bad in rows[:300] if sets[i] >= set(c)]
+            if sum(bads) >= 25 and sum(bads) / len(bads) >= 0.6 and not any(set(x) < set(c) and rules[x] >= sum(bads) / len(bads) for x in rules):
+                rules[c] = sum(bads) / len(bads)
+    assert rules
+    for g in got:
+        best = max(((p, list(c)) for c, p in rules.items() if sets[g["page_id"]] >= set(c)), default=(None, None))
+        assert (g["mined_confidence"], g["mined_tokens"]) == (pytest.approx(best[0]) if best[0] else None, best[1])
+
+
 def test_top_k(spark):
     r = random.Random(2)
     rows = [(i, [r.uniform(-1, 1) * (1 + i % 3) for _ in range(8)]) for i in range(300)]
