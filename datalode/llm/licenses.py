@@ -65,12 +65,14 @@ def phrase_columns(text: Column, phrases: Mapping[str, str]) -> dict[str, Column
 
 
 def template_blocks(texts: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """Lines (``t1``, ``t2`` of their text, ``block``) that hold the share ``threshold`` of a template's words.
+    """Lines (``t1``, ``t2`` of their text, ``block`` to ``last``) that hold the share ``threshold`` of a template's words.
 
-    ``texts`` has t1, t2 and text. Words are ordered by how often the whole corpus has them. A line must
+    A block is one line, or, for notices that are wrapped, a run of as many words as the longest template
+    has, over two lines or more. ``texts`` has t1, t2 and text. Words are ordered by how often the whole corpus has them. A block must
     hold a word of a template's prefix; it must have enough words of the templates, and from the first
     common word on enough must follow on both sides.
     """
+    most = max((len(t.replace(".", " ").split()) for _, t in templates), default=1)
     sets = [(label, sorted(set(" ".join(t.lower().replace(".", " ").split()).split()))) for label, t in templates]
     vocabulary = sorted({w for _, t in sets for w in t})
     words = F.filter(F.split(small(F.col("text")), GAP), lambda w: w.isin(vocabulary))
@@ -90,15 +92,35 @@ def template_blocks(texts: DataFrame, templates: Sequence[tuple[str, str]], thre
     lines = some.select("t1", "t2", F.posexplode(F.split("text", "\n")).alias("block", "line"))
     lines = lines.where(small(F.col("line")).rlike("|".join(seen) if seen else "$^"))
     held = F.filter(F.array_distinct(F.split(small(F.col("line")), GAP)), lambda w: w.isin(vocabulary))
-    lines = lines.select("t1", "t2", "block", F.array_sort(F.transform(held, lambda w: rank_of[w])).alias("own"))
-    lines = lines.where(F.size("own") >= min((r[3] for r in rows), default=1))
+    lines = lines.select("t1", "t2", "block", F.col("block").alias("last"), F.array_sort(F.transform(held, lambda w: rank_of[w])).alias("own"))
+    fewest = min((r[3] for r in rows), default=1)
+    lines = lines.unionByName(_runs(some, vocabulary, rank_of, [order[w] for w in seen], most, fewest))
+    lines = lines.where(F.size("own") >= fewest)
     each = lines.select("*", F.posexplode("own").alias("j", "rank"))
     found = each.join(F.broadcast(index), "rank").where(F.size("own") >= F.col("least"))
     follow = 1 + F.least(F.size("ranks") - F.col("i") - 1, F.size("own") - F.col("j") - 1)
     found = found.where(follow >= F.col("least") - F.least("i", "j"))
     both = F.size(F.array_intersect("own", "ranks"))
     found = found.where(both >= F.col("least"))
-    return found.groupBy("t1", "t2", "block", "label").agg(F.max(both / F.size("ranks")).alias("score"))
+    found = found.select("t1", "t2", "block", "last", "label", (both / F.size("ranks")).alias("score"))
+    # of the blocks that end, then of those that begin at a line, the shortest of the best
+    found = found.groupBy("t1", "t2", "label", "last").agg(F.max(F.struct("score", "block")).alias("b"))
+    found = found.select("t1", "t2", "label", "last", "b.score", "b.block").groupBy("t1", "t2", "label", "block")
+    return found.agg(F.max(F.struct("score", (-F.col("last")).alias("back"))).alias("b")).select("t1", "t2", "block", (-F.col("b.back")).alias("last"), "label", "b.score")
+
+
+def _runs(texts: DataFrame, vocabulary: Sequence[str], rank_of: Column, rare: Sequence[int], most: int, fewest: int) -> DataFrame:
+    """Runs of ``most`` words over two lines or more, from each word of the vocabulary on, that hold a rare one."""
+    per_line = lambda line, k: F.transform(F.filter(F.split(small(line), GAP), lambda w: w != ""), lambda w: F.struct(w.alias("word"), k.alias("line")))
+    words = texts.select("t1", "t2", F.flatten(F.transform(F.split("text", "\n"), per_line)).alias("words"))
+    own = F.transform("words", lambda x, i: F.when(x["word"].isin(list(vocabulary)), F.struct(i.alias("at"), x["line"].alias("line"), rank_of[x["word"]].alias("rank"))))
+    words = words.select("t1", "t2", F.filter(own, lambda x: x.isNotNull()).alias("own"))
+    words = words.where(F.size(F.array_distinct(F.transform("own", lambda x: x["rank"]))) >= fewest)
+    run = F.transform("own", lambda x, j: F.filter(F.slice(F.col("own"), j + 1, F.lit(most)), lambda y: y["at"] < x["at"] + most))
+    wrapped = lambda r: (F.size(r) >= fewest) & (r[0]["line"] < F.element_at(r, -1)["line"]) & F.exists(r, lambda y: y["rank"].isin(list(rare)))
+    words = words.select("t1", "t2", F.explode(F.filter(run, wrapped)).alias("run"))
+    ranks = F.array_sort(F.array_distinct(F.transform("run", lambda y: y["rank"])))
+    return words.select("t1", "t2", F.col("run")[0]["line"].alias("block"), F.element_at("run", -1)["line"].alias("last"), ranks.alias("own"))
 
 
 def scan_licenses(
@@ -110,7 +132,8 @@ def scan_licenses(
 ) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and blocks to every row.
 
-    ``blocks`` lists the lines (from 0) that hold enough of a template, with label and score. ``score`` is
+    ``blocks`` lists the lines (from 0), and the runs of lines (``block`` to ``last``), that hold enough of a
+    template, with label and score; a run may begin or end a line beside its notice. ``score`` is
     1 if a phrase occurs, else the best of the blocks, else 0. A null text is empty: no words, no labels,
     null positions, empty strings. Repeated rows get equal results. Columns of these names are replaced.
     """
@@ -119,7 +142,7 @@ def scan_licenses(
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(whole.alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     found = template_blocks(texts, templates, threshold).groupBy("t1", "t2").agg(
-        F.array_sort(F.collect_set(F.struct("block", "label", "score"))).alias("blocks")
+        F.array_sort(F.collect_set(F.struct("block", "last", "label", "score"))).alias("blocks")
     )
     columns = phrase_columns(whole, phrases)
     out = docs.withColumns({"__spaced": columns.pop("__spaced"), "__t1": F.xxhash64(whole), "__t2": F.xxhash64(F.lit(1), whole)}).withColumns(columns)

@@ -226,6 +226,20 @@ def test_licenses(spark, none):
     assert scan_licenses(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Notices over several lines, with comment signs, among other text; words too far apart are no notice."""
+    mit = "# Permission is hereby granted, free of charge, to any\n# person obtaining a copy of this software and associated\n# documentation files"
+    gpl = "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General\nPublic License version 3"
+    bsd = "prose before it. Redistribution and use in source\n\n * and binary forms, with or without modification, are\r\npermitted provided that the following conditions are met: more"
+    far = "released " + prose(30, 1) + " under\n" + prose(30, 2) + " the mit\n license"
+    one = "Released under the MIT License\nnext line"
+    texts = [mit, prose(90, 3) + "\n" + gpl + "\n" + prose(90, 4), bsd, far, one, "licensed\nunder\ncc\nby\nnc\n4.0", mit.replace("\n#", " "), gpl.replace("version", "or").replace("terms", "rules")]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in rows] == ["mit", "gpl-3", "bsd-3", "", "mit", "cc-by-nc", "mit", "gpl-3"]
+    assert [r["score"] for r in rows[:6]] == [1.0, 1.0, 1.0, 0.0, 1.0, 1.0] and 0.85 <= rows[7]["score"] < 1
+    assert [[(b["block"], b["last"]) for b in r["blocks"]] for r in rows if r["doc_id"] in (0, 4)] == [[(0, 2)], [(0, 0)]]
+
+
 def test_urls(spark):
     urls = ["http://a.Example.com/en/x", "https://www.example.com/en/1", "ftp://b.net/es/", "b.net/fr/", None, "http://EXAMPLE.com?x=/en/", "http://"]
     pages = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, host string")
