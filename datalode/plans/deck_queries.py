@@ -230,7 +230,7 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, CAST(len(chunks) AS BIGINT) AS chunks, md5(array_to_string(chunks, '||')) AS digest FROM r WHERE len(chunks) > 0""",
 )
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy chunks of every document with overlaps, as a digest per document."""
+    """W3, W4, F5, and of W2 the rules for plain lines, of A10 the count: greedy chunks of every document with overlaps, as a digest per document."""
     chunks = P.greedy_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.md5(F.array_join(parts, "||")).alias("digest"))
