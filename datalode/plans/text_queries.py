@@ -215,7 +215,7 @@ def profile_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _topic_sql(column: str) -> str:
-    ranks = [f"({' + '.join(f'CAST(contains({column}, \'{w}\') AS INT)' for w in words.split('|'))})" for words in X.TOPICS.values()]
+    ranks = [f"({' + '.join(f'CAST(contains({column}, \'{w}\') AS INT)' for w in words)})" for words in X.TOPICS.values()]
     names = list(X.TOPICS)
     best = f"greatest({', '.join(ranks)})"
     return f"CASE WHEN {best} = 0 THEN 'general' {' '.join(f'WHEN {r} = {best} THEN \'{n}\'' for r, n in zip(ranks, names, strict=True))} END"
