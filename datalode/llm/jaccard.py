@@ -8,8 +8,16 @@ ones as pairs within their class, so a passage that many texts share makes no ca
 similar texts share an indexed entry. Candidates are verified on their whole sets.
 
 Texts with equal sets are one node. Each node is first compared with one hub (of an entry's nodes the
-one with the smallest share of tokens that no other text has); after that only nodes of different components are, so large groups of copies cost one comparison
-per copy. Links between nodes of one component could not change the result.
+one with the smallest share of tokens that no other text has); after that only entries with nodes of different
+components are left, so large groups of copies cost one comparison per copy. Links between nodes of one component
+could not change the result.
+
+What is left are small groups, whose members are compared with each other, and families of texts that are all near a hub but not near enough. Their tokens tell nothing, as all
+have most of them; what tells them apart is where they differ from the hub. Each is compared with its hub once
+and stands for the set of its differences: A and B differ in exactly those that only one of them has. Of two
+similar ones that no component holds yet at least one is not similar to the hub, so they have differences in
+common, and enough of them for a prefix over the rarest: the prefixes of the one with fewer differences are
+joined with all differences of the other. A pair's number of common differences decides it exactly.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datalode.llm.blocks import block, blocks_of, borders, packed, planes, unpacked, unplanes
+from datalode.llm.blocks import Exchange, block, blocks_of, planes, values_of
 from datalode.llm.common import chunks_of, mix, prepare, run_hashes, word_hashes, written
 from datalode.llm.components import components
 
@@ -55,38 +63,23 @@ def _table_shingles(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def _send(words: int, buckets: int):
-    """What each block says of its tokens to each bucket."""
+def _send(words: int, exchange: Exchange):
+    """What each block says of its tokens to each range."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         h, _ = _table_shingles(table, words)
-        keys, counts = np.unique(h >> np.uint64(64 - BITS), return_counts=True)
-        at = borders(keys, buckets, BITS)
-        full = np.flatnonzero(np.diff(at)).tolist()
-        return pa.table(
-            {
-                "bucket": pa.array(full, pa.int32()),
-                "block": pa.array([key[0].as_py()] * len(full), pa.int32()),
-                "keys": pa.array([packed(keys[at[i] : at[i + 1]]) for i in full], pa.binary()),
-                "counts": pa.array([planes(counts[at[i] : at[i + 1]]) for i in full], pa.binary()),
-            }
-        )
+        return exchange.rows(key[0].as_py(), {"tokens": np.unique(h >> np.uint64(64 - BITS), return_counts=True)})
 
     return run
 
 
-def _answer(often: int):
-    """For each block's list: 0 for tokens that occur once, 1 for seldom ones, 2 for frequent ones."""
+def _answer(exchange: Exchange, often: int):
+    """For each list: 0 for tokens that occur once, 1 for seldom ones, 2 for frequent ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        lists = [unpacked(x) for x in table.column("keys").to_pylist()]
-        sizes = np.cumsum([len(x) for x in lists])[:-1]
-        keys, place = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([unplanes(x) for x in table.column("counts").to_pylist()]), minlength=len(keys))
-        kind = np.where(total > often, 2, np.where(total > 1, 1, 0)).astype(np.uint8)[place]
-        return pa.table(
-            {"block": table.column("block"), "bucket": table.column("bucket"), "kinds": pa.array([x.tobytes() for x in np.split(kind, sizes)], pa.binary())}
-        )
+        _, total, place, ends = exchange.joined(table, "tokens")
+        kind = np.where(total > often, 2, np.where(total > 1, 1, 0)).astype(np.uint64)[place]
+        return pa.table({"part": table.column("part"), "source": table.column("source"), "tokens_values": pa.array([planes(x) for x in np.split(kind, ends)], pa.binary())})
 
     return run
 
@@ -119,19 +112,6 @@ def entries(tokens: np.ndarray, kind: np.ndarray, missing: int, least: int, most
     return np.concatenate(out)
 
 
-#: Buckets of a set's sketch, and tokens that a bucket can hold (one byte in unary).
-SKETCH = 64
-
-
-def sketch(tokens: np.ndarray) -> tuple[np.ndarray, int]:
-    """Tokens per bucket in unary as 64-bit words, and how many found no room.
-
-    Two sets have at most (common bits) + (the smaller number without room) tokens in common."""
-    counts = np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=SKETCH)
-    full = np.minimum(counts, 8)
-    return ((1 << full) - 1).astype(np.uint8).view(np.int64), int((counts - full).sum())
-
-
 def _index(words: int, share: tuple[int, int]):
     """Set size, node and entries of each text of a block; the text stays with those that have entries."""
     num, den = share
@@ -139,10 +119,9 @@ def _index(words: int, share: tuple[int, int]):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         h, r = _table_shingles(docs, words)
         _, place = np.unique(h >> np.uint64(64 - BITS), return_inverse=True)
-        kinds = [np.frombuffer(x, np.uint8) for x in told.sort_by("bucket").column("kinds").to_pylist()]
-        kind = np.concatenate([np.zeros(0, np.uint8), *kinds])[place]
+        kind = values_of(told.sort_by("part"), "tokens").astype(np.uint8)[place]
         at = np.searchsorted(r, np.arange(docs.num_rows + 1))
-        sizes, alone, nodes, index, bits, over = [], [], [], [], [], []
+        sizes, alone, nodes, index = [], [], [], []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             tokens, first = np.unique(h[a:b], return_index=True)
             n = len(tokens)
@@ -153,19 +132,17 @@ def _index(words: int, share: tuple[int, int]):
             alone.append(int(np.count_nonzero(own == 0)))
             nodes.append(hashlib.md5(tokens.tobytes(), usedforsecurity=False).digest() if n else None)
             index.append(found.view(np.int64) if len(found) else None)
-            held, more = sketch(tokens[own > 0]) if len(found) else (None, 0)
-            bits.append(held)
-            over.append(more)
         texts = pa.array([t if e is not None else None for t, e in zip(docs.column("text").to_pylist(), index, strict=True)], pa.string())
-        extra = {"bits": pa.array(bits, pa.list_(pa.int64())), "over": pa.array(over, pa.int64())}
-        held = extra | {"n": pa.array(sizes, pa.int64()), "alone": pa.array(alone, pa.int64()), "node": pa.array(nodes, pa.binary()), "entries": pa.array(index, pa.list_(pa.int64()))}
+        held = {"n": pa.array(sizes, pa.int64()), "alone": pa.array(alone, pa.int64()), "node": pa.array(nodes, pa.binary()), "entries": pa.array(index, pa.list_(pa.int64()))}
         return pa.table({"id": docs.column("id"), "text": texts, **held})
 
     return run
 
 
-def _compare(words: int, share: tuple[int, int]):
-    """Rows come by group, the hub's text first; gives the members that are similar to it."""
+def _compare(words: int, share: tuple[int, int], differ: bool):
+    """Rows come by group, the hub's text first; gives the members that are similar to it.
+
+    With ``differ`` it gives all members, with both sizes and the tokens that only the hub or only the member has."""
     num, den = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,16 +160,23 @@ def _compare(words: int, share: tuple[int, int]):
                     group, own = (hub, salt), s
                 elif (hub, salt) == group:
                     both = len(np.intersect1d(own, s, assume_unique=True))
-                    if den * both >= num * (len(own) + len(s) - both):
+                    same = den * both >= num * (len(own) + len(s) - both)
+                    if differ:
+                        out.append((hub, node, same, len(own), len(s), np.setxor1d(own, s, assume_unique=True).view(np.int64)))
+                    elif same:
                         out.append((hub, node))
-            a, c = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
+            kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))[: 6 if differ else 2]
+            columns = zip(*out, strict=True) if out else ((),) * len(kinds)
+            names = ["a", "b", "same", "hub_n", "n", "differences"][: len(kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Those pairs (a, b) whose texts (by node) are similar. Large groups of one ``a`` are split."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int], differ: bool = False) -> DataFrame:
+    """Those pairs (a, b) whose texts (by node) are similar; with ``differ`` all, with ``same``, sizes and differences.
+
+    Large groups of one ``a`` are split."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = written(pairs, "pairs")  # all joins with texts are merge joins, so that plans are alike at every size
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
@@ -201,7 +185,64 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, i
     rows = members.join(texts.hint("merge"), "node").select("a", "salt", "node", "text")
     rows = rows.unionByName(hubs.join(texts.withColumnRenamed("node", "a").hint("merge"), "a").select("a", "salt", "node", "text"))
     rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("node").asc_nulls_first())
-    return rows.mapInArrow(_compare(words, share), "a binary, b binary")
+    columns = "a binary, b binary" + ", same boolean, hub_n long, n long, differences array<long>" * differ
+    return rows.mapInArrow(_compare(words, share, differ), columns)
+
+
+#: Members of a hub up to which each is compared with each.
+FEW = 8
+
+
+def few_pairs(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of members of the same small group (hub ``a``, member ``b``, ``label``, ``n``, ``alone``) that may be similar."""
+    num, den = share
+    other = members.select("a", *(F.col(c).alias(f"{c}2") for c in ("b", "label", "n", "alone")))
+    # tokens that no other text has are not in common
+    most = F.least(F.col("n") - F.col("alone"), F.col("n2") - F.col("alone2"))
+    maybe = (F.col("b") < F.col("b2")) & (F.col("label") != F.col("label2")) & ((den + num) * most >= num * (F.col("n") + F.col("n2")))
+    return members.join(other, "a").where(maybe).select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
+
+
+#: Words of 64 bits that hold the parity of a set of differences.
+PARITY = 4
+
+
+def close_members(compared: DataFrame, labels: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of similar members of a hub that have different labels, by their differences from the hub.
+
+    ``compared``: hub ``a``, member ``b``, ``same`` (similar), ``hub_n``, ``n`` and ``differences``. With s = den + num
+    and d = den - num, members x and y are similar if 2 * s * common >= s * (|x| + |y|) - d * (x.n + y.n).
+    """
+    num, den = share
+    s, d = den + num, den - num
+    held = compared.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    mixed = held.groupBy("a").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("a")
+    held = written(held.join(mixed, "a", "left_semi").withColumn("size", F.size("differences").cast("long")), "differences-mixed")
+    each = held.select("a", "b", F.explode("differences").alias("token"))
+    often = each.groupBy("a", "token").agg(F.count("*").alias("c")).where("c > 1")
+    some = F.lit(None).cast("long")
+    parity = [F.bit_xor(F.when(F.col("token").bitwiseAND(F.lit(PARITY - 1)) == i, F.expr("shiftleft(1L, cast(shiftright(token, 2) & 63 as int))")).otherwise(F.lit(0))).alias(f"p{i}") for i in range(PARITY)]
+    own = each.join(often, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("own"), *parity)
+    # what a partner with as many differences or more adds to 2 * s * common at least
+    size, n, hub_n = F.col("size"), F.col("n"), F.col("hub_n")
+    partner = F.greatest(2 * num * size - d * hub_n, s * size - d * F.floor(n * den / num), F.when(F.col("same"), d * hub_n + 1).otherwise(some))
+    least = F.greatest(F.ceil((s * size - d * n + partner) / (2 * s)), F.lit(1))
+    columns = ["a", "b", "label", "size", "n", *(f"p{i}" for i in range(PARITY))]
+    own = held.drop("differences").join(own, ["a", "b"]).select(*columns, "own", F.size("own").alias("k"), (F.size("own") - least + 1).alias("prefix"))
+    own = written(own, "differences-shared")
+    rows = own.select(*columns, "k", "prefix", F.posexplode("own").alias("at", "x")).withColumn("token", F.col("x.token")).drop("x")
+    first = rows.where("at < prefix").drop("prefix")
+    other = rows.drop("prefix").select("a", "token", *(F.col(c).alias(f"{c}2") for c in rows.columns if c not in ("a", "token", "prefix")))
+    fewer = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("b") < F.col("b2")))
+    need = s * (F.col("size") + F.col("size2")) - d * (F.col("n") + F.col("n2"))  # of 2 * s * common
+    most = F.least("at", "at2") + 1 + F.least(F.col("k") - F.col("at") - 1, F.col("k2") - F.col("at2") - 1)
+    odd = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}2"))) for i in range(1, PARITY)), F.bit_count(F.col("p0").bitwiseXOR(F.col("p02"))))
+    maybe = fewer & (F.col("label") != F.col("label2")) & (2 * s * most >= need) & (s * (F.col("k") + F.col("k2") - odd) >= need)
+    pairs = written(first.join(other, ["a", "token"]).where(maybe).select("a", "b", "b2").distinct(), "pairs-of-members")
+    sets = own.select("a", "b", "size", "n", F.transform("own", lambda x: x["token"]).alias("tokens"))
+    pairs = pairs.join(sets.hint("merge"), ["a", "b"]).join(sets.select("a", *(F.col(c).alias(f"{c}2") for c in sets.columns[1:])).hint("merge"), ["a", "b2"])
+    pairs = pairs.where(2 * s * F.size(F.array_intersect("tokens", "tokens2")) >= need)
+    return pairs.select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
 
 
 def similar_groups(
@@ -219,10 +260,11 @@ def similar_groups(
     docs = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     count = blocks_of(docs, "text")
     docs = docs.withColumn("block", block(count, "id", "text"))
-    sent = docs.groupBy("block").applyInArrow(_send(words, count), "bucket int, block int, keys binary, counts binary")
-    told = sent.groupBy("bucket").applyInArrow(_answer(often), "block int, bucket int, kinds binary")
+    exchange = Exchange(("tokens",), (BITS,), Exchange.levels_of(count), counts=True)
+    sent = docs.groupBy("block").applyInArrow(_send(words, exchange), exchange.schema)
+    told = exchange.told(sent, lambda rows: rows.groupBy("part").applyInArrow(_answer(exchange, often), exchange.answers)).withColumnRenamed("source", "block")
     kind = docs.schema["id"].dataType.simpleString()
-    columns = f"id {kind}, text string, bits array<long>, over long, n long, alone long, node binary, entries array<long>"
+    columns = f"id {kind}, text string, n long, alone long, node binary, entries array<long>"
     sets = written(docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_index(words, share), columns), "sets")
 
     nodes = sets.where("entries is not null").groupBy("node").agg(F.min(F.struct("id", "n", "alone", "entries")).alias("s"))
@@ -247,21 +289,16 @@ def similar_groups(
         labels = components(links)
     seen = _labelled(index, labels)
     mixed = seen.groupBy("entry").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("entry")
-    left = written(seen.join(mixed, "entry", "left_semi").select("entry", "node", "n", "label"), "index-mixed")
-    sketches = sets.where("entries is not null").groupBy("node").agg(F.first(F.struct("bits", "over")).alias("s")).select("node", "s.bits", "s.over")
-    # plain columns, so that the condition stays small enough to be compiled
-    bits = [f"b{i}" for i in range(SKETCH // 8)]
-    left = left.join(sketches.hint("merge"), "node").select("entry", "node", "n", "label", "over", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits)))
-    other = left.select("entry", *(F.col(c).alias(f"{c}2") for c in left.columns if c != "entry"))
-    num, den = share
-    # a bound of the tokens in common; tokens that only one text has are not in the sketch
-    most = F.least("over", "over2")
-    for b in bits:
-        most += F.bit_count(F.col(b).bitwiseAND(F.col(f"{b}2")))
-    close = (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & ((den + num) * most >= num * (F.col("n") + F.col("n2")))
-    pairs = left.join(other, "entry").where(close).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    links = links.unionByName(verified(pairs, texts, words, share))
-    labels = components(links)
+    left = seen.join(mixed, "entry", "left_semi").select(F.col("hub").alias("a"), F.col("node").alias("b"), "label", "n", "alone")
+    left = written(left.distinct(), "members")  # a hub is a member of its own group
+    sizes = written(left.groupBy("a").agg(F.count("*").alias("c")), "groups")
+    few = left.join(sizes.where(F.col("c") <= FEW).select("a"), "a", "left_semi")
+    many = left.join(sizes.where(F.col("c") > FEW).select("a"), "a", "left_semi").where("a != b").select("a", "b")
+    compared = written(verified(many, texts, words, share, differ=True), "differences")
+    found = written(verified(few_pairs(few, share), texts, words, share), "links")
+    links = links.unionByName(found).unionByName(compared.where("same").select("a", "b"))
+    close = written(close_members(compared, components(links), share), "links")
+    labels = components(links.unionByName(close))
 
     out = sets.select("id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = out.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
