@@ -13,8 +13,14 @@ from datalode.llm.common import prepare, written
 
 #: Queries of one pass over all vectors; a pass broadcasts so many vectors and no more.
 QUERY_BLOCK = 8192
+#: Queries of a pass that meet a bucket at once.
+QUERY_ROWS = 1024
 #: Candidates of a bucket that are held as one matrix.
 BUCKET_ROWS = 2048
+#: A query's focus is its largest coordinates, until the share of its length outside is under this part of the local threshold.
+FOCUS = 0.6
+#: Share of the coordinates beyond which a focus is not worth it.
+MOST = 0.75
 #: Largest sum of products that doubles hold exactly.
 EXACT = float(1 << 53)
 
@@ -37,27 +43,50 @@ def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array([[sum(a * b for a, b in zip(q, r, strict=True)) for r in whole(rows)] for q in whole(queries)], dtype=object).reshape(len(queries), len(rows))
 
 
-def pruned(query: np.ndarray, rows: np.ndarray, lengths: np.ndarray, need: float) -> np.ndarray:
-    """Rows of a bucket (longest first) that may reach the product ``need`` with the query.
-
-    The local threshold is the cosine that the bucket's longest vector would need. A high one makes few
-    directions possible: the query's largest coordinate bounds what the others can add (coordinate
-    pruning). A low one leaves only length to prune by. Both bounds leave room for rounding.
-    """
-    size = float(np.linalg.norm(query))
-    if need <= 0 or not size or not len(rows):
-        return np.arange(len(rows)) if need <= 0 else np.arange(0)
-    need -= abs(need) * 1e-9
-    if need / size > lengths[0]:
-        return np.arange(0)  # the whole bucket
-    reach = int(np.searchsorted(-lengths, -need / size, side="right"))
-    if need / (size * lengths[0]) < 0.5:
-        return np.arange(reach)
-    f = int(np.abs(query).argmax())
-    x = rows[:reach, f]
-    rest_q = np.sqrt(max(size * size - query[f] ** 2, 0.0))
-    rest_v = np.sqrt(np.maximum(lengths[:reach] ** 2 - x * x, 0.0))
-    return np.flatnonzero(query[f] * x + rest_q * rest_v * (1 + 1e-9) >= need)
+class Queries:
+    """Queries with their coordinates from the largest on, and the share of each one's length that those leave out."""
+
+    def __init__(self, rows: np.ndarray) -> None:
+        self.rows = rows
+        self.sizes = np.linalg.norm(rows, axis=1)
+        order = np.argsort(-np.abs(rows), axis=1, kind="stable")
+        self.rank = np.argsort(order, axis=1, kind="stable")
+        held = np.cumsum(np.take_along_axis(rows, order, 1) ** 2, axis=1) / np.maximum(self.sizes, 1e-300)[:, None] ** 2
+        self.rest = np.sqrt(np.maximum(1 - held, 0))
+
+    def survivors(self, some: np.ndarray, matrix: np.ndarray, lengths: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Which rows of a bucket (longest first) may reach the product ``need`` with each of ``some`` queries.
+
+        The local threshold is the cosine that the bucket's longest vector would need. Where a few coordinates
+        of a query hold so much of its length that the others cannot reach the threshold alone, its
+        partial product with a row, and at most both rests' lengths for the others, bound the product (coordinate
+        pruning). A low threshold leaves only the length to prune by. Both bounds leave room for rounding.
+        """
+        sizes = self.sizes[some]
+        need = need - (np.abs(need) + sizes * lengths[0]) * 1e-9
+        local = need / np.maximum(sizes * lengths[0], 1e-300)
+        keep = sizes[:, None] * lengths[None, :] >= need[:, None]
+        focus = (self.rest[some] > FOCUS * local[:, None]).sum(axis=1) + 1
+        near = np.flatnonzero((local > 0) & (local <= 1) & (focus <= MOST * matrix.shape[1]))
+        if len(near):
+            inside = self.rank[some[near]] < focus[near][:, None]
+            part = np.where(inside, self.rows[some[near]], 0.0) @ matrix.T
+            left = np.sqrt(np.maximum(lengths[None, :] ** 2 - inside.astype(np.float64) @ (matrix**2).T, 0))
+            outside = self.rest[some[near], focus[near] - 1] * sizes[near]
+            keep[near] &= part + outside[:, None] * left >= need[near][:, None]
+        return keep
+
+
+def _paired(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The product of each query with the row beside it, in steps that stay small."""
+    out = [_row_products(queries[a : a + 100_000], rows[a : a + 100_000]) for a in range(0, len(queries), 100_000)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _row_products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    if np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * queries.shape[1] < EXACT:
+        return np.einsum("ij,ij->i", queries, rows)
+    return np.array([sum(int(a) * int(b) for a, b in zip(q, r, strict=True)) for q, r in zip(queries, rows, strict=True)], dtype=object)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,29 +102,37 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def _search(query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, width: int):
     """Every query's k best among the rows of a partition, bucket by bucket."""
 
+    asked = Queries(queries)
+
     def bucket(rows: list[tuple[int, float, list]], found: dict[int, tuple[np.ndarray, np.ndarray]], need: np.ndarray) -> None:
         ids = np.array([r[0] for r in rows], np.int64)
         lengths = np.array([r[1] for r in rows])
         matrix = _matrix([r[2] for r in rows], width)
         order = np.argsort(-lengths, kind="stable")
         ids, lengths, matrix = ids[order], lengths[order], matrix[order]
-        sizes = np.linalg.norm(queries, axis=1)
-        open_ = np.flatnonzero((need <= 0) | (sizes * lengths[0] >= need - np.abs(need) * 1e-9))
-        kept = {int(q): pruned(queries[q], matrix, lengths, float(need[q])) for q in open_}
-        # queries that keep most of the bucket are multiplied together
-        full = [q for q, r in kept.items() if 4 * len(r) > len(ids)]
-        block = dict(zip(full, _products(queries[full], matrix), strict=True))
-        for q, r in kept.items():
-            if not len(r):
-                continue
-            scores = block[q][r] if q in block else _products(queries[q : q + 1], matrix[r])[0]
-            other = ids[r] != query_ids[q]
-            mine, got = ids[r][other], scores[other]
-            if q in found:
-                mine, got = np.append(found[q][0], mine), np.append(found[q][1], got)
-            found[q] = _best(mine, got, k)
-            if len(found[q][0]) == k:
-                need[q] = max(need[q], float(found[q][1][-1]))
+        for first in range(0, len(queries), QUERY_ROWS):
+            some = np.arange(first, min(first + QUERY_ROWS, len(queries)))
+            keep = asked.survivors(some, matrix, lengths, need[some]) & (query_ids[some][:, None] != ids[None, :])
+            # queries that keep a large part of the bucket are multiplied together
+            full = 4 * keep.sum(axis=1) > len(ids)
+            pairs = []
+            if full.any():
+                products = _products(queries[some[full]], matrix)
+                q, r = np.nonzero(keep[full] & (products >= need[some[full]][:, None]).astype(bool))
+                pairs.append((some[full][q], r, products[q, r]))
+            q, r = np.nonzero(keep & ~full[:, None])
+            scores = _paired(queries[some[q]], matrix[r])
+            high = (scores >= need[some[q]]).astype(bool)
+            pairs.append((some[q][high], r[high], scores[high]))
+            for q, r, scores in pairs:
+                cuts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(q)], strict=False):
+                    mine, got, at = ids[r[a:b]], scores[a:b], int(q[a])
+                    if at in found:
+                        mine, got = np.append(found[at][0], mine), np.append(found[at][1], got)
+                    found[at] = _best(mine, got, k)
+                    if len(found[at][0]) == k:
+                        need[at] = max(need[at], float(found[at][1][-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -124,9 +161,12 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, id: str = "vec_
     Components x count as floor(scale * x), x as double. Queries are the rows whose id is divisible by
     ``every``; candidates all rows but the query's own id. Rows with a null id, a null vector or null or
     non-finite components take no part. Vectors of unlike length are compared over the shared components.
-    Rows that repeat an id are candidates each. Scores beyond 64 bits are held at the nearest long.
+    Equal scores are in the order of ids. Rows that repeat an id are candidates each; where they are a query, the
+    smallest vector of the id is asked, once, and none of the id's rows is found. Scores beyond 64 bits are held at the nearest long.
+    An empty table gives no rows; columns of other names are not used.
     Candidates lie in partitions by length, longest first; the first pass over the longest gives every
-    query a score that later buckets must reach. Queries are taken in blocks of a fixed size.
+    query a score that later buckets must reach. Queries are taken in blocks of a fixed size; a block's results are
+    written before the next one is taken.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -139,9 +179,9 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, id: str = "vec_
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a salt spreads vectors of one length over partitions
-    dealt = rows.withColumn("salt", F.xxhash64("id")).repartitionByRange(parts, F.desc("length"), "salt").select("id", "length", "v")
+    dealt = rows.withColumn("salt", F.xxhash64("id")).repartitionByRange(parts, F.desc("length"), "salt").sortWithinPartitions(F.desc("length"), "salt").select("id", "length", "v")
     longest = rows.orderBy(F.desc("length"), "id").limit(BUCKET_ROWS).collect()
-    asked = rows.where(F.col("id") % every == 0)
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     out = None
     for block in range(blocks):
@@ -156,6 +196,7 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, id: str = "vec_
             if len(scores) >= k:
                 floor[q] = scores[k - 1]
         found = dealt.mapInArrow(_search(query_ids, queries, floor, k, width), "query_id long, vec_id long, score long")
+        found = written(found, "hits") if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
