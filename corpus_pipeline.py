@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,38 +20,58 @@ REPEATED_BYTES = 256
 REPEATED_WORDS = 51
 
 
+def beside(docs: DataFrame, added: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` after ``step``, also those that have the name of a column that the step adds."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in added}
+    out = step(docs.withColumnsRenamed(own))
+    return out.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the highest grade is a half or more."""
+    """Documents whose probability of the highest grade is a half or more; all without any usable label.
+
+    Null and empty texts are judged as texts without words, long ones whole; repeated rows alike; no rows give none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     grades = labels.select("doc_id", graded(F.col("quality"), F.col("toxic")).alias("grade"))
-    return score_quality(docs, grades).where("keep").select(*docs.columns)
+    return beside(docs, ["expected_grade", "p_tail", "keep"], lambda d: score_quality(d, grades).where("keep"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Rows without an id stay; rows that repeat id and text are one document."""
+    Rows without an id stay; rows that repeat id and text are one document, of which any stays. Null, empty and blank
+    texts are no copies of each other; long ones are compared whole; no rows give none."""
     groups = similar_groups(docs, words=5, share=(80, 100))
     others = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     return docs.dropDuplicates(["doc_id", "text"]).join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that occur elsewhere too; a document that loses everything goes."""
-    out = remove_repeats(docs, length=REPEATED_BYTES, characters=True, words=REPEATED_WORDS)
-    left = F.when(F.size("spans") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
-    out = out.where((F.size("spans") == 0) | (F.octet_length("kept") > 0))
-    return out.withColumns({"text": left, "n_chars": F.when(F.size("spans") > 0, F.char_length(left).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    """Texts without passages that occur elsewhere too; a document that loses everything goes.
+
+    Every place of a passage loses it, also in repeated rows. Null and empty texts stay as they are. Where there is a
+    column ``n_chars`` it follows the text. No rows give none."""
+
+    def step(d: DataFrame) -> DataFrame:
+        out = remove_repeats(d, length=REPEATED_BYTES, characters=True, words=REPEATED_WORDS)
+        out = out.where((F.size("spans") == 0) | (F.octet_length("kept") > 0))
+        out = out.withColumn("text", F.when(F.size("spans") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text")))
+        if "n_chars" in d.columns:
+            size = F.char_length("text").cast(d.schema["n_chars"].dataType)
+            out = out.withColumn("n_chars", F.when(F.size("spans") > 0, size).otherwise(F.col("n_chars")))
+        return out
+
+    return beside(docs, ["spans", "kept", "shared"], step)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, repeated rows the same; no rows give none."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return mark_contaminated(docs, items).where(F.size("matches") == 0).select(*docs.columns)
+    return beside(docs, ["matches"], lambda d: mark_contaminated(d, items).where(F.size("matches") == 0))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences of 4096 tokens."""
+    """The pieces of all sequences of 4096 tokens. A null or empty text is its end alone; repeated rows are packed each; no rows give none."""
     out = best_fit_pack(docs.select("doc_id", "text"))
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
