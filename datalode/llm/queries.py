@@ -115,14 +115,19 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, labels).select("doc_id", "expected_grade", "p_tail", "keep")
 
 
+#: Bytes of a string that op7 tells of, if it occurs elsewhere too, though it does not remove it.
+SHARED_BYTES = 256
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the bytes of 400-byte strings that start twice or more in the corpus."""
-    out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["b"] - s["a"]).cast("long")
+    """All documents without the bytes of 400-byte strings that start twice or more in the corpus.
+
+    ``n_shared`` is the number of bytes that lie in a string of 256 bytes that starts elsewhere too, removed or not."""
+    out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, shorter=SHARED_BYTES)
+    covered = lambda spans: F.aggregate(spans, F.lit(0), lambda n, s: n + s["b"] - s["a"]).cast("long")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return out.select(
-        "doc_id", size.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+    counts = [size.alias("n_bytes"), covered("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans")]
+    return out.select("doc_id", *counts, F.sha2("kept", 256).alias("kept_sha256"), covered("shared").alias("n_shared"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 How the work is spread. In every text, each window of ``length`` bytes names the rightmost smallest of
 its 64-byte grams as its anchor; equal windows name the same anchor at the same place, so only anchors
 whose gram occurs twice can lie in a repeated window. Anchors are counted and joined by Spark. An
-anchor's context is all windows that name it. Equal contexts repeat as a whole and are counted, not
-compared. The different contexts of one gram are suffix-sorted to both sides of the gram by deep-shallow
+anchor's context is all windows that name it. Where a ``shorter`` length is asked for too, windows of that
+length name the anchors, and a context reaches on to the ends of the long windows that begin with them.
+Equal contexts repeat as a whole and are counted, not compared. The different contexts of one gram are suffix-sorted to both sides of the gram by deep-shallow
 sorting: multikey quicksort to a shallow depth, then blind tries for groups that still agree. Grams with
 more different contexts than one task should hold are decided by counting the hash of each window.
 
@@ -188,31 +189,45 @@ def repeats(lefts: list[bytes], rights: list[bytes], length: int, agreed: int) -
 # -- anchors -------------------------------------------------------------------------------------
 
 
-def _doubled(data: np.ndarray, upto: int, salt: int = 0) -> dict[int, np.ndarray]:
-    """Hashes of all strings of 1, 2, 4 ... ``upto`` bytes; those that reach over the end are short."""
+def _doubled(data: np.ndarray, sizes: tuple[int, ...], salt: int = 0) -> dict[int, np.ndarray]:
+    """Hashes of all strings of the ``sizes`` (powers of two); those that reach over the end are short."""
     h, n, out = _EXACT[data] ^ np.uint64(salt * 0x5851F42D4C957F2D), 1, {}
     with np.errstate(over="ignore"):
-        while n < upto:
-            longer = h * _DOUBLE[n.bit_length() + salt]
+        while True:
+            if n in sizes:
+                out[n] = h
+            if n >= max(sizes):
+                return out
+            longer = h * _DOUBLE[(n.bit_length() + salt) % 16]
             if n < len(h):
                 longer[:-n] += h[n:]
             h, n = longer, 2 * n
-            if n in (GRAM, upto):
-                out[n] = h
-    return out
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchors of the texts of a chunk: row, gram hash, context hash, place of the gram, first window, windows."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(6))
+def _power(n: int) -> int:
+    """The largest power of two that is not over ``n``."""
+    return 1 << (n.bit_length() - 1)
+
+
+def gram_of(length: int) -> int:
+    """Bytes of a gram for windows of ``length`` bytes."""
+    return min(GRAM, _power(max(1, length // 2)))
+
+
+def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, longer: int = 0) -> tuple[np.ndarray, ...]:
+    """Anchors of the texts of a chunk by windows of ``length``: row, gram hash, context hash, place of the gram, context's start, size and windows.
+
+    A context ends where the last window of ``longer`` bytes that begins with one of its windows would end, or with the text."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(7))
     if len(data) < length:
         return none
-    hashes = _doubled(data, 256)
-    gram = mix(hashes[GRAM])
+    size_of_gram, step = gram_of(length), _power(length)
+    hashes = _doubled(data, (size_of_gram, step))
+    gram = mix(hashes[size_of_gram])
     n = len(data)
     low = np.uint64((1 << 32) - 1)  # the same for every chunk, so that equal windows choose alike
     keys = (gram & ~low) | (low - np.arange(n, dtype=np.uint64))  # of equal grams the rightmost is the smallest
-    span = length - GRAM + 1
+    span = length - size_of_gram + 1
     padded = np.full(-(-n // span) * span + span, ~np.uint64(0))
     padded[:n] = keys
     blocks = padded.reshape(-1, span)
@@ -229,35 +244,36 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(window)))
     start, place = window[first], place[first]
-    size = count - 1 + length
-    with np.errstate(over="ignore"):
-        h = hashes[256]
-        context = h[start] * _DOUBLE[12] + h[start + (size - 256) // 2] * _DOUBLE[13] + h[start + size - 256] * _DOUBLE[14]
-        context += (size * 4096 + place - start).astype(np.uint64) * _DOUBLE[15]
     r = row[start]
-    return r, gram[place].view(np.int64), mix(context).view(np.int64), place - offsets[r], start - offsets[r], count
+    size = np.minimum(start + count - 1 + max(length, longer), offsets[r + 1]) - start
+    with np.errstate(over="ignore"):
+        h = hashes[step]
+        context = (size * 4096 + place - start).astype(np.uint64) * _DOUBLE[15]
+        for i in range(-(-int(size.max()) // step)):
+            context = context * _DOUBLE[12] + h[start + np.minimum(i * step, size - step)]
+    return r, gram[place].view(np.int64), mix(context).view(np.int64), place - offsets[r], start - offsets[r], size, count
 
 
-def _anchor_rows(length: int):
+def _anchor_rows(length: int, longer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, data, offsets in chunks_of(b.column(2)):
-                row, gram, context, place, start, count = anchors_of(data, offsets, length)
+                row, gram, context, *numbers = anchors_of(data, offsets, length, longer)
                 ids = b.slice(first, end - first)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(ids.column(i).take(at) for i in (0, 1)),
                         *(pa.array(x, pa.int64()) for x in (gram, context)),
-                        *(pa.array(x.astype(np.int32), pa.int32()) for x in (place, start, count)),
+                        *(pa.array(x.astype(np.int32), pa.int32()) for x in numbers),
                     ],
-                    names=["t1", "t2", "gram", "context", "place", "start", "windows"],
+                    names=["t1", "t2", "gram", "context", "place", "start", "size", "windows"],
                 )
 
     return run
 
 
-def _context_rows(length: int):
+def _context_rows():
     """Cuts the contexts of the asked anchors from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +283,11 @@ def _context_rows(length: int):
             for row, asked in enumerate(b.column(1).to_pylist()):
                 for x in asked:
                     at = offsets[row] + x["start"]
-                    out.append((x["gram"], x["context"], x["place"] - x["start"], data[at : at + x["windows"] - 1 + length].tobytes()))
-            g, c, p, t = zip(*out, strict=True) if out else ((), (), (), ())
+                    out.append((x["gram"], x["context"], x["place"] - x["start"], data[at : at + x["size"]].tobytes(), x["windows"]))
+            g, c, p, t, n = zip(*out, strict=True) if out else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(p, pa.int32()), pa.array(t, pa.binary())], names=["gram", "context", "at", "bytes"]
+                [pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(p, pa.int32()), pa.array(t, pa.binary()), pa.array(n, pa.int32())],
+                names=["gram", "context", "at", "bytes", "windows"],
             )
 
     return run
@@ -283,7 +300,7 @@ def _sorted_groups(length: int):
         keys = list(group)
         lefts = [t[:p][::-1] for p, t in group.values()]
         rights = [t[p:] for p, t in group.values()]
-        for key, (at, _), found in zip(keys, group.values(), repeats(lefts, rights, length, GRAM), strict=True):
+        for key, (at, _), found in zip(keys, group.values(), repeats(lefts, rights, length, gram_of(length)), strict=True):
             out += [(gram, key, at - left, at + right) for left, right in set(found)]
 
     def batch(out: list) -> pa.RecordBatch:
@@ -309,33 +326,36 @@ def _sorted_groups(length: int):
     return run
 
 
-def _window_rows(length: int):
-    """Two hashes of every window of a context."""
+def _window_rows(lengths: tuple[int, ...]):
+    """Two hashes of every window of a context, for each of the lengths."""
+
+    def hashed(data: np.ndarray, length: int, salt: int) -> np.ndarray:
+        n = len(data) - length + 1
+        h, size, at = _EXACT[data] ^ np.uint64(salt * 0x5851F42D4C957F2D), 1, 0
+        total = np.full(n, length, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(length.bit_length()):
+                if length >> i & 1:
+                    total = total * _DOUBLE[(i + 5 + salt) % 16] + h[at : at + n]
+                    at += size
+                longer = h * _DOUBLE[(i + salt) % 16]
+                if size < len(h):
+                    longer[:-size] += h[size:]
+                h, size = longer, 2 * size
+        return mix(total).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = [1 << i for i in range(length.bit_length()) if length >> i & 1]
         for b in batches:
-            for g, c, t in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+            for g, c, t, most in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
                 data = np.frombuffer(t, np.uint8)
-                n = len(data) - length + 1
-                sums = []
-                for salt in (0, 1):
-                    h, size, at = _EXACT[data] ^ np.uint64(salt * 0x5851F42D4C957F2D), 1, 0
-                    total = np.zeros(n, np.uint64)
-                    with np.errstate(over="ignore"):
-                        for i in range(powers[-1].bit_length()):
-                            if length >> i & 1:
-                                total = total * _DOUBLE[(i + 5 + salt) % 16] + h[at : at + n]
-                                at += size
-                            longer = h * _DOUBLE[(i + salt) % 16]
-                            if size < len(h):
-                                longer[:-size] += h[size:]
-                            h, size = longer, 2 * size
-                    sums.append(mix(total).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, g), pa.int64()), pa.array(np.full(n, c), pa.int64()), pa.array(np.arange(n, dtype=np.int32)), *(pa.array(x) for x in sums)],
-                    names=["gram", "context", "off", "h1", "h2"],
-                )
+                for length in lengths:
+                    n = min(len(data) - length + 1, most)  # windows after these are those of other anchors
+                    if n > 0:
+                        first = np.arange(n, dtype=np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(n, g), pa.int64()), pa.array(np.full(n, c), pa.int64()), pa.array(first), pa.array(first + np.int32(length)), *(pa.array(hashed(data, length, salt)[:n]) for salt in (0, 1))],
+                            names=["gram", "context", "a", "b", "h1", "h2"],
+                        )
 
     return run
 
@@ -360,11 +380,12 @@ def word_runs_of(data: np.ndarray, offsets: np.ndarray, words: int, length: int)
         return none
     hashes = []
     for salt in (0, 1):
-        h = _doubled(data, GRAM, salt)[GRAM]
+        step = _power(2 * words - 1)  # no run is shorter
+        h = _doubled(data, (step,), salt)[step]
         with np.errstate(over="ignore"):
             total = (ends - starts).astype(np.uint64) * _DOUBLE[15]
-            for i in range(-(-length // GRAM)):
-                total = total * _DOUBLE[8 + salt] + h[np.minimum(starts + i * GRAM, ends - GRAM)]
+            for i in range(-(-length // step)):
+                total = total * _DOUBLE[8 + salt] + h[np.minimum(starts + i * step, ends - step)]
         hashes.append(mix(total).view(np.int64))
     return row, starts - offsets[row], ends - offsets[row], *hashes
 
@@ -393,9 +414,12 @@ def short_runs(docs: DataFrame, text: str, words: int, length: int) -> DataFrame
     return runs.join(twice.hint("merge"), ["h1", "h2"], "left_semi").select("t1", "t2", F.struct("a", "b").alias("s"))
 
 
+_SPANS = "array<struct<a:int,b:int>>"
+
+
 def _union(spans: Column) -> Column:
     """Sorted stretches, with those that touch or overlap made one."""
-    kind = "array<struct<a:int,b:int>>"
+    kind = _SPANS
     last = lambda acc: F.element_at(acc, -1)
     return F.aggregate(
         F.array_sort(spans),
@@ -409,75 +433,80 @@ def _union(spans: Column) -> Column:
     )
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, words: int | None = None) -> DataFrame:
-    """For each different text (by ``t1``, ``t2``) with repeated strings of ``length`` bytes or ``words`` whole words, its byte spans."""
-    if not 256 <= length <= 416:  # a context, of up to 2 * length - 64 bytes, is hashed as three strings of 256
-        raise ValueError("length must lie between 256 and 416")
-    if words is not None and 2 * words - 1 < GRAM:  # a run of words is hashed as strings of a gram's size
-        raise ValueError(f"words must be {GRAM // 2 + 1} or more")
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, words: int | None = None, shorter: int | None = None) -> DataFrame:
+    """For each different text (by ``t1``, ``t2``) with repeated strings of ``length`` bytes or ``words`` whole words, its byte ``spans``.
+
+    With ``shorter`` there is ``shared`` too: the spans of repeated strings of that many bytes."""
+    least = min(length, shorter or length)
+    if least < 1 or words is not None and words < 1:
+        raise ValueError("a repeated string has at least one byte, a run at least one word")
     prepare(docs.sparkSession)
-    texts = _keyed(docs.select(F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") >= length), "text")
-    rows = "t1 long, t2 long, gram long, context long, place int, start int, windows int"
-    anchors = written(texts.select("t1", "t2", "text").mapInArrow(_anchor_rows(length), rows), "anchors")
+    texts = _keyed(docs.select(F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") >= least), "text")
+    rows = "t1 long, t2 long, gram long, context long, place int, start int, size int, windows int"
+    anchors = written(texts.select("t1", "t2", "text").mapInArrow(_anchor_rows(least, length), rows), "anchors")
     # Counts are written before they are joined, so that Spark can split a hot gram's rows on the other
     # side, and all joins with texts are merge joins, whatever the size, so that plans are alike.
     twice = written(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     anchors = written(anchors.join(twice.hint("merge"), "gram", "left_semi"), "anchors-repeated")
-    contexts = anchors.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place", "start", "windows")).alias("at"))
+    contexts = anchors.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place", "start", "size", "windows")).alias("at"))
     contexts = written(contexts, "contexts")
     of_gram = written(contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "grams-mixed")
-    equal = contexts.where("n > 1").select("gram", "context", F.lit(0).alias("a"), (F.col("at.windows") - 1 + length).alias("b"))
+    equal = contexts.where("n > 1").select("gram", "context", F.lit(0).alias("a"), F.col("at.size").alias("b"))
     asked = contexts.join(of_gram, "gram")
     # one text for each key, so that copies of a text give their contexts once
-    asked = asked.groupBy("at.t1", "at.t2").agg(F.collect_list(F.struct("gram", "context", "m", F.col("at.place").alias("place"), F.col("at.start").alias("start"), F.col("at.windows").alias("windows"))).alias("asked"))
+    asked = asked.groupBy("at.t1", "at.t2").agg(F.collect_list(F.struct("gram", "context", "m", F.col("at.place").alias("place"), F.col("at.start").alias("start"), F.col("at.size").alias("size"), F.col("at.windows").alias("windows"))).alias("asked"))
     cut = written(
-        texts.join(asked.hint("merge"), ["t1", "t2"]).select("text", "asked").mapInArrow(_context_rows(length), "gram long, context long, at int, bytes binary").dropDuplicates(["gram", "context"]),
+        texts.join(asked.hint("merge"), ["t1", "t2"]).select("text", "asked").mapInArrow(_context_rows(), "gram long, context long, at int, bytes binary, windows int").dropDuplicates(["gram", "context"]),
         "contexts-cut",
     )
     large = of_gram.where(F.col("m") > group).select("gram")
     few = cut.join(of_gram.where(F.col("m") <= group).select("gram"), "gram", "left_semi")
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    matched = few.select("gram", "context", "at", "bytes").repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(length), "gram long, context long, a int, b int")
-    windows = cut.join(large, "gram", "left_semi").select("gram", "context", "at", "bytes").mapInArrow(_window_rows(length), "gram long, context long, off int, h1 long, h2 long")
+    matched = few.select("gram", "context", "at", "bytes").repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(least), "gram long, context long, a int, b int")
+    windows = cut.join(large, "gram", "left_semi").select("gram", "context", "at", "bytes", "windows").mapInArrow(_window_rows(tuple({length, least})), "gram long, context long, a int, b int, h1 long, h2 long")
     shared = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    counted = windows.join(shared, ["h1", "h2"], "left_semi").select("gram", "context", F.col("off").alias("a"), (F.col("off") + length).alias("b"))
+    counted = windows.join(shared, ["h1", "h2"], "left_semi").select("gram", "context", "a", "b")
     covered = equal.unionByName(matched).unionByName(counted)
-    covered = written(covered.groupBy("gram", "context").agg(_union(F.collect_set(F.struct("a", "b"))).alias("spans")), "covered")
-    of_text = anchors.join(covered.hint("merge"), ["gram", "context"]).select("t1", "t2", "start", F.explode("spans").alias("s"))
-    of_text = of_text.select("t1", "t2", F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")).alias("s"))
+    # with a shorter length every stretch counts, for the length itself only those that are long enough
+    both = {"spans": length} | ({"shared": least} if shorter else {})
+    unions = [_union(F.collect_set(F.when(F.col("b") - F.col("a") >= n, F.struct("a", "b")))).alias(name) for name, n in both.items()]
+    covered = written(covered.groupBy("gram", "context").agg(*unions), "covered")
+    moved = [F.transform(F.coalesce(name, F.array().cast(_SPANS)), lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b"))).alias(name) for name in both]
+    of_text = anchors.join(covered.hint("merge"), ["gram", "context"]).select("t1", "t2", *moved)
     if words is not None:
-        of_text = of_text.unionByName(short_runs(docs, text, words, length))
-    return of_text.groupBy("t1", "t2").agg(_union(F.collect_set("s")).alias("spans"))
+        runs = short_runs(docs, text, words, length).select("t1", "t2", *(F.array("s").alias(name) for name in both))
+        of_text = of_text.unionByName(runs)
+    return of_text.groupBy("t1", "t2").agg(*(_union(F.array_distinct(F.flatten(F.collect_set(name)))).alias(name) for name in both))
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)})
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, characters: bool = False, words: int | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, text: str = "text", length: int = 400, group: int = GROUP, characters: bool = False, words: int | None = None, shorter: int | None = None
+) -> DataFrame:
     """Adds ``spans`` (array of (a, b) byte spans that repeat, merged) and ``kept`` (the other bytes).
 
     A string repeats if it has ``length`` bytes, or ``words`` whole words where that is given, and starts
     elsewhere too. A null text is empty; shorter texts keep everything; repeated rows lose all that lies in
-    a repeated string. ``kept`` may cut a character of several bytes, unless ``characters`` is set:
-    then characters that lie only partly in a span stay. Columns of these names are replaced; all other
-    columns stay.
+    a repeated string; an empty table gives none. ``kept`` may cut a character of several bytes, unless ``characters`` is set:
+    then characters that lie only partly in a span stay. With ``shorter`` there is ``shared`` too: the spans of
+    repeated strings of that many bytes, which are told but not removed. Texts of any length are taken whole. Columns of
+    these names are replaced; all other columns stay.
     """
-    spans = written(repeated_spans(docs, text, length, group, words), "spans")
+    names = ["spans", *(["shared"] if shorter else [])]
+    spans = written(repeated_spans(docs, text, length, group, words, shorter), "spans")
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    docs = docs.drop("spans", "kept").withColumns({"__t1": F.xxhash64(F.coalesce(text, F.lit(""))), "__t2": F.xxhash64(F.lit(1), F.coalesce(text, F.lit("")))})
+    docs = docs.drop(*names, "kept").withColumns({"__t1": F.xxhash64(F.coalesce(text, F.lit(""))), "__t2": F.xxhash64(F.lit(1), F.coalesce(text, F.lit("")))})
     out = docs.join(spans.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}).hint("merge"), ["__t1", "__t2"], "left").drop("__t1", "__t2")
+    out = out.withColumns({name: F.coalesce(name, F.array().cast(_SPANS)) for name in names})
     if characters:
         out = out.withColumn("spans", whole_characters(text, "spans"))
-    walk = F.aggregate(
-        F.col("spans"),
-        F.struct(F.lit(0).alias("at"), F.lit(b"").alias("kept")),
-        lambda acc, s: F.struct(s["b"].alias("at"), F.concat(acc["kept"], F.substring(body, acc["at"] + 1, s["a"] - acc["at"])).alias("kept")),
-    )
-    out = out.withColumn("__w", walk)
-    rest = F.substring(body, F.col("__w.at") + 1, F.octet_length(body))
-    out = out.withColumn("kept", F.when(F.col("spans").isNull(), body).otherwise(F.concat(F.col("__w.kept"), rest)))
-    return out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>"))).drop("__w")
+    ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["b"]))
+    starts = F.concat(F.transform("spans", lambda s: s["a"]), F.array(F.octet_length(body)))
+    pieces = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda p: F.substring(body, p["a"] + 1, p["b"] - p["a"]))
+    return out.withColumn("kept", F.when(F.size("spans") == 0, body).otherwise(F.unhex(F.array_join(F.transform(pieces, F.hex), ""))))
 
 
 def whole_characters(text: str, spans: str) -> Column:

@@ -31,7 +31,7 @@ def listed(host: str, path: str, rules: Sequence[tuple[str, str, str]]) -> tuple
 
 
 def url_tokens(url: str, host: str, path: str) -> Column:
-    """Tokens of a URL: scheme, host parts, all parts of the path, file ending, all query keys, fragment."""
+    """Tokens of a URL: scheme, host, all parts of the host and of the path, file ending, all query keys, fragment."""
     labels = F.split(F.col(host), r"\.")
     folders = F.filter(F.split(F.col(path), "/"), lambda x: x != "")
     query = F.regexp_extract(F.col(url), r"^[^?#]*\?([^#]*)", 1)
@@ -43,11 +43,11 @@ def url_tokens(url: str, host: str, path: str) -> Column:
         some("host", F.col(host)),
         some("site", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")),
         some("zone", F.element_at(labels, -1)),
-        F.when(F.size(labels) > 2, some("first", labels[0])),
         some("ending", ending),
         F.when(F.col(url).contains("#"), F.lit("fragment")),
     )
-    many = F.concat(F.transform(folders, lambda x: F.concat(F.lit("folder:"), x)), F.transform(keys, lambda x: F.concat(F.lit("key:"), x)))
+    parts = F.filter(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: x != "")
+    many = F.concat(F.transform(parts, lambda x: F.concat(F.lit("part:"), x)), F.transform(folders, lambda x: F.concat(F.lit("folder:"), x)), F.transform(keys, lambda x: F.concat(F.lit("key:"), x)))
     tokens = F.array_distinct(F.filter(F.concat(one, many), lambda x: x.isNotNull()))
     return F.when(F.col(host) == "", F.array().cast("array<string>")).otherwise(F.coalesce(tokens, F.array().cast("array<string>")))
 
@@ -62,15 +62,23 @@ def token_classes(lists: DataFrame, least: float) -> DataFrame:
     return same.select(F.explode("tokens").alias("token"), "kind")
 
 
-def mined_rules(labelled: DataFrame, support: float, confidence: float, least: int) -> tuple[DataFrame, DataFrame]:
+def lower_bound(share: Column, n: Column, z: float) -> Column:
+    """The lower end of Wilson's interval of a share that was seen in ``n`` rows."""
+    around = share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return around / (1 + z * z / n)
+
+
+def mined_rules(labelled: DataFrame, support: float, confidence: float, least: int, lift: float, z: float) -> tuple[DataFrame, DataFrame]:
     """Token combinations (``tokens``, ``confidence``, ``support``) that mean block, and what stands for each token (``token``, ``kind``).
 
-    ``labelled`` has ``tokens`` and ``bad``. A rule holds for at least ``least`` bad rows. A rule with a shorter one inside it that is at least as sure
+    ``labelled`` has ``tokens`` and ``bad``. A rule holds for at least ``least`` bad rows and the share ``support`` of all rows; its share of
+    bad rows is at least ``confidence`` and ``lift`` times that of all rows, and the lower end of its interval (``z`` deviations) is over that of all rows.
+    A rule with a shorter one inside it that is at least as sure
     is left out. So tokens that lie in the same rows never meet in a rule and take each other's place in it; one stands for all. Rarer tokens than
     the support are dropped before. The number of combinations grows with the tokens that are frequent together in different rows.
     """
     lists = labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
-    count = labelled.count()
+    count, share = labelled.agg(F.count("*"), F.coalesce(F.try_divide(F.count_if("bad"), F.count("*")), F.lit(0.0))).first()
     support = min(1.0, max(support, least / max(1, count)))
     kinds = token_classes(lists, support * count).persist()  # at most a URL's mean number of tokens / support
     one = lists.select("tokens", "n", "n_bad", F.explode("tokens").alias("token")).join(F.broadcast(kinds), "token", "left")
@@ -79,8 +87,10 @@ def mined_rules(labelled: DataFrame, support: float, confidence: float, least: i
     rows = rows.select("items", "n", "n_bad", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(1000))).alias("first"))
     rows = rows.select("items", "n_bad", F.explode(F.sequence("first", F.least(F.col("first") + 999, F.col("n") - 1))).alias("i"))
     baskets = rows.select(F.when(F.col("i") < F.col("n_bad"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min(1.0, max(confidence, lift * share * (1 - 1e-12)))).fit(baskets)
     rules = model.associationRules.where(F.lit(count >= least) & (F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
+    rows_of = F.round(F.col("support") * count / F.col("confidence"))
+    rules = rules.where(lower_bound(F.col("confidence"), rows_of, z) > share)
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     inner = rules.select(F.explode("tokens").alias("token"), F.col("tokens").alias("t"), F.col("confidence").alias("c"))
     # a rule is redundant if one that shares a token lies inside it and is as sure
@@ -99,16 +109,20 @@ def filter_urls(
     bad: Column | None = None,
     url: str = "url",
     support: float = 0.002,
-    confidence: float = 0.6,
-    least: int = 25,
+    confidence: float = 0.0,
+    least: int = 5,
+    lift: float = 1.25,
+    z: float = 1.96,
 ) -> DataFrame:
     """Adds host, path, rule, verdict, mined_tokens and mined_confidence to every page.
 
     The verdict is that of the longest listed rule that fits; else ``block`` if a mined combination is
     among the URL's tokens, else ``allow``. Combinations are learnt from pages whose id has a label (a
-    page with several labels counts once for each). Null labels count as not bad. Mined rules are matched
-    by an index on their least frequent token, over different URLs. All rows stay; null or odd URLs have
-    empty host and path and are allowed. Columns of these names are replaced.
+    page with several labels counts once for each, a repeated page too). Null labels count as not bad. What makes a rule
+    is told by ``mined_rules``; with ``confidence`` it must be that sure besides. Mined rules are matched
+    by an index on their least frequent token, over different URLs. Of several that fit the surest names the page,
+    of equally sure ones the last in the order of their tokens. All rows stay, those without an id or repeated too; null or odd URLs have
+    empty host and path and are allowed. Empty tables of pages or labels give no rows or no mined rules. Columns of these names are replaced.
     """
     added = ["host", "path", "rule", "verdict", "mined_tokens", "mined_confidence"]
     pages = pages.drop(*added)
@@ -117,7 +131,7 @@ def filter_urls(
     parts = pages.select(F.col(id).alias("__id"), F.col(url).alias("url")).withColumns({"host": host, "path": path})
     parts = parts.withColumn("tokens", url_tokens("url", "host", "path"))
     marks = labels.select(F.col(label_id).alias("__id"), F.coalesce(bad, F.lit(False)).alias("bad"))
-    mined, kinds = mined_rules(parts.join(marks, "__id").where(F.size("tokens") > 0).select("tokens", "bad"), support, confidence, least)
+    mined, kinds = mined_rules(parts.join(marks, "__id").where(F.size("tokens") > 0).select("tokens", "bad"), support, confidence, least, lift, z)
 
     urls = parts.where(F.col("url").isNotNull() & (F.size("tokens") > 0)).select("url", "tokens").distinct()
     each = mined.select("tokens", "confidence", F.explode("tokens").alias("kind"))
@@ -133,7 +147,9 @@ def filter_urls(
     best = hits.groupBy("url").agg(F.max(F.struct("mined_confidence", "mined_tokens")).alias("m"))
     out = pages.withColumns({"host": host, "path": path})
     rule, verdict = listed("host", "path", rules)
-    out = out.withColumns({"rule": rule, "__listed": verdict}).join(best.withColumnRenamed("url", "__url"), F.col(url) == F.col("__url"), "left")
+    # pages without a URL match nothing; they are spread by their ids
+    key = F.coalesce(F.col(url), F.concat(F.lit(" "), F.xxhash64(id)))
+    out = out.withColumns({"rule": rule, "__listed": verdict, "__url": key}).join(best.withColumnRenamed("url", "__url"), "__url", "left")
     mined_verdict = F.when(F.col("m").isNotNull(), "block").otherwise("allow")
     out = out.withColumns({"verdict": F.coalesce("__listed", mined_verdict), "mined_tokens": F.col("m.mined_tokens"), "mined_confidence": F.col("m.mined_confidence")})
     return out.drop("m", "__url", "__listed")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from datalode.llm import topk
 from datalode.llm.decontaminate import mark_contaminated
 from datalode.llm.jaccard import entries, similar_groups
 from datalode.llm.licenses import scan_licenses
@@ -123,6 +125,17 @@ def test_repeats(docs, none, group):
             bytes(r["kept"]).decode()
 
 
+@pytest.mark.parametrize(("length", "shorter", "group"), [(3, 2, 4096), (20, None, 4096), (150, 33, 4096), (150, 33, 1), (700, 90, 4096), (90, 300, 1)])
+def test_repeats_of_any_length(docs, length, shorter, group):
+    texts = [t for _, t in TEXTS]
+    rows = remove_repeats(docs, length=length, shorter=shorter, group=group).collect()
+    assert Counter(bytes(r["kept"]) for r in rows) == Counter(brute_repeats(texts, length))
+    if shorter:
+        left = lambda r: len((r["text"] or "").encode()) - sum(s["b"] - s["a"] for s in r["shared"])
+        least = brute_repeats(texts, min(length, shorter))
+        assert Counter(map(left, rows)) == Counter(map(len, least))
+
+
 def test_repeated_words_under_the_bytes(spark):
     """Runs of 51 short words go though they have fewer bytes than a window; runs of 50 stay."""
     r = random.Random(8)
@@ -282,7 +295,7 @@ def test_mined_rules_are_those_of_all_itemsets(spark):
     rows += [(300, "http://h.org/?b&f", 0), (301, "http://h.org/?e&b&c", 0)]
     pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
     marks = spark.createDataFrame([(i, 1, bad) for i, _, bad in rows[:300]], "doc_id long, quality int, toxic int")
-    got = filter_urls(pages, marks, []).collect()
+    got = filter_urls(pages, marks, [], confidence=0.6, least=25, lift=0.0, z=0.0).collect()
     common = {"scheme:http", "host:h.org", "site:h.org", "zone:org"}
     sets = {i: common | {f"key:{k}" for k in u.split("?")[1].split("&") if k} for i, u, _ in rows}
     rules = {}
@@ -309,6 +322,28 @@ def test_top_k(spark):
     assert exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_prunes(spark, monkeypatch):
+    """Unit vectors: most rows are passed over, none that counts is; queries in blocks, repeated ids, unlike widths."""
+    g = np.random.default_rng(5)
+    v = g.normal(size=(3000, 64))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True))
+    lengths = np.linalg.norm(v, axis=1)
+    v = v[np.argsort(-lengths, kind="stable")]
+    asked = topk.Queries(v[:100])
+    need = np.sort(v[:100] @ v.T, axis=1)[:, -6]
+    keep = asked.survivors(np.arange(100), v, np.sort(lengths)[::-1], need)
+    assert keep.mean() < 0.1 and keep[v[:100] @ v.T >= need[:, None]].all()
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 9)
+    rows = [(i, x.tolist()[: 64 if i % 7 else 40]) for i, x in enumerate((v / 256)[:900])] + [(50, (v[7] / 256).tolist()), (50, (v[8] / 256).tolist()), (51, (v[50] / 256).tolist())]
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), k=4, every=50).collect()
+    whole = [(i, [int(math.floor(256 * x)) for x in e]) for i, e in rows]
+    for q in range(0, 900, 50):
+        own = min(e for i, e in whole if i == q)
+        want = sorted((-sum(a * b for a, b in zip(own, e, strict=False)), i) for i, e in whole if i != q)[:4]
+        assert [(-x["score"], x["vec_id"]) for x in sorted((x for x in got if x["query_id"] == q), key=lambda x: x["rank"])] == want
+    assert len(got) == 18 * 4
+
+
 def test_quality(spark, docs, none):
     r = random.Random(9)
     rows = []

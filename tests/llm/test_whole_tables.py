@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 from pathlib import Path
 
 import numpy as np
@@ -80,6 +81,20 @@ def brute_spans(documents, length):
     return bodies, out
 
 
+def with_word_runs(bodies, spans, n):
+    """The spans joined with those of repeated runs of ``n`` words."""
+    ends = {i: [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for i, b in bodies.items()}
+    runs = {i: [(e[k][0], e[k + n - 1][1]) for k in range(len(e) - n + 1)] for i, e in ends.items()}
+    seen = Counter(bodies[i][a:b] for i, own in runs.items() for a, b in own)
+    out = {}
+    for i, body in bodies.items():
+        gone = np.zeros(len(body) + 2, bool)
+        for a, b in [*spans[i], *((a, b) for a, b in runs[i] if seen[body[a:b]] > 1)]:
+            gone[a + 1 : b + 1] = True
+        out[i] = np.flatnonzero(np.diff(gone)).reshape(-1, 2).tolist()
+    return out
+
+
 def rest(body, spans):
     gone = np.zeros(len(body), bool)
     for a, b in spans:
@@ -119,20 +134,67 @@ def test_decontamination(spark, documents, items):
         assert got[key] == (pytest.approx(share), start)
 
 
-def test_url_filters(spark):
-    pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()}
-    rows = Q.op2_url_filters(spark, SF).collect()
-    assert len(rows) == len(pages)
+def parts_of(url):
+    """Host, path and tokens of a URL."""
+    url = url or ""
+    after = url.split("://", 1)[1] if "://" in url else ""
+    host = re.match("[^/?#]*", after)[0]
+    path = re.match("[^?#]*", after[len(host) :])[0]
+    host = host.translate(UPPER)
+    labels = host.split(".")
+    query = re.match(r"[^?#]*\?([^#]*)", url)
+    keys = [x.split("=")[0] for x in query[1].split("&")] if query else []
+    ending = re.search(r"\.([A-Za-z]{1,5})$", path)
+    tokens = {("scheme", url.split("://")[0]), ("host", host), ("site", ".".join(labels[-2:])), ("zone", labels[-1]), ("ending", ending[1] if ending else "")}
+    tokens |= {("part", x) for x in labels[:-1]} | {("folder", x) for x in path.split("/")} | {("key", x) for x in keys}
+    return host, path, frozenset(f"{k}:{x}" for k, x in tokens if x) | ({"fragment"} if "#" in url else set()) if host else frozenset()
+
+
+def brute_rules(rows, support, least, lift, z):
+    """Every combination of tokens of the labelled rows, counted."""
+    n = len(rows)
+    share = sum(b for _, b in rows) / max(n, 1)
+    least = max(least, math.ceil(support * n - 1e-9))
+    single = Counter(t for ts, b in rows if b for t in ts)
+    often = {t for t, c in single.items() if c >= least}
+    held, bad = Counter(), Counter()
+    for ts, b in rows:
+        own = sorted(ts & often)
+        for size in range(1, len(own) + 1):
+            for c in combinations(own, size):
+                held[c] += 1
+                bad[c] += b
+    out = {}
+    for c, k in bad.items():
+        m = held[c]
+        p = k / m
+        low = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        if k >= least and p >= lift * share and low > share:
+            out[frozenset(c)] = p
+    return out
+
+
+@pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.1"])
+def test_url_filters(spark, folder):
+    pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    parts = {i: parts_of(u) for i, u in pages.items()}
+    mined = brute_rules([(parts[x["doc_id"]][2], x["toxic"] == 1 or x["quality"] == 0) for x in labels if x["doc_id"] in pages and parts[x["doc_id"]][2]], 0.002, 5, 1.25, 1.96)
+    rows = Q.op2_url_filters(spark, folder).collect()
+    assert len(rows) == len(pages) and (mined or folder == SF)
+    blocked = 0
     for r in rows:
-        url = pages[r["page_id"]] or ""
-        after = url.split("://", 1)[1] if "://" in url else ""
-        host = re.match("[^/?#]*", after)[0]
-        path = re.match("[^?#]*", after[len(host) :])[0]
-        host = host.translate(UPPER)
+        host, path, tokens = parts[r["page_id"]]
         fit = [x for x in Q.URL_RULES if (host == x[1] or host.endswith("." + x[1])) and path.startswith(x[2])]
         verdict, h, p = max(fit, key=lambda x: len(x[1]) + len(x[2])) if fit else (None, None, None)
         assert (r["host"], r["path"], r["rule"]) == (host, path, h and h + p)
-        assert r["verdict"] == (verdict or ("block" if r["mined_rule"] else "allow"))
+        sure = max((c for t, c in mined.items() if t <= tokens), default=None)
+        assert (r["mined_rule"] is None) == (sure is None)
+        if sure is not None:
+            assert any(c == sure and t <= tokens for t, c in mined.items() if t == frozenset(r["mined_rule"].split(" ")))
+        assert r["verdict"] == (verdict or ("block" if sure is not None else "allow"))
+        blocked += not verdict and sure is not None
+    assert blocked or folder == SF
 
 
 def test_language_scores(spark, documents):
@@ -179,6 +241,7 @@ def test_quality_on_held_out_labels(spark):
 
 def test_suffix_dedup(spark, documents):
     bodies, spans = brute_spans(documents, 400)
+    _, shared = brute_spans(documents, Q.SHARED_BYTES)
     rows = Q.op7_suffix_dedup(spark, SF).collect()
     assert len(rows) == len(documents) and any(spans.values())
     for r in rows:
@@ -186,6 +249,7 @@ def test_suffix_dedup(spark, documents):
         kept = rest(body, own)
         assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(body), len(body) - len(kept), len(own))
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+        assert r["n_shared"] == len(body) - len(rest(body, shared[r["doc_id"]])) >= r["n_removed"]
 
 
 @pytest.fixture(scope="module")
@@ -245,6 +309,7 @@ def test_pipeline_stages(spark, items):
 
     cut = stages["repeated_passages"](spark, single, SF)
     bodies, spans = brute_spans(now, corpus_pipeline.REPEATED_BYTES)
+    spans = with_word_runs(bodies, spans, corpus_pipeline.REPEATED_WORDS)
     want = {}
     for i, body in bodies.items():
         tail = lambda at: at < len(body) and 0x80 <= body[at] < 0xC0  # noqa: B023,E731
