@@ -94,8 +94,8 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pii_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.counted(t, X.SECRETS).alias("n"), F.sha2(X.replaced(t, X.SECRETS), 256).alias("redacted"))
+    out = X.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", X.SECRETS)
+    return out.select("doc_id", "n", F.sha2("redacted", 256).alias("redacted"))
 
 
 @query(
@@ -105,10 +105,9 @@ def pii_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities redacted, their types, and what a second look still finds."""
-    rules = X.SECRETS + X.ENTITIES
-    t = F.col("text")
-    out = table(spark, sf_dir, "documents").select("doc_id", X.counted(t, rules).alias("n"), F.array_join(X.found_types(t, rules), ",").alias("types"), X.replaced(t, rules).alias("r"))
-    return out.select("doc_id", "n", "types", F.sha2("r", 256).alias("redacted"), X.counted(F.col("r"), X.ENTITIES).alias("left_over"))
+    out = X.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", X.SECRETS + X.ENTITIES)
+    again = X.redacted(out.select("doc_id", "n", "types", "redacted"), "redacted", X.ENTITIES, "second", "left_over", "left_types")
+    return again.select("doc_id", "n", F.array_join("types", ",").alias("types"), F.sha2("redacted", 256).alias("redacted"), "left_over")
 
 
 @query(
@@ -122,21 +121,39 @@ def pii_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("p.token", "p.value").agg(F.count("*").alias("documents"))
 
 
+_EMAIL = X.ENTITIES[0].pattern
+
+
+@query(
+    "pii_tokenised",
+    f"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{_EMAIL}') AS vs, string_split(regexp_replace(text, '{_EMAIL}', chr(1), 'g'), chr(1)) AS bs FROM documents)
+    SELECT doc_id, len(vs) AS n, sha256(array_to_string(list_transform(bs, lambda b, i: b || CASE WHEN i <= len(vs) THEN '<EMAIL_ADDRESS_' || substr(sha256(vs[i]), 1, 8) || '>' ELSE '' END), '')) AS tokenised FROM m""",
+)
+def pii_tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its e-mail addresses as tokens."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.regexp_count("text", F.lit(_EMAIL)).cast("long")
+    return docs.select("doc_id", n.alias("n"), F.sha2(X.tokenised(F.col("text"), X.ENTITIES[:1]), 256).alias("tokenised"))
+
+
 @query(
     "pii_log_redact",
     f"SELECT doc_id, CAST({_count_sql('text', X.LOG_PII)} AS BIGINT) AS n, sha256({_replace_sql('text', X.LOG_PII)}) AS redacted FROM documents",
 )
 def pii_log_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules for logs over every document."""
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.counted(t, X.LOG_PII).alias("n"), F.sha2(X.replaced(t, X.LOG_PII), 256).alias("redacted"))
+    out = X.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", X.LOG_PII)
+    return out.select("doc_id", "n", F.sha2("redacted", 256).alias("redacted"))
+
+
+_TRACE = _replace_sql("substr(text, 1, 2000)", X.TRACE_PII)
 
 
-@query("trace_sampling")
+@query("trace_sampling", f"SELECT conv_id || '-' || turn AS trace_id, role, {_TRACE} AS text FROM conversations WHERE CAST('0x' || substr(md5(conv_id || '-' || turn), 1, 8) AS BIGINT) % 1000 < 100")
 def trace_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of all turns by a hash of their key, redacted for traces after a cut at 2000."""
     turns = table(spark, sf_dir, "conversations").withColumn("trace_id", F.concat_ws("-", "conv_id", "turn"))
-    sampled = turns.where(F.pmod(F.xxhash64("trace_id"), F.lit(1000)) < 100)
+    sampled = turns.where(X.sampled(F.col("trace_id"), 0.1))
     return sampled.select("trace_id", "role", X.replaced(F.substring("text", 1, 2000), X.TRACE_PII).alias("text"))
 
 
