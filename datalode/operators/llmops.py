@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -177,6 +181,35 @@ def cache_hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache, "prompt_hash").where(live)
 
 
+def nearest_entries(requests: DataFrame, entries: DataFrame, most: int = 500) -> DataFrame:
+    """query_id, entry_id, score: the cache entry of the highest cosine for each request; the smaller id of equals.
+
+    The newest ``most`` entries at most are looked at (a fixed number, the cache's own rule); they go to all tasks, and a
+    request is one row of a matrix product: no join, no shuffle. An entry does not answer itself; requests whose
+    vector is null, zero or of another size are left out."""
+    held = entries.where("e is not null").limit(most).collect()
+    ids = np.array([r["entry_id"] for r in held], np.int64)
+    order = np.argsort(ids, kind="stable")
+    matrix = np.array([held[i]["e"] for i in order.tolist()], np.float64).reshape(len(held), -1)
+    ids, sizes = ids[order], np.linalg.norm(matrix, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1).to_pylist()
+            fit = np.flatnonzero([v is not None and len(v) == matrix.shape[1] and None not in v for v in lists])
+            asked = b.column(0).to_numpy(zero_copy_only=False)[fit]
+            rows = np.array([lists[i] for i in fit.tolist()], np.float64).reshape(len(fit), matrix.shape[1])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = np.round((rows @ matrix.T) / (np.linalg.norm(rows, axis=1)[:, None] * sizes[None, :]), 9)
+            scores = np.where(np.isfinite(scores) & (asked[:, None] != ids[None, :]), scores, -np.inf)
+            best = scores.argmax(axis=1) if len(ids) else np.zeros(len(fit), np.int64)
+            top = scores[np.arange(len(fit)), best] if len(ids) else np.full(len(fit), -np.inf)
+            some = top > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(asked[some], pa.int64()), pa.array(ids[best[some]] if len(ids) else [], pa.int64()), pa.array(top[some], pa.float64())], names=["query_id", "entry_id", "score"])
+
+    return requests.select(F.col("query_id").cast("long"), "embedding").where("query_id is not null").mapInArrow(run, "query_id long, entry_id long, score double")
+
+
 def first_submissions(rows: DataFrame, hours: int = 24) -> DataFrame:
     """For each client id and window of ``hours`` from its first request on: the first job and its repeats."""
     start = F.min("ts").over(Window.partitionBy("client_request_id"))

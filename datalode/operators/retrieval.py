@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from datalode.sources.shared import written
+
 #: BM25 and fusion constants (fixed values).
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 DIVIDER = "\n" + "─" * 50 + "\n"
@@ -16,21 +22,23 @@ def words(text: Column) -> Column:
 
 
 def postings(chunks: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """chunk_id, term, tf and the chunk's length; one row per term of a chunk."""
+    """chunk_id, term, tf and the chunk's length; one row per term of a chunk. Written once: the corpus is split into words once."""
     # the words are a column of their own, else their number would be worked out again for every word
     one = chunks.select(F.col(id).alias("chunk_id"), words(F.col(text)).alias("w"))
     one = one.select("chunk_id", F.size("w").cast("long").alias("length"), F.explode("w").alias("term"))
-    return one.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return written(one.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "length"), "postings")
 
 
-def corpus_statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """One row: number of chunks and average length."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(words(F.col(text)))).alias("average"))
+def corpus_statistics(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row: number of chunks and average length, by their postings."""
+    words_of_all = terms.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"), F.lit(0).alias("k"))
+    n = chunks.agg(F.count("*").alias("n"), F.lit(0).alias("k"))
+    return n.join(F.broadcast(words_of_all), "k").select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("average"))  # one row each
 
 
 def inverse_frequencies(terms: DataFrame, statistics: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """term, idf: ln((n - df + .5) / (df + .5)); negative ones become epsilon times the mean over all terms."""
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    df = written(terms.groupBy("term").agg(F.count("*").alias("df")), "terms")
     raw = df.withColumn("k", F.lit(0)).join(F.broadcast(statistics.withColumn("k", F.lit(0))), "k")
     raw = raw.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"), F.lit(0).alias("k"))
@@ -43,12 +51,11 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, id: str = "chunk_id", tex
 
     Query terms count as often as they occur. Postings are cut to the terms of queries before scoring."""
     terms = postings(chunks, id, text)
-    statistics = corpus_statistics(chunks, text)
-    idf = inverse_frequencies(terms, statistics)
+    statistics = written(corpus_statistics(chunks, terms), "statistics")
     asked = queries.select("query_id", F.explode(words(F.col(query_text))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = terms.join(asked.select("term").distinct(), "term", "left_semi").join(idf, "term")
-    wanted = wanted.withColumn("k", F.lit(0)).join(F.broadcast(statistics.withColumn("k", F.lit(0))), "k")
+    asked = written(asked.groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
+    idf = inverse_frequencies(terms, statistics).join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = terms.join(idf, "term").withColumn("k", F.lit(0)).join(F.broadcast(statistics.withColumn("k", F.lit(0))), "k")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     scored = wanted.select("chunk_id", "term", weight.alias("w")).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("times")), 9).alias("score"))
     return scored.where("score > 0")
@@ -66,25 +73,62 @@ def normalised(scored: DataFrame, score: str = "score") -> DataFrame:
     return scored.withColumn("normalised", F.round(F.col(score) / F.when(top > 0, top).otherwise(1.0), 9))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
-def cosine_scores(vectors: DataFrame, queries: DataFrame, same: bool = False) -> DataFrame:
-    """query_id, chunk_id, score: cosine of every query with every vector; 0 for zero or unlike vectors.
-
-    The query set is stated and goes to all rows in one broadcast when it is small, else by blocks."""
-    q = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"), F.lit(0).alias("k"))
-    v = vectors.select("chunk_id", "embedding", norm(F.col("embedding")).alias("vn"), F.lit(0).alias("k"))
-    both = v.join(q, "k")
-    if not same:
-        both = both.where(F.col("chunk_id") != F.col("query_id"))
-    fit = (F.size("q") == F.size("embedding")) & (F.col("qn") > 0) & (F.col("vn") > 0)
-    return both.select("query_id", "chunk_id", F.round(F.when(fit, dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("vn"))).otherwise(0.0), 9).alias("score"))
+#: Queries that go to all tasks at once.
+QUERY_BLOCK = 4096
+
+
+def _nearest(ids: np.ndarray, queries: np.ndarray, groups: np.ndarray, k: int, same: bool):
+    """The k best queries' scores among the rows of each batch, by one matrix product; ties to smaller ids."""
+    sizes = np.linalg.norm(queries, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chunk = b.column(0).to_numpy(zero_copy_only=False)
+            lists = b.column(1).to_pylist()
+            fit = np.array([v is not None and len(v) == queries.shape[1] and None not in v for v in lists], bool)
+            rows = np.array([v if ok else [0.0] * queries.shape[1] for v, ok in zip(lists, fit, strict=True)], np.float64).reshape(len(lists), -1)
+            long = np.linalg.norm(rows, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = np.round((queries @ rows.T) / (sizes[:, None] * long[None, :]), 9)
+            scores[(sizes == 0)[:, None] | (long == 0)[None, :]] = 0.0
+            allowed = groups[:, None] == b.column(2).to_numpy(zero_copy_only=False).astype(str)[None, :]
+            if not same:
+                allowed &= ids[:, None] != chunk[None, :]
+            scores = np.where(allowed, scores, -np.inf)
+            order = np.argsort(chunk, kind="stable")
+            best = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]
+            q = np.repeat(np.arange(len(ids)), best.shape[1])
+            r = order[best.ravel()]
+            some = scores[q, r] > -np.inf
+            q, r = q[some], r[some]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(chunk[r], pa.int64()), pa.array(scores[q, r], pa.float64())], names=["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, same: bool = False, group: str | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k highest cosines of each query; 0 for zero or unlike vectors.
+
+    A stated query set is taken in blocks of a fixed size, each sent to all tasks; a task gives the k best of each
+    batch of vectors, so that only those are shuffled. With ``group``, a column of both, only vectors of the query's
+    group are compared. Vectors without a value, or with null components, score 0."""
+    key = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
+    asked = queries.where("query_id is not null and embedding is not null").select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"), key.alias("g"))
+    rows = vectors.where("chunk_id is not null").select(F.col("chunk_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), key.alias("g"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    out = None
+    for block in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # QUERY_BLOCK rows, about
+        for width in sorted({len(r["q"]) for r in mine}) or [0]:
+            some = [r for r in mine if len(r["q"]) == width]
+            ids = np.array([r["query_id"] for r in some], np.int64)
+            held = np.array([[np.nan if x is None else x for x in r["q"]] for r in some], np.float64).reshape(len(some), width)
+            held[np.isnan(held).any(axis=1)] = 0.0
+            groups = np.array([r["g"] for r in some], str)
+            found = rows.mapInArrow(_nearest(ids, held, groups, k, same), "query_id long, chunk_id long, score double")
+            found = written(found, "nearest") if blocks > 1 else found
+            out = found if out is None else out.unionByName(found)
+    return top_k(out, k)
 
 
 def fused(dense: DataFrame, sparse: DataFrame, k: int, hydrate_sparse: bool = False) -> DataFrame:

@@ -265,13 +265,9 @@ def cache_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of the newest 500 entries for every vector, if near enough (0.3 on these data)."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    newest = vectors.orderBy(F.desc("query_id")).limit(500).select(F.col("query_id").alias("entry_id"), F.col("embedding").alias("e"), F.lit(0).alias("k"))
-    from datalode.operators.retrieval import dot, norm
-
-    both = vectors.withColumn("k", F.lit(0)).join(F.broadcast(newest), "k").where("query_id <> entry_id")
-    both = both.withColumn("score", F.round(dot(F.col("embedding"), F.col("e")) / (norm(F.col("embedding")) * norm(F.col("e"))), 9))
-    best = both.groupBy("query_id").agg(F.max("score").alias("score"), F.max_by("entry_id", F.struct("score", -F.col("entry_id"))).alias("entry_id"))
-    return best.where("score >= 0.3").select("query_id", "entry_id", "score")
+    newest = vectors.orderBy(F.desc("query_id")).limit(500).select(F.col("query_id").alias("entry_id"), F.col("embedding").alias("e"))
+    found = L.nearest_entries(vectors, newest)
+    return found.where("score >= 0.3").select("query_id", "entry_id", "score")
 
 
 @query(

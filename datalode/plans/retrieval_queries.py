@@ -73,7 +73,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query("dense_topk", f"WITH {_DENSE}, {_top('t', 'dense', 20)} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM t")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every 50th."""
-    return R.top_k(R.cosine_scores(*_vectors(spark, sf_dir)), 20)
+    return R.nearest(*_vectors(spark, sf_dir), 20)
 
 
 @query("embedding_check", "SELECT len(embedding) AS dimension, len(embedding) = 64 AS ok, count(*) AS n FROM embeddings GROUP BY ALL")
@@ -98,7 +98,7 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     asked = docs.join(queries.select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "query_id")
     sparse = R.bm25_scores(docs, asked).where("query_id <> chunk_id")
-    return R.fused(R.top_k(R.cosine_scores(vectors, queries), 20), R.top_k(sparse, 20), 20)
+    return R.fused(R.nearest(vectors, queries, 20), R.top_k(sparse, 20), 20)
 
 
 @query("rrf_fuse", f"WITH {_HYBRID} SELECT * FROM fused")
@@ -116,13 +116,24 @@ def relevance_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tenant_search", f"""WITH {_DENSE}, r AS (SELECT query_id, chunk_id, score FROM dense JOIN documents a ON a.doc_id = query_id JOIN documents b ON b.doc_id = chunk_id AND a.source = b.source),
     {_top("t", "r", 5)} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM t""")
 def tenant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors among the documents of the query's own tenant, joined by tenant before scoring."""
+    """Nearest vectors among the documents of the query's own tenant."""
     vectors, queries = _vectors(spark, sf_dir)
-    tenants = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("k"))
-    v = vectors.join(tenants, "chunk_id").select("chunk_id", "k", "embedding", R.norm(F.col("embedding")).alias("vn"))
-    q = queries.join(tenants.withColumnRenamed("chunk_id", "query_id"), "query_id").select("query_id", "k", F.col("embedding").alias("q"), R.norm(F.col("embedding")).alias("qn"))
-    both = v.join(q, "k").where("chunk_id <> query_id")
-    return R.top_k(both.select("query_id", "chunk_id", F.round(R.dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("vn")), 9).alias("score")), 5)
+    tenants = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    return R.nearest(vectors.join(tenants, "chunk_id"), queries.join(tenants.withColumnRenamed("chunk_id", "query_id"), "query_id"), 5, group="source")
+
+
+@query(
+    "document_search",
+    f"""WITH {_DENSE}, r AS (SELECT query_id, chunk_id, score FROM dense JOIN documents a ON a.doc_id = query_id JOIN documents b ON b.doc_id = chunk_id AND a.source = b.source
+    WHERE b.lang = 'en'), {_top("t", "r", 5)} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM t""",
+)
+def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As tenant_search, restricted to selected documents (those in English)."""
+    vectors, queries = _vectors(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    tenants = docs.select(F.col("doc_id").alias("chunk_id"), "source")
+    chosen = vectors.join(docs.where("lang = 'en'").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
+    return R.nearest(chosen.join(tenants, "chunk_id"), queries.join(tenants.withColumnRenamed("chunk_id", "query_id"), "query_id"), 5, group="source")
 
 
 _FINAL = f"""{_HYBRID}, ft AS (SELECT f.*, d.text, d.source AS source_filename, d.doc_id, q.text AS query_text FROM fused f

@@ -1 +1 @@
-
+"""Tables in shared folders: intermediate ones and raw copies."""

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from datalode.sources.shared import scratch
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 #: Rows later than this are dropped by the watermark.
 DELAY = "10 minutes"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """Events as they arrive as files."""
     return spark.readStream.schema(EVENTS).parquet(path)
