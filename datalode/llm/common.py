@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,16 +18,20 @@ CHUNK_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep Arrow batches small enough for long texts: the session's setting is lowered, never raised."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a local one only where the cluster names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for intermediate tables; on one machine, where none is named, its temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        kept = spark.sparkContext.getCheckpointDir()
-        folder = kept or "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
     return folder.rstrip("/")
 
 
