@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,9 +66,11 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
-def appended(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A snapshot in which old rows win."""
-    return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys)))
+def appended(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """A snapshot in which old rows win, and of new rows of a key the first."""
+    rest = [c for c in new.columns if c not in keys]
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__e")).select(*keys, "__e.*")
+    return old.unionByName(first.join(old.select(*keys), list(keys), "left_anti"))
 
 
 def erased(rows: DataFrame, asked: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -76,6 +78,12 @@ def erased(rows: DataFrame, asked: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(asked.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def erased_everywhere(stores: Mapping[str, DataFrame], documents: DataFrame, asked: DataFrame) -> dict[str, DataFrame]:
+    """Every store without the documents that requests (doc_id, tenant_id) name; only a document's own tenant may ask."""
+    own = documents.join(asked.select("doc_id", "tenant_id").distinct(), ["doc_id", "tenant_id"], "left_semi")
+    return {name: erased(rows, own, ["doc_id"]) for name, rows in stores.items()}
+
+
 def latest(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """For each key the last value (``value_``) and its time (``at_``)."""
     return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("value_"), F.max(order[0]).alias("at_"))

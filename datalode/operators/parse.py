@@ -136,14 +136,3 @@ def _split(text: Column) -> Column:
 def _tail(text: Column, n: int) -> Column:
     w = _split(text)
     return F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " ")
-
-
-def table_of(markdown: Column) -> Column:
-    """A Markdown table as struct(headers, rows); null with fewer than two lines or without rows."""
-    lines = F.filter(F.transform(F.split(markdown, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|"))
-    cells = lambda line: F.transform(F.split(F.regexp_replace(F.regexp_replace(line, r"^\s*\|", ""), r"\|\s*$", ""), r"\|"), lambda x: F.trim(x))
-    headers = cells(lines[0])
-    data = F.filter(F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1))), lambda x: ~x.rlike(r"^[-|: ]*$"))
-    row = lambda line: F.map_from_arrays(headers, F.transform(headers, lambda h, i: F.coalesce(F.get(cells(line), i), F.lit(""))))
-    rows = F.filter(F.transform(data, row), lambda m: F.exists(F.map_values(m), lambda v: v != ""))
-    return F.when((F.size(lines) >= 2) & (F.size(rows) > 0), F.struct(headers.alias("headers"), rows.alias("rows")))

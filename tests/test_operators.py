@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from datalode.functions import text as X
+from datalode.operators import chunks as C
 from datalode.operators import decks as D
 from datalode.operators import ingest as I
 from datalode.operators import llmops as L
 from datalode.operators import parse as P
 from datalode.operators import retrieval as R
+from datalode.operators import tables as T
 
 
 def one(spark, value, column):
@@ -76,11 +78,38 @@ def test_markdown(spark):
     assert paths[2]["section_path"] == ["Title", "Part"]
 
 
-def test_markdown_table(spark):
-    text = "| Quarter | Growth |\n|---|---|\n| Q1 | 12% |\n| Q2 |\n"
-    got = one(spark, text, P.table_of)
-    assert got["headers"] == ["Quarter", "Growth"] and got["rows"] == [{"Quarter": "Q1", "Growth": "12%"}, {"Quarter": "Q2", "Growth": ""}]
-    assert one(spark, "", P.table_of) is None and one(spark, "| one |", P.table_of) is None
+def test_tables(spark):
+    text = "| Quarter | Growth | Growth |\n|---|---|---|\n| Q1 | 12% | 3 |\n|  | | |\n| Q2 |\n"
+    got = one(spark, text, T.markdown_table)
+    rows = [{x["key"]: x["value"] for x in r} for r in got["rows"]]
+    assert got["headers"] == ["Quarter", "Growth", "Growth"] and rows == [{"Quarter": "Q1", "Growth": "3"}, {"Quarter": "Q2", "Growth": ""}]
+    assert one(spark, "", T.markdown_table) is None and one(spark, "| one |", T.markdown_table) is None
+    grid = spark.createDataFrame([([["a", " "], ["1", "2", "3"], ["", None]],), ([["a"]],), (None,)], "g array<array<string>>")
+    first, *none = [r["t"] for r in grid.select(T.grid_table(F.col("g")).alias("t")).collect()]
+    assert first["headers"] == ["a", "col_1"] and [[tuple(x) for x in r] for r in first["rows"]] == [[("a", "1"), ("col_1", "2"), ("col_2", "3")]] and none == [None, None]
+    told = one(spark, text, lambda c: T.table_description(T.markdown_table(c), F.lit("Sales")))
+    assert told == "Table: Sales. Columns: Quarter, Growth, Growth. Quarter: Q1. Growth: 3 | Quarter: Q2"
+    assert one(spark, "", lambda c: T.table_description(T.markdown_table(c))) == "Table with no extractable text content."
+
+
+def test_typed_chunks(spark):
+    long, para = " ".join(f"w{i}" for i in range(600)), lambda n, w: " ".join([w] * n)
+    rows = [
+        (1, 0, "heading", "Tiny", 1, ["Tiny"], None, None), (1, 1, "paragraph", para(300, "a"), 1, [], None, None), (1, 2, "page_footer", "page 1", 1, [], None, None),
+        (1, 3, "paragraph", para(300, "b"), 2, [], None, None), (1, 4, "table", "| x |", 2, [], '{"headers": ["x"]}', "Columns: x."), (1, 5, "table", "| y |", 2, [], None, None),
+        (1, 6, "table", "plain", 2, [], None, None), (1, 7, "paragraph", para(60, "c"), 3, [], None, None), (1, 8, "list_item", long, 3, [], None, None), (1, 9, "paragraph", "few", 4, [], None, None),
+        (1, 10, "figure", "", 4, [], None, None), (2, 0, "paragraph", "  ", 1, [], None, None),
+    ]
+    elements = spark.createDataFrame(rows, "doc_id long, ord int, element_type string, text string, page_number int, section_path array<string>, table_json string, table_text string")
+    got = C.typed_chunks(elements).orderBy("seq").collect()
+    words = long.split()
+    want = [
+        ("heading", "Tiny"), ("narrative_text", para(300, "a")), ("narrative_text", para(64, "a") + "\n\n" + para(300, "b")), ("table_json", '{"headers": ["x"]}'), ("table_desc", "Columns: x."), ("table_desc", "| y |"),
+        ("narrative_text", para(60, "c")), ("list_item", " ".join(words[:512])), ("narrative_text", " ".join(words[448:512]) + "\n\nfew"),
+    ]
+    assert [(r["chunk_type"], r["text"]) for r in got] == want and [r["chunk_id"] for r in got] == [f"1_c{i:04d}" for i in range(9)]
+    assert {r["headers_path"] for r in got} == {"Tiny"} and got[2]["page_number"] == 2
+    assert C.typed_chunks(elements.limit(0)).count() == 0
 
 
 def test_chunks(spark):
@@ -101,5 +130,5 @@ def test_snapshot_diff_and_stores(spark):
     assert {r["change"] for r in D.snapshot_diff(a, a, ["id"], ["v"]).collect()} == {"unchanged"}
     b = spark.createDataFrame([(2, "z"), (3, "n")], "id int, v string")
     assert {r["id"]: r["v"] for r in I.upserted(a, b, ["id"]).collect()} == {1: "x", 2: "z", 3: "n"}
-    assert {r["id"]: r["v"] for r in I.appended(a, b, ["id"]).collect()} == {1: "x", 2: "y", 3: "n"}
+    assert {r["id"]: r["v"] for r in I.appended(a, b, ["id"], ["v"]).collect()} == {1: "x", 2: "y", 3: "n"}
     assert I.erased(a, b, ["id"]).count() == 1
