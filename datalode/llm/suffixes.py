@@ -391,27 +391,40 @@ def word_runs_of(data: np.ndarray, offsets: np.ndarray, words: int, length: int)
 
 
 def _word_rows(words: int, length: int):
+    """Runs of the texts, each with whether it lies in one of the text's ``spans``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            spans = b.column(3).to_pylist()
             for first, end, data, offsets in chunks_of(b.column(2)):
                 row, start, stop, h1, h2 = word_runs_of(data, offsets, words, length)
                 ids, at = b.slice(first, end - first), pa.array(row)
+                inside = np.zeros(len(row), bool)
+                for r in np.unique(row).tolist():
+                    own = spans[first + r]
+                    if own:
+                        some = np.flatnonzero(row == r)
+                        a, z = np.array([x["a"] for x in own]), np.array([x["b"] for x in own])
+                        k = np.searchsorted(a, start[some], side="right") - 1
+                        inside[some] = (k >= 0) & (stop[some] <= z[k])
                 yield pa.RecordBatch.from_arrays(
-                    [*(ids.column(i).take(at) for i in (0, 1)), *(pa.array(x.astype(np.int32)) for x in (start, stop)), *(pa.array(x, pa.int64()) for x in (h1, h2))],
-                    names=["t1", "t2", "a", "b", "h1", "h2"],
+                    [*(ids.column(i).take(at) for i in (0, 1)), *(pa.array(x.astype(np.int32)) for x in (start, stop)), *(pa.array(x, pa.int64()) for x in (h1, h2)), pa.array(inside)],
+                    names=["t1", "t2", "a", "b", "h1", "h2", "inside"],
                 )
 
     return run
 
 
-def short_runs(docs: DataFrame, text: str, words: int, length: int) -> DataFrame:
-    """Byte spans ``s`` of each different text's runs of ``words`` words under ``length`` bytes that occur elsewhere too."""
+def short_runs(docs: DataFrame, spans: DataFrame, text: str, words: int, length: int) -> DataFrame:
+    """Byte spans ``s`` of each different text's runs of ``words`` words under ``length`` bytes that occur elsewhere too.
+
+    Runs within the ``spans`` (t1, t2, spans) that are known to repeat count, but add nothing."""
     # words are at least a byte each, with one between
     texts = _keyed(docs.select(F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") >= 2 * words - 1), "text")
-    runs = texts.select("t1", "t2", "text").mapInArrow(_word_rows(words, length), "t1 long, t2 long, a int, b int, h1 long, h2 long")
-    runs = written(runs, "word-runs")
+    rows = texts.join(spans.select("t1", "t2", "spans").hint("merge"), ["t1", "t2"], "left").select("t1", "t2", "text", "spans")
+    runs = written(rows.mapInArrow(_word_rows(words, length), "t1 long, t2 long, a int, b int, h1 long, h2 long, inside boolean"), "word-runs")
     twice = written(runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "word-runs-repeated")
-    return runs.join(twice.hint("merge"), ["h1", "h2"], "left_semi").select("t1", "t2", F.struct("a", "b").alias("s"))
+    return runs.where("not inside").join(twice.hint("merge"), ["h1", "h2"], "left_semi").select("t1", "t2", F.struct("a", "b").alias("s"))
 
 
 _SPANS = "array<struct<a:int,b:int>>"
@@ -473,10 +486,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group
     covered = written(covered.groupBy("gram", "context").agg(*unions), "covered")
     moved = [F.transform(F.coalesce(name, F.array().cast(_SPANS)), lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b"))).alias(name) for name in both]
     of_text = anchors.join(covered.hint("merge"), ["gram", "context"]).select("t1", "t2", *moved)
-    if words is not None:
-        runs = short_runs(docs, text, words, length).select("t1", "t2", *(F.array("s").alias(name) for name in both))
-        of_text = of_text.unionByName(runs)
-    return of_text.groupBy("t1", "t2").agg(*(_union(F.array_distinct(F.flatten(F.collect_set(name)))).alias(name) for name in both))
+    unions = [_union(F.array_distinct(F.flatten(F.collect_set(name)))).alias(name) for name in both]
+    of_text = of_text.groupBy("t1", "t2").agg(*unions)
+    if words is None:
+        return of_text
+    of_text = written(of_text, "window-spans")
+    runs = short_runs(docs, of_text, text, words, length).select("t1", "t2", *(F.array("s").alias(name) for name in both))
+    return of_text.unionByName(runs).groupBy("t1", "t2").agg(*unions)
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
