@@ -24,12 +24,15 @@ PRICES = [
 #: Prices of unknown models in each book (fixed values).
 DEFAULTS = {"monitor": (5.0, 15.0), "pipeline": (0.15, 0.6)}
 BREAKER, DAILY_BUDGET, ADMIN_BUDGET = 5.0, 10.0, 100.0
+#: Bounds in seconds (fixed values).
 LATENCY_BUCKETS = (0.5, 1, 2, 5, 10, 20, 30, 60)
 #: Least or largest score that passes each judge (fixed values).
 JUDGES = {"faithfulness": 0.75, "schema_compliance": 0.9, "hallucination_rate": 0.2}
+#: Classes of models by rank, plans' ceilings and the model of each class (fixed values).
 CLASSES = {"fast": 0, "balanced": 1, "powerful": 2}
 PLAN_CEILING = {"free": "fast", "pro": "powerful", "enterprise": "powerful", "admin": "powerful"}
 CLASS_MODEL = {"fast": "gpt-4o-mini", "balanced": "gpt-4o", "powerful": "gpt-4o"}
+#: Words that make a prompt technical (fixed values).
 TECHNICAL = ["roi", "ebitda", "cagr", "npv", "irr", "discounted", "regression", "algorithm", "architecture", "integration", "derivatives", "hedging", "arbitrage"]
 
 
@@ -69,12 +72,13 @@ def tenant_report(calls: DataFrame, today: Column) -> DataFrame:
     )
 
 
-def routed(rows: DataFrame, model_class: str = "model_class", plan: str = "plan") -> DataFrame:
-    """Adds ``model``: the class, not above the plan's ceiling; unknown plans are ``fast``."""
+def routed(rows: DataFrame, model_class: str = "model_class", plan: str = "plan", force: Column | None = None) -> DataFrame:
+    """Adds ``model``: the class, not above the plan's ceiling; unknown plans are ``fast``. A ``force`` that is not null wins."""
     level = lambda c: F.coalesce(_lookup(c, CLASSES), F.lit(0))
     ceiling = F.coalesce(_lookup(F.col(plan), PLAN_CEILING), F.lit("fast"))
     own = F.when(level(F.col(model_class)) <= level(ceiling), F.col(model_class)).otherwise(ceiling)
-    return rows.withColumn("model", F.coalesce(_lookup(own, CLASS_MODEL), F.lit("gpt-4o-mini")))
+    by_class = F.coalesce(_lookup(own, CLASS_MODEL), F.lit("gpt-4o-mini"))
+    return rows.withColumn("model", by_class if force is None else F.coalesce(force, by_class))
 
 
 def _lookup(c: Column, values: dict) -> Column:

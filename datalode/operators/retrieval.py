@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from datalode.sources.shared import written
 
@@ -131,6 +133,50 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, same: bool = False,
     return top_k(out, k)
 
 
+#: Texts that an embedder gets at once (fixed value).
+EMBED_BATCH = 100
+
+
+def hashed_vectors(texts: list[str], dimension: int) -> list[list[float]]:
+    """The default embedder: words hashed to signed places, scaled to length one; zeros without words."""
+    out = np.zeros((len(texts), dimension))
+    for row, text in enumerate(texts):
+        for w in text.lower().split():
+            h = zlib.crc32(w.encode())
+            out[row, h % dimension] += 1 if h >> 31 else -1
+        if text.split() and not out[row].any():  # words that cancel out
+            out[row, zlib.crc32(text.encode()) % dimension] = 1
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)).tolist()
+
+
+def embedded(chunks: DataFrame, dimension: int, embed: Callable[[list[str], int], list[list[float]]] = hashed_vectors, text: str = "text", tries: int = 3) -> DataFrame:
+    """Adds ``embedding`` by a hook that gets 100 texts at once; a batch that fails is tried again, a wrong dimension is an error.
+
+    Null texts are empty. The hook is loaded once for each worker; rows stay where they are."""
+    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    place = chunks.columns.index(text)
+
+    def one(texts: list[str]) -> list[list[float]]:
+        for left in reversed(range(tries)):
+            try:
+                out = embed(texts, dimension)
+                break
+            except Exception:
+                if not left:
+                    raise
+        if len(out) != len(texts) or any(len(v) != dimension for v in out):
+            raise ValueError(f"the embedder must give {len(texts)} vectors of {dimension} numbers")
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(place).to_pylist()]
+            vectors = [v for a in range(0, len(texts), EMBED_BATCH) for v in one(texts[a : a + EMBED_BATCH])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*b.schema.names, "embedding"])
+
+    return chunks.mapInArrow(run, schema)
+
+
 def fused(dense: DataFrame, sparse: DataFrame, k: int, hydrate_sparse: bool = False) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists; the cut to ``k`` comes before sparse-only rows are dropped."""
     d = dense.select("query_id", "chunk_id", F.col("score").alias("dense_score"), F.col("rank").alias("dr"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datalode.sources.shared import scratch
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-#: Rows later than this are dropped by the watermark.
-DELAY = "10 minutes"
+#: How long a day's total stays open for late rows (fixed value).
+LATE = "25 hours"
+#: First wait in seconds of each kind of job, and attempts before a job is dead (fixed values).
+FIRST_WAIT = {"ingestion": 30, "generation": 5}
+ATTEMPTS = 3
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -62,3 +67,55 @@ def job_states(events: DataFrame) -> DataFrame:
     out = events.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
     status = F.when(F.col("failed") == 0, "complete").when(F.col("failed") < F.col("n"), "partial_failure").otherwise("failed")
     return out.withColumn("status", status)
+
+
+def replayed(events: DataFrame, since: Column, terminal: Sequence[str]) -> DataFrame:
+    """Events strictly after ``since``, oldest first by ``place``, up to each user's first terminal one; events without a time are left out."""
+    rows = events.where(F.col("ts") > since)
+    ends = rows.where(F.col("event_type").isin(*terminal)).groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("stop"))
+    rows = rows.join(ends, "user_id", "left").where(F.col("stop").isNull() | (F.struct("ts", "event_id") <= F.col("stop"))).drop("stop")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+
+
+def retries(failures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Failures (job, attempt from 0, ts) that are tried again, each wait twice the last, and the dead ones."""
+    first = F.create_map(*(F.lit(x) for kv in FIRST_WAIT.items() for x in kv))[F.col("job")]
+    dead = F.col("attempt") >= ATTEMPTS
+    rows = failures.withColumns({"dead": dead, "next_retry_at": F.when(~dead, F.col("ts") + F.make_dt_interval(secs=first * F.pow(F.lit(2), "attempt")))})
+    return rows.where("not dead"), rows.where("dead")
+
+
+def debounced(edits: DataFrame, keys: Sequence[str], value: Column, gap: str = "2 seconds") -> DataFrame:
+    """The last value of each run of edits that ends in ``gap`` of quiet, unless it is that of the run before."""
+    runs = edits.withColumn("value", value).groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(F.min("ts").alias("started"), F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    before = F.lag("value").over(Window.partitionBy(*keys).orderBy("started"))
+    return runs.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("value"))).select(*keys, "started", "value")
+
+
+def daily_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Totals by user and day from the stream. State is held until the watermark passes a day, then written once; what is still
+    open when all input is read is added from the rows themselves."""
+    events = event_stream(spark, path).withWatermark("ts", LATE)
+    days = events.groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(F.sum("value").alias("spent")).select("user_id", F.col("w.start").alias("day"), "spent")
+    closed = drained(days, "daily")
+    last = closed.agg(F.max("day")).first()[0]
+    rows = spark.read.schema(EVENTS).parquet(path)
+    rows = rows.withColumn("day", F.date_trunc("day", "ts"))
+    still = rows if last is None else rows.where(F.col("day") > F.lit(last))
+    return closed.unionByName(still.groupBy("user_id", "day").agg(F.sum("value").alias("spent")))
+
+
+def upserted_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row of each key over all batches: each batch is merged into the snapshot before it and written as a new one."""
+    spark, root = stream.sparkSession, scratch(stream.sparkSession, "snapshots")
+    rest = [c for c in stream.columns if c not in keys]
+    state = {"last": None}
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch if state["last"] is None else batch.unionByName(batch.sparkSession.read.schema(stream.schema).parquet(state["last"]))
+        path = f"{root}/{number}"
+        rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("e")).select(*keys, "e.*").select(*stream.columns).write.mode("overwrite").parquet(path)
+        state["last"] = path
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, "snapshots-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(state["last"]) if state["last"] else spark.createDataFrame([], stream.schema)
