@@ -486,13 +486,20 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group
     covered = written(covered.groupBy("gram", "context").agg(*unions), "covered")
     moved = [F.transform(F.coalesce(name, F.array().cast(_SPANS)), lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b"))).alias(name) for name in both]
     of_text = anchors.join(covered.hint("merge"), ["gram", "context"]).select("t1", "t2", *moved)
-    unions = [_union(F.array_distinct(F.flatten(F.collect_set(name)))).alias(name) for name in both]
-    of_text = of_text.groupBy("t1", "t2").agg(*unions)
+    of_text = _united(of_text, list(both))
     if words is None:
         return of_text
     of_text = written(of_text, "window-spans")
     runs = short_runs(docs, of_text, text, words, length).select("t1", "t2", *(F.array("s").alias(name) for name in both))
-    return of_text.unionByName(runs).groupBy("t1", "t2").agg(*unions)
+    return _united(of_text.unionByName(runs), list(both))
+
+
+def _united(rows: DataFrame, names: list[str]) -> DataFrame:
+    """One row for each text (t1, t2) with its spans of each name; equal spans, as those of copies, are one before they are moved."""
+    each = F.concat(*(F.transform(name, lambda s: F.struct(F.lit(i).alias("kind"), s["a"].alias("a"), s["b"].alias("b"))) for i, name in enumerate(names)))
+    rows = rows.select("t1", "t2", F.explode(each).alias("s")).select("t1", "t2", "s.kind", F.struct("s.a", "s.b").alias("s"))
+    unions = [_union(F.collect_set(F.when(F.col("kind") == i, F.col("s")))).alias(name) for i, name in enumerate(names)]
+    return rows.groupBy("t1", "t2").agg(*unions)
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
