@@ -76,11 +76,23 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
+def likelihood(score: np.ndarray, grades: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log likelihood of grades, and its slopes by each row's score and by each threshold."""
+    n = max(len(grades), 1)
+    cut = np.concatenate([[-np.inf], thresholds, [np.inf]])
+    with np.errstate(over="ignore"):
+        up = 1 / (1 + np.exp(-(cut[grades + 1] - score)))
+        down = 1 / (1 + np.exp(-(cut[grades] - score)))
+    p = np.maximum(up - down, 1e-12)
+    d_up, d_down = up * (1 - up) / p, down * (1 - down) / p
+    by_threshold = np.array([(d_down[grades == k + 1].sum() - d_up[grades == k].sum()) / n for k in range(len(thresholds))])
+    return float(-np.log(p).sum() / n), (d_up - d_down) / n, by_threshold
+
+
 def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, levels: int, least: int = 5, l1: float = 3e-4, steps: int = 150) -> Ordinal:
     """Full-batch AdaGrad with soft thresholding of the cumulative-link likelihood.
 
     Features of fewer than ``least`` texts stay at zero. Thresholds are a first value and positive gaps."""
-    n = max(len(grades), 1)
     often = np.bincount(columns, minlength=SIZE)
     keep = (often >= least)[columns]
     rows, columns = rows[keep], columns[keep]
@@ -91,21 +103,12 @@ def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, levels: int,
     t_sums = np.full(levels - 1, 1e-8)
     for _ in range(steps if len(grades) else 0):
         score = np.bincount(rows, weights=weights[columns], minlength=len(grades))
-        cut = np.concatenate([[-np.inf], thresholds, [np.inf]])
-        with np.errstate(over="ignore"):
-            up = 1 / (1 + np.exp(-(cut[grades + 1] - score)))
-            down = 1 / (1 + np.exp(-(cut[grades] - score)))
-        p = np.maximum(up - down, 1e-12)
-        d_up, d_down = up * (1 - up), down * (1 - down)
-        slope = (d_up - d_down) / p / n  # of the loss, by the score
+        _, slope, t = likelihood(score, grades, thresholds)
         g = np.bincount(columns, weights=slope[rows], minlength=SIZE)
         sums += g * g
         rate = 0.3 / np.sqrt(sums)
         weights -= rate * g
         weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * l1, 0)
-        t = np.zeros(levels - 1)
-        for k in range(levels - 1):
-            t[k] = -(d_up / p)[grades == k].sum() / n + (d_down / p)[grades == k + 1].sum() / n
         t_sums += t * t
         thresholds = np.maximum.accumulate(thresholds - 0.1 / np.sqrt(t_sums) * t + np.arange(levels - 1) * 1e-9)
     return Ordinal(weights, thresholds, len(grades))
