@@ -137,11 +137,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, and whether they are over 2048."""
+    """Tokens of every document by its prefix counts, whether they are over 2048, and how many whole words 2048 tokens hold (``words_within``)."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts(docs, budgets=(2048,), prefixes=False)
+    counted = token_counts(docs, budgets=(2048,))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+    # the count of the longest prefix is that of the text; the same counts tell how many whole words the limit holds
+    n = F.coalesce(F.try_element_at("run_tokens", F.lit(-1)).cast("long"), F.lit(0).cast("long"))
+    return counted.select("doc_id", size.alias("n_bytes"), n.alias("n_tokens"), (n > 2048).alias("over_limit"), F.col("cuts")[0].alias("words_within"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,6 +283,11 @@ def test_token_counts(spark, documents, library):
         t = documents[r["doc_id"]] or ""
         n = len(library.encode(t, add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 2048)
+        runs = t.split()
+        assert (r["words_within"] == len(runs)) == (n <= 2048)
+        if n > 2048:
+            within = lambda k: len(library.encode(" ".join(runs[:k]), add_special_tokens=False).ids) <= 2048  # noqa: B023,E731
+            assert within(r["words_within"]) and not within(r["words_within"] + 1)
 
 
 def test_similar_groups(spark, documents):
