@@ -48,7 +48,7 @@ def family(rng, n, members, edits, common, deep):
     return [" ".join(w) for w in made]
 
 
-@pytest.mark.parametrize(("seed", "words", "share", "fan", "few"), [(1, 5, (80, 100), 1000, 8), (2, 4, (85, 100), 7, 0), (3, 2, (60, 100), 1000, 2), (4, 3, (70, 100), 5, 0), (5, 1, (9, 10), 3, 1000)])
+@pytest.mark.parametrize(("seed", "words", "share", "fan", "few"), [(1, 5, (80, 100), 1000, 8), (2, 4, (85, 100), 7, 0), (4, 3, (70, 100), 5, 0)])
 def test_families(spark, monkeypatch, seed, words, share, fan, few):
     monkeypatch.setattr(jaccard, "FAN", fan)
     monkeypatch.setattr(jaccard, "FEW", few)
