@@ -144,6 +144,8 @@ def mark_contaminated(
     shingle of their own length. Items without words match nothing; a null or empty text has no match.
     A-Z count as a-z, words are split at ASCII white space. With radius 20 a pair of similarity 0.8 is
     lost with a probability of about 2 in 10,000 (its fingerprints differ in 10 bits, give or take 3).
+    Repeated rows have the same matches, items that repeat a text are each listed; long texts are searched whole; an empty
+    table of documents gives no rows, one of items no matches.
     Items go to all tasks in passes of ``ITEMS``. A column named ``matches`` is replaced.
     """
     prepare(docs.sparkSession)

@@ -254,6 +254,7 @@ def similar_groups(
     (A-Z as a-z, split at ASCII white space). A text of fewer words is one shingle. A null, empty or blank
     text has none, is linked with nothing and its own component. ``component_id`` is the smallest id that
     links reach; null ids count as larger than all others. Repeated rows are linked with each other.
+    Long texts are compared whole; an empty table gives no rows; columns of other names are not used.
     """
     spark = docs.sparkSession
     prepare(spark)

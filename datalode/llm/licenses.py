@@ -26,8 +26,10 @@ TEMPLATES = [
 
 
 def small(text: Column) -> Column:
-    """Lower case. Only ASCII letters matter to the patterns, and no other letter becomes one of theirs."""
-    return F.lower(text)
+    """A-Z as a-z; other letters, also those whose small form is an ASCII letter, stay as they are."""
+    # the Kelvin sign and the capital I with a dot are the only two others whose small form begins with an ASCII letter
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    return F.when(odd, F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
 
 
 def _spaced(text: Column) -> Column:
@@ -135,7 +137,8 @@ def scan_licenses(
     ``blocks`` lists the lines (from 0), and the runs of lines (``block`` to ``last``), that hold enough of a
     template, with label and score; a run may begin or end a line beside its notice. ``score`` is
     1 if a phrase occurs, else the best of the blocks, else 0. A null text is empty: no words, no labels,
-    null positions, empty strings. Repeated rows get equal results. Columns of these names are replaced.
+    null positions, empty strings. Repeated rows get equal results, equal scores are listed in the order of blocks; texts of any length
+    are taken whole; an empty table gives no rows. Columns of these names are replaced.
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
     docs = docs.drop(*added)

@@ -115,7 +115,8 @@ def best_fit_pack(
     ``length``, ``ids`` (binary, little-endian unsigned 32-bit), ``sequence_id`` (the partition's number
     times 2^33 plus the lane's own number) and ``offset`` (place in the sequence, without gaps). Only
     texts longer than a sequence are cut. A null or empty text is the end id alone. Repeated rows are
-    packed as often as they occur. Columns of these names are replaced.
+    packed as often as they occur; texts of any length are encoded whole; an empty table gives no rows. Columns of these
+    names are replaced.
     """
     prepare(docs.sparkSession)
     path = path or vocabulary_path()
