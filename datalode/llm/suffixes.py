@@ -398,7 +398,6 @@ def _word_rows(words: int, length: int):
             spans = b.column(3).to_pylist()
             for first, end, data, offsets in chunks_of(b.column(2)):
                 row, start, stop, h1, h2 = word_runs_of(data, offsets, words, length)
-                ids, at = b.slice(first, end - first), pa.array(row)
                 inside = np.zeros(len(row), bool)
                 for r in np.unique(row).tolist():
                     own = spans[first + r]
@@ -407,10 +406,14 @@ def _word_rows(words: int, length: int):
                         a, z = np.array([x["a"] for x in own]), np.array([x["b"] for x in own])
                         k = np.searchsorted(a, start[some], side="right") - 1
                         inside[some] = (k >= 0) & (stop[some] <= z[k])
-                yield pa.RecordBatch.from_arrays(
-                    [*(ids.column(i).take(at) for i in (0, 1)), *(pa.array(x.astype(np.int32)) for x in (start, stop)), *(pa.array(x, pa.int64()) for x in (h1, h2)), pa.array(inside)],
-                    names=["t1", "t2", "a", "b", "h1", "h2", "inside"],
-                )
+                # a run within a span only tells that it is there, once for all places of a chunk
+                known = np.unique(np.stack([h1[inside], h2[inside]], axis=1), axis=0)
+                out = ~inside
+                ids, at = b.slice(first, end - first), pa.array(np.append(row[out], np.zeros(len(known), np.int64)))
+                told = lambda x, n=len(known): pa.array(np.append(x[~inside], np.zeros(n, x.dtype)).astype(np.int32))  # noqa: B023,E731
+                hashes = (pa.array(np.append(h[out], known[:, i]), pa.int64()) for i, h in enumerate((h1, h2)))
+                flags = pa.array(np.arange(len(at)) >= int(out.sum()))
+                yield pa.RecordBatch.from_arrays([*(ids.column(i).take(at) for i in (0, 1)), told(start), told(stop), *hashes, flags], names=["t1", "t2", "a", "b", "h1", "h2", "inside"])
 
     return run
 
@@ -423,7 +426,7 @@ def short_runs(docs: DataFrame, spans: DataFrame, text: str, words: int, length:
     texts = _keyed(docs.select(F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") >= 2 * words - 1), "text")
     rows = texts.join(spans.select("t1", "t2", "spans").hint("merge"), ["t1", "t2"], "left").select("t1", "t2", "text", "spans")
     runs = written(rows.mapInArrow(_word_rows(words, length), "t1 long, t2 long, a int, b int, h1 long, h2 long, inside boolean"), "word-runs")
-    twice = written(runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "word-runs-repeated")
+    twice = written(runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bool_or("inside").alias("known")).where("n > 1 or known").select("h1", "h2"), "word-runs-repeated")
     return runs.where("not inside").join(twice.hint("merge"), ["h1", "h2"], "left_semi").select("t1", "t2", F.struct("a", "b").alias("s"))
 
 
