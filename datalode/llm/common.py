@@ -74,6 +74,38 @@ def chunks_of(array: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         first = end
 
 
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of the marked bytes that stay within a row: start, size and row of each."""
+    n = len(inside)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < n]
+    begins[edges] = inside[edges]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return starts, starts, starts
+    sizes = np.add.reduceat(inside, starts, dtype=np.int64)
+    return starts, sizes, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def binary_words(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Words of the given sizes that lie one after the other, as an Arrow array of bytes."""
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def lists(values: np.ndarray, ends: np.ndarray, kind: type) -> pa.Array:
+    """An Arrow array of lists that lie one after the other."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values.astype(kind)))
+
+
 # -- hashes of words and word runs ---------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240229)

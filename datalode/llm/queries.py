@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from datalode.llm.decontaminate import mark_contaminated
+from datalode.llm.html import extract_text
 from datalode.llm.jaccard import similar_groups
+from datalode.llm.lexical import ranked_search
 from datalode.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from datalode.llm.lm import language_scores
 from datalode.llm.packing import best_fit_pack
 from datalode.llm.quality import graded, score_quality
+from datalode.llm.spelling import spelling_variants
 from datalode.llm.suffixes import remove_repeats
 from datalode.llm.tokens import token_counts
 from datalode.llm.topk import exact_top_k
@@ -152,7 +155,68 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(docs, words=4, share=(85, 100)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents that score highest for each benchmark item."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search(docs, _table(spark, sf_dir, "benchmark"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op11_ranked_search"] = f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS ts FROM documents),
+    c AS (SELECT count(*) AS N, sum(len(ts)) AS L FROM d WHERE len(ts) > 0),
+    tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) GROUP BY ALL),
+    q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(c.N) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY term),
+    s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * CAST(100 - 90 + (90 * tf.n * c.N) // c.L AS BIGINT)))) AS BIGINT) AS score
+          FROM q JOIN tf USING (term) JOIN w USING (term), c GROUP BY ALL)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, the words that are one edit apart, and the more frequent form of each."""
+    return spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# crc32 step by step over the bytes; near words share what is left when a letter is blanked or deleted
+ORACLES["op12_spelling_variants"] = """
+    WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) v(i))),
+    occ AS (SELECT doc_id, run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'UPPER', 'LOWER'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+    h AS (SELECT run, n, xor(4294967295, list_reduce(
+              flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, unicode(x) - 64] END)),
+              lambda s, b: xor(t[CAST(xor(s % 256, b) AS BIGINT) + 1], s // 256), 4294967295)) AS h
+          FROM occ, crc WHERE length(run) >= 5),
+    w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n
+          FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM h)
+          WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+    cut AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS less, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS blank
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    one AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.blank = b.blank AND a.word <> b.word
+            UNION SELECT DISTINCT a.word, b.word, b.n FROM cut a JOIN w b ON a.less = b.word
+            UNION SELECT DISTINCT b.word, a.word, a.n FROM cut a JOIN w b ON a.less = b.word),
+    best AS (SELECT word, count(*) AS n_near, max(other_n) AS most FROM one GROUP BY 1),
+    f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN most END AS form_n,
+                 CASE WHEN most >= 2 * w.n THEN (SELECT min(other) FROM one o WHERE o.word = w.word AND o.other_n = most) END AS form
+          FROM w LEFT JOIN best USING (word)),
+    up(word, root) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON up.root = f.word WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up USING (word) JOIN f l ON up.root = l.word WHERE l.form IS NULL"""
+for _name, _text in (("UPPER", _UPPER), ("LOWER", _UPPER.lower())):
+    ORACLES["op12_spelling_variants"] = ORACLES["op12_spelling_variants"].replace(_name, _text, 1)
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES |= {
+    "op11_ranked_search": op11_ranked_search,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_html_extraction": op13_html_extraction,
     "pipeline": corpus_pipeline.run,
     "op1_decontamination": op1_decontamination,
     "op3_exact_top_k": op3_exact_top_k,
