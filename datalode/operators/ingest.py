@@ -61,9 +61,14 @@ def not_stored(new: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFr
     return new
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A snapshot in which new rows replace old ones of the same key."""
-    return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """A snapshot in which new rows replace old ones of the same key; of several new rows of a key the highest by ``order``, then by all columns.
+
+    For stores that are too large to be written anew see ``sources.keyed.KeyedTable``."""
+    rest = [c for c in new.columns if c not in keys]
+    place = F.struct(*order, *(c for c in rest if c not in order))
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("__e")).select(*keys, "__e.*").select(*new.columns) if rest else new.distinct()
+    return old.join(last.select(*keys), list(keys), "left_anti").unionByName(last)
 
 
 def appended(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -300,8 +300,8 @@ def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_job_states", "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, arg_max(event_type, (ts, event_id)) AS last, CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN 'complete' WHEN count(*) FILTER (event_type = 'error') < count(*) THEN 'partial_failure' ELSE 'failed' END AS status FROM events GROUP BY 1")
 def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job states from the stream, the last complete result."""
-    return S.drained_by_batch(S.job_states(S.event_stream(spark, f"{sf_dir}/events.parque[t]")), "states")
+    """Job states from the stream, merged batch by batch."""
+    return S.job_states(S.event_stream(spark, f"{sf_dir}/events.parque[t]")).select("user_id", "n", "failed", "last", "status")
 
 
 @query("stream_first_requests")

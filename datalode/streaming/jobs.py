@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from datalode.sources.keyed import KeyedTable
 from datalode.sources.shared import scratch
+from datalode.streaming.tables import committed, run_batches, upsert_stream
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 #: How long a day's total stays open for late rows (fixed value).
@@ -15,6 +17,8 @@ LATE = "25 hours"
 #: First wait in seconds of each kind of job, and attempts before a job is dead (fixed values).
 FIRST_WAIT = {"ingestion": 30, "generation": 5}
 ATTEMPTS = 3
+#: Requests of a client in a minute (fixed value).
+RATE = 10
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -28,30 +32,17 @@ def parsed(events: DataFrame) -> DataFrame:
     return events.withColumn("k", k).withColumn("ok", F.col("k").isNotNull())
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all present input into a table of the shared folder and reads that."""
+def drained(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs a stream over all present input into a table of the shared folder and reads that. With a ``folder`` of the caller's a later
+    run goes on where the one before ended."""
     spark = stream.sparkSession
-    out = scratch(spark, name)
-    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", scratch(spark, f"{name}-state"))
+    root = folder or scratch(spark, name)
+    out = f"{root}/rows"
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", f"{root}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drained_by_batch(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """As ``drained`` for modes that files cannot take: each batch replaces the result of the one before."""
-    spark = stream.sparkSession
-    root = scratch(spark, name)
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/{number}")
-        batch.sparkSession.createDataFrame([(number,)], "n long").write.mode("append").parquet(f"{root}/done")
-
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch(spark, f"{name}-state"))
-    query.trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{root}/done").agg(F.max("n")).first()[0]
-    return spark.read.schema(stream.schema).parquet(f"{root}/{last}")
-
-
 def windowed_counts(events: DataFrame, length: str = "1 minute", key: str = "user_id") -> DataFrame:
     """Events per key and tumbling window."""
     return events.groupBy(F.window("ts", length).alias("w"), key).agg(F.count("*").alias("n"))
@@ -62,11 +53,31 @@ def first_requests(events: DataFrame, key: str = "k", hours: int = 24) -> DataFr
     return events.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark([key])
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """State of each job from its events: how many, how many failed, and the last status."""
-    out = events.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+STATES = "user_id long, n long, failed long, last string, ts timestamp, event_id long"
+
+
+def job_states(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """State of each job so far: how many events, how many failed, the last, and the status. What a batch adds is merged into the rows
+    of its jobs in a keyed table, so the stream itself holds no state."""
+    spark = stream.sparkSession
+    root = folder or scratch(spark, "job-states")
+    table = KeyedTable(spark, f"{root}/rows", STATES, ["user_id"])
+    failed = F.when(F.col("event_type") == "error", 1).otherwise(0).cast("long")
+
+    def step(batch: DataFrame, number: int) -> None:
+        if committed(table, "states", number):
+            return
+        new = batch.select("user_id", F.lit(1).cast("long").alias("n"), failed.alias("failed"), F.col("event_type").alias("last"), "ts", "event_id").where("user_id is not null")
+
+        def merge(old: DataFrame) -> DataFrame:
+            last = F.max_by(F.struct("last", "ts", "event_id"), F.struct("ts", "event_id")).alias("l")
+            return old.unionByName(new).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"), last).select("user_id", "n", "failed", "l.*")
+
+        table.change(new, merge, {"batch:states": number})
+
+    run_batches(stream, step, f"{root}/state")
     status = F.when(F.col("failed") == 0, "complete").when(F.col("failed") < F.col("n"), "partial_failure").otherwise("failed")
-    return out.withColumn("status", status)
+    return table.read().withColumn("status", status)
 
 
 def replayed(events: DataFrame, since: Column, terminal: Sequence[str]) -> DataFrame:
@@ -92,30 +103,27 @@ def debounced(edits: DataFrame, keys: Sequence[str], value: Column, gap: str = "
     return runs.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("value"))).select(*keys, "started", "value")
 
 
-def daily_totals(spark: SparkSession, path: str) -> DataFrame:
-    """Totals by user and day from the stream. State is held until the watermark passes a day, then written once; what is still
-    open when all input is read is added from the rows themselves."""
+def daily_totals(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """Totals by user and day from the stream. Each batch puts the days that it changed into a keyed table (update mode), so open days
+    are there too; the watermark of 25 hours bounds the state and drops what comes later."""
+    root = folder or scratch(spark, "daily")
+    table = KeyedTable(spark, f"{root}/rows", "user_id long, day timestamp, spent double", ["user_id", "day"])
     events = event_stream(spark, path).withWatermark("ts", LATE)
     days = events.groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(F.sum("value").alias("spent")).select("user_id", F.col("w.start").alias("day"), "spent")
-    closed = drained(days, "daily")
-    last = closed.agg(F.max("day")).first()[0]
-    rows = spark.read.schema(EVENTS).parquet(path)
-    rows = rows.withColumn("day", F.date_trunc("day", "ts"))
-    still = rows if last is None else rows.where(F.col("day") > F.lit(last))
-    return closed.unionByName(still.groupBy("user_id", "day").agg(F.sum("value").alias("spent")))
-
-
-def upserted_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key over all batches: each batch is merged into the snapshot before it and written as a new one."""
-    spark, root = stream.sparkSession, scratch(stream.sparkSession, "snapshots")
-    rest = [c for c in stream.columns if c not in keys]
-    state = {"last": None}
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if state["last"] is None else batch.unionByName(batch.sparkSession.read.schema(stream.schema).parquet(state["last"]))
-        path = f"{root}/{number}"
-        rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("e")).select(*keys, "e.*").select(*stream.columns).write.mode("overwrite").parquet(path)
-        state["last"] = path
-
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, "snapshots-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(state["last"]) if state["last"] else spark.createDataFrame([], stream.schema)
+    upsert_stream(days, table, f"{root}/state", job="daily", mode="update")
+    return table.read()
+
+
+def refused(events: DataFrame, client: str, most: int = RATE, length: str = "1 minute", delay: str = "1 minute") -> DataFrame:
+    """client, window_start, n and how many are over ``most`` in a window; each window once, when the watermark has passed it."""
+    counts = events.withWatermark("ts", delay).groupBy(F.window("ts", length).alias("w"), client).agg(F.count("*").alias("n"))
+    return counts.select(F.col(client).alias("client"), F.col("w.start").alias("window_start"), "n", F.greatest(F.col("n") - most, F.lit(0)).cast("long").alias("refused"))
+
+
+def upserted_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str | None = None) -> DataFrame:
+    """The row of each key that is highest by ``order``, over all batches and in whatever order they come. Each batch rewrites
+    the buckets of its keys. With a ``folder`` of the caller's a later run goes on where the one before ended."""
+    root = folder or scratch(stream.sparkSession, "snapshots")
+    table = KeyedTable(stream.sparkSession, f"{root}/rows", stream.schema, keys)
+    upsert_stream(stream, table, f"{root}/state", order)
+    return table.read()
