@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from datalode.llm.blocks import Exchange, block, blocks_of, planes, values_of
 from datalode.llm.common import chunks_of, mix, prepare, run_hashes, word_hashes, written
@@ -264,8 +265,7 @@ def similar_groups(
     exchange = Exchange(("tokens",), (BITS,), Exchange.levels_of(count), counts=True)
     sent = docs.groupBy("block").applyInArrow(_send(words, exchange), exchange.schema)
     told = exchange.told(sent, lambda rows: rows.groupBy("part").applyInArrow(_answer(exchange, often), exchange.answers)).withColumnRenamed("source", "block")
-    kind = docs.schema["id"].dataType.simpleString()
-    columns = f"id {kind}, text string, n long, alone long, node binary, entries array<long>"
+    columns = T.StructType([docs.schema["id"], *T.StructType.fromDDL("text string, n long, alone long, node binary, entries array<long>")])
     sets = written(docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_index(words, share), columns), "sets")
 
     nodes = sets.where("entries is not null").groupBy("node").agg(F.min(F.struct("id", "n", "alone", "entries")).alias("s"))

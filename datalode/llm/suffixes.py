@@ -10,7 +10,7 @@ sorting: multikey quicksort to a shallow depth, then blind tries for groups that
 more different contexts than one task should hold are decided by counting the hash of each window.
 
 Runs of many words may be asked for too. Those of ``length`` bytes or more lie in windows; the shorter
-ones, few in most texts, are decided by counting the hash of each.
+ones name anchors in the same way, by the smallest gram of eight words.
 """
 
 from __future__ import annotations
@@ -360,9 +360,15 @@ def _window_rows(lengths: tuple[int, ...]):
     return run
 
 
-def word_runs_of(data: np.ndarray, offsets: np.ndarray, words: int, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of ``words`` whole words under ``length`` bytes of the texts of a chunk: row, start, end, two hashes."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+#: Words of a gram that names the anchor of a run of words.
+WORD_GRAM = 8
+#: Base of the hashes of word grams, and what undoes a product with it; equal hashes of unlike grams only add work.
+_BASE = 0x9E3779B97F4A7C15
+_UNDO = pow(_BASE, -1, 1 << 64)
+
+
+def _short_runs_at(data: np.ndarray, offsets: np.ndarray, words: int, length: int) -> tuple[np.ndarray, ...]:
+    """Starts and ends of all words of a chunk, and which of them begin a run of ``words`` under ``length`` bytes within their row."""
     word = IS_WORD[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -371,63 +377,102 @@ def word_runs_of(data: np.ndarray, offsets: np.ndarray, words: int, length: int)
     first[edges], last[edges - 1] = word[edges], word[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if len(starts) < words:
-        return none
-    starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    short = (ends <= offsets[row + 1]) & (ends - starts < length)
-    row, starts, ends = row[short], starts[short], ends[short]
-    if not len(row):
-        return none
-    hashes = []
-    for salt in (0, 1):
-        step = _power(2 * words - 1)  # no run is shorter
-        h = _doubled(data, (step,), salt)[step]
-        with np.errstate(over="ignore"):
-            total = (ends - starts).astype(np.uint64) * _DOUBLE[15]
-            for i in range(-(-length // step)):
-                total = total * _DOUBLE[8 + salt] + h[np.minimum(starts + i * step, ends - step)]
-        hashes.append(mix(total).view(np.int64))
-    return row, starts - offsets[row], ends - offsets[row], *hashes
+        return starts, ends, np.zeros(0, np.int64)
+    stop = ends[words - 1 :]
+    begin = starts[: len(stop)]
+    row = np.searchsorted(offsets, begin, side="right") - 1
+    return starts, ends, np.flatnonzero((stop <= offsets[row + 1]) & (stop - begin < length))
+
 
+def _strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, step: int, most: int, salt: int = 0) -> np.ndarray:
+    """Hashes of strings of ``step`` bytes (a power of two) to ``most``; only hashes with the same step and most compare."""
+    h = _doubled(data, (step,), salt)[step]
+    with np.errstate(over="ignore"):
+        total = size.astype(np.uint64) * _DOUBLE[15]
+        for i in range(-(-most // step)):
+            total = total * _DOUBLE[8 + salt] + h[start + np.minimum(i * step, size - step)]
+    return mix(total)
+
+
+def word_anchors_of(data: np.ndarray, offsets: np.ndarray, words: int, length: int) -> tuple[np.ndarray, ...]:
+    """Anchors of the runs of ``words`` words under ``length`` bytes of a chunk: row, gram hash, context hash, context's start and size.
+
+    Every run names the rightmost smallest of its grams of WORD_GRAM words; runs that follow each other and name
+    the same one are a context, from the start of the first to the end of the last."""
+    starts, ends, runs = _short_runs_at(data, offsets, words, length)
+    if not len(runs):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    n = min(WORD_GRAM, words)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.append(np.uint64(1), np.full(len(data), np.uint64(_BASE))), dtype=np.uint64)
+        back = np.cumprod(np.append(np.uint64(1), np.full(len(data), np.uint64(_UNDO))), dtype=np.uint64)
+        sums = np.append(np.uint64(0), np.cumsum(_EXACT[data] * powers[: len(data)], dtype=np.uint64))
+        begin, stop = starts[: len(starts) - n + 1], ends[n - 1 :]
+        gram = mix((sums[stop] - sums[begin]) * back[begin])
+    low = np.uint64((1 << 32) - 1)
+    keys = (gram & ~low) | (low - np.arange(len(gram), dtype=np.uint64))  # of equal grams the rightmost is the smallest
+    least = np.lib.stride_tricks.sliding_window_view(keys, words - n + 1)[runs].min(axis=1)
+    place = (low - (least & low)).astype(np.int64)
+    new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (runs[1:] != runs[:-1] + 1)))
+    final = runs[np.append(new[1:], len(runs)) - 1] + words - 1
+    start, place = starts[runs[new]], place[new]
+    size = ends[final] - start
+    with np.errstate(over="ignore"):
+        context = mix(_strings(data, start, size, _power(2 * words - 1), 2 * length) + (starts[place] - start).astype(np.uint64) * _DOUBLE[14])
+    row = np.searchsorted(offsets, start, side="right") - 1
+    return row, gram[place].view(np.int64), context.view(np.int64), start - offsets[row], size
 
-def _word_rows(words: int, length: int):
-    """Runs of the texts, each with whether it lies in one of the text's ``spans``."""
 
+def _word_anchor_rows(words: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column(3).to_pylist()
             for first, end, data, offsets in chunks_of(b.column(2)):
-                row, start, stop, h1, h2 = word_runs_of(data, offsets, words, length)
-                inside = np.zeros(len(row), bool)
-                for r in np.unique(row).tolist():
-                    own = spans[first + r]
-                    if own:
-                        some = np.flatnonzero(row == r)
-                        a, z = np.array([x["a"] for x in own]), np.array([x["b"] for x in own])
-                        k = np.searchsorted(a, start[some], side="right") - 1
-                        inside[some] = (k >= 0) & (stop[some] <= z[k])
-                # a run within a span only tells that it is there, once for all places of a chunk
-                known = np.unique(np.stack([h1[inside], h2[inside]], axis=1), axis=0)
-                out = ~inside
-                ids, at = b.slice(first, end - first), pa.array(np.append(row[out], np.zeros(len(known), np.int64)))
-                told = lambda x, n=len(known): pa.array(np.append(x[~inside], np.zeros(n, x.dtype)).astype(np.int32))  # noqa: B023,E731
-                hashes = (pa.array(np.append(h[out], known[:, i]), pa.int64()) for i, h in enumerate((h1, h2)))
-                flags = pa.array(np.arange(len(at)) >= int(out.sum()))
-                yield pa.RecordBatch.from_arrays([*(ids.column(i).take(at) for i in (0, 1)), told(start), told(stop), *hashes, flags], names=["t1", "t2", "a", "b", "h1", "h2", "inside"])
+                row, gram, context, start, size = word_anchors_of(data, offsets, words, length)
+                ids, at = b.slice(first, end - first), pa.array(row)
+                hashes = (pa.array(x, pa.int64()) for x in (gram, context))
+                yield pa.RecordBatch.from_arrays([*(ids.column(i).take(at) for i in (0, 1)), *hashes, *(pa.array(x.astype(np.int32)) for x in (start, size))], names=["t1", "t2", "gram", "context", "start", "size"])
 
     return run
 
 
-def short_runs(docs: DataFrame, spans: DataFrame, text: str, words: int, length: int) -> DataFrame:
+def _runs_of_contexts(words: int, length: int):
+    """The runs of the asked contexts: where they lie in them, and two hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_of(b.column(0))
+            for row, asked in enumerate(b.column(1).to_pylist()):
+                for x in asked:
+                    own = data[offsets[row] + x["start"] : offsets[row] + x["start"] + x["size"]]
+                    starts, ends, runs = _short_runs_at(own, np.array([0, len(own)]), words, length)
+                    a, z = starts[runs], ends[runs + words - 1]
+                    hashes = (pa.array(_strings(own, a, z - a, _power(2 * words - 1), length, salt).view(np.int64)) for salt in (0, 1))
+                    same = (pa.array(np.full(len(a), x[k]), pa.int64()) for k in ("gram", "context"))
+                    yield pa.RecordBatch.from_arrays([*same, *(pa.array(v.astype(np.int32)) for v in (a, z)), *hashes], names=["gram", "context", "a", "b", "h1", "h2"])
+
+    return run
+
+
+def short_runs(docs: DataFrame, text: str, words: int, length: int) -> DataFrame:
     """Byte spans ``s`` of each different text's runs of ``words`` words under ``length`` bytes that occur elsewhere too.
 
-    Runs within the ``spans`` (t1, t2, spans) that are known to repeat count, but add nothing."""
+    Anchors are sent, one for many runs. Contexts that occur twice repeat as a whole; only different contexts of one gram
+    are compared, by the hash of each of their runs."""
     # words are at least a byte each, with one between
     texts = _keyed(docs.select(F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") >= 2 * words - 1), "text")
-    rows = texts.join(spans.select("t1", "t2", "spans").hint("merge"), ["t1", "t2"], "left").select("t1", "t2", "text", "spans")
-    runs = written(rows.mapInArrow(_word_rows(words, length), "t1 long, t2 long, a int, b int, h1 long, h2 long, inside boolean"), "word-runs")
-    twice = written(runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bool_or("inside").alias("known")).where("n > 1 or known").select("h1", "h2"), "word-runs-repeated")
-    return runs.where("not inside").join(twice.hint("merge"), ["h1", "h2"], "left_semi").select("t1", "t2", F.struct("a", "b").alias("s"))
+    rows = "t1 long, t2 long, gram long, context long, start int, size int"
+    anchors = written(texts.select("t1", "t2", "text").mapInArrow(_word_anchor_rows(words, length), rows), "word-anchors")
+    contexts = written(anchors.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "start", "size")).alias("at")), "word-contexts")
+    mixed = written(contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "word-grams-mixed")
+    equal = contexts.where("n > 1").select("gram", "context", F.lit(0).alias("a"), F.col("at.size").alias("b"))
+    asked = contexts.join(mixed.hint("merge"), "gram", "left_semi").groupBy("at.t1", "at.t2").agg(F.collect_list(F.struct("gram", "context", F.col("at.start").alias("start"), F.col("at.size").alias("size"))).alias("asked"))
+    own = texts.join(asked.hint("merge"), ["t1", "t2"]).select("text", "asked").mapInArrow(_runs_of_contexts(words, length), "gram long, context long, a int, b int, h1 long, h2 long")
+    runs = written(own.dropDuplicates(["gram", "context", "a"]), "word-runs")  # copies of a text give theirs once
+    twice = written(runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "word-runs-repeated")
+    counted = runs.join(twice.hint("merge"), ["h1", "h2"], "left_semi").select("gram", "context", "a", "b")
+    covered = written(equal.unionByName(counted).groupBy("gram", "context").agg(_union(F.collect_set(F.struct("a", "b"))).alias("s")), "word-runs-covered")
+    out = anchors.join(covered.hint("merge"), ["gram", "context"]).select("t1", "t2", "start", F.explode("s").alias("s"))
+    return out.select("t1", "t2", F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")).alias("s"))
 
 
 _SPANS = "array<struct<a:int,b:int>>"
@@ -492,8 +537,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group
     of_text = _united(of_text, list(both))
     if words is None:
         return of_text
-    of_text = written(of_text, "window-spans")
-    runs = short_runs(docs, of_text, text, words, length).select("t1", "t2", *(F.array("s").alias(name) for name in both))
+    runs = short_runs(docs, text, words, length).select("t1", "t2", *(F.array("s").alias(name) for name in both))
     return _united(of_text.unionByName(runs), list(both))
 
 
