@@ -39,11 +39,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Rows without an id stay; rows that repeat id and text are one document, of which any stays. Null, empty and blank
-    texts are no copies of each other; long ones are compared whole; no rows give none."""
-    groups = similar_groups(docs, words=5, share=(80, 100))
-    others = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.dropDuplicates(["doc_id", "text"]).join(others, "doc_id", "left_anti").select(*docs.columns)
+    A row is judged by its own id and text, also where an id repeats with other texts. Rows without an id all stay; rows that repeat
+    id and text are one document, of which any stays. Null, empty and blank texts are no copies of each other; long ones
+    are compared whole; no rows give none."""
+    # a row's key orders by id, those without one last; texts of one id are told apart by their hash
+    key = F.struct(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    groups = similar_groups(docs.select(key.alias("key"), "text"), id="key", words=5, share=(80, 100))
+    others = written(groups.where((F.col("key") != F.col("component_id")) & (F.col("key.none") == 0)).select("key").distinct(), "near-copies")
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    single = named.withColumn("__key", key).join(others.withColumnRenamed("key", "__key"), "__key", "left_anti")
+    return single.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
