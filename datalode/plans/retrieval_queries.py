@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datalode.operators import retrieval as R
+from datalode.operators.bm25 import bm25_top
 from datalode.plans.registry import query, table
+from datalode.sources.postings import PostingIndex
+from datalode.sources.shared import scratch
 
 TOKENS = r"list_filter(string_split_regex(lower(coalesce({}, '')), '\s+'), lambda w: w <> '')"
 
 
-def _bm25_sql(queries: str) -> str:
+def _bm25_sql(queries: str, documents: str = "documents") -> str:
     """CTEs up to ``sparse`` (query_id, chunk_id, score) for a query table (query_id, text)."""
     return f"""
-    c AS (SELECT doc_id AS chunk_id, {TOKENS.format("text")} AS w FROM documents),
+    c AS (SELECT doc_id AS chunk_id, {TOKENS.format("text")} AS w FROM {documents}),
     st AS (SELECT count(*) AS n, avg(len(w)) AS average FROM c),
     p AS (SELECT chunk_id, term, count(*) AS tf, any_value(length) AS length
           FROM (SELECT chunk_id, len(w) AS length, unnest(w) AS term FROM c) GROUP BY ALL),
@@ -36,7 +39,25 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.normalised(R.top_k(R.bm25_scores(chunks, queries), 20)).select("query_id", "chunk_id", "score", "rank", "normalised")
+    return R.normalised(bm25_top(chunks, queries, 20)).select("query_id", "chunk_id", "score", "rank", "normalised")
+
+
+@query(
+    "growing_index",
+    f"""WITH q AS (SELECT item_id AS query_id, text FROM benchmark), live AS (SELECT doc_id, text FROM documents WHERE source = (SELECT max(source) FROM documents) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+    {_bm25_sql("q", "live")}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sparse)
+    SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10""",
+)
+def growing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all tenants made by three appends, less the toxic documents, asked by every benchmark item for the last tenant."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("chunk_id"), "text")
+    index = PostingIndex(spark, scratch(spark, "index"))
+    for part in range(3):
+        index.append(docs.where(F.col("chunk_id") % 3 <= part))  # rows that are there already are passed over
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id"))
+    index.erase(docs.join(toxic, "chunk_id", "left_semi").select("tenant_id", "chunk_id"))
+    tenant = docs.agg(F.max("tenant_id")).first()[0] or ""
+    return index.search(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10, tenant).select("query_id", "chunk_id", "score", "rank")
 
 
 @query(
@@ -97,8 +118,7 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, queries = _vectors(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     asked = docs.join(queries.select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "query_id")
-    sparse = R.bm25_scores(docs, asked).where("query_id <> chunk_id")
-    return R.fused(R.nearest(vectors, queries, 20), R.top_k(sparse, 20), 20)
+    return R.fused(R.nearest(vectors, queries, 20), bm25_top(docs, asked, 20, distinct=True), 20)
 
 
 @query("rrf_fuse", f"WITH {_HYBRID} SELECT * FROM fused")

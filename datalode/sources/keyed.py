@@ -15,6 +15,41 @@ from pyspark.sql import types as T
 BUCKETS = 64
 
 
+def files(spark: SparkSession, root: str):
+    """Hadoop's path class, and the file system of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def newest_state(spark: SparkSession, root: str) -> tuple[int, dict] | None:
+    """Number and content of the newest manifest under a folder."""
+    path, fs = files(spark, root)
+    folder = path(f"{root}/manifests")
+    if not fs.exists(folder):
+        return None
+    names = (s.getPath().getName() for s in fs.listStatus(folder))
+    number = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=None)
+    if number is None:
+        return None
+    stream = fs.open(path(f"{root}/manifests/{number}.json"))
+    try:
+        return number, json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def commit_state(spark: SparkSession, root: str, number: int, content: dict) -> None:
+    """Renames a manifest into place; fails if another writer has taken the number."""
+    path, fs = files(spark, root)
+    final, draft = path(f"{root}/manifests/{number}.json"), path(f"{root}/manifests/.{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        fs.delete(draft, False)
+        raise RuntimeError(f"another writer has committed state {number} of {root}")
+
+
 @dataclass(frozen=True)
 class Manifest:
     """One state of a table: its number, the folder of each bucket that has rows, and what the writer noted."""
@@ -43,45 +78,19 @@ class KeyedTable:
 
     # -- files -----------------------------------------------------------------------------------
 
-    def _files(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        return path, path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def manifest(self) -> Manifest | None:
         """The newest manifest; null for a table that has none yet."""
-        path, fs = self._files()
-        folder = path(f"{self.root}/manifests")
-        if not fs.exists(folder):
-            return None
-        numbers = [int(s.getPath().getName().removesuffix(".json")) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json")]
-        return self._read(max(numbers)) if numbers else None
-
-    def _read(self, number: int) -> Manifest:
-        path, fs = self._files()
-        stream = fs.open(path(f"{self.root}/manifests/{number}.json"))
-        try:
-            held = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-        return Manifest(number, {int(b): v for b, v in held["buckets"].items()}, held["notes"])
+        found = newest_state(self.spark, self.root)
+        return Manifest(found[0], {int(b): v for b, v in found[1]["buckets"].items()}, found[1]["notes"]) if found else None
 
     def _commit(self, number: int, buckets: dict[int, str], notes: dict) -> Manifest:
-        path, fs = self._files()
-        final, draft = path(f"{self.root}/manifests/{number}.json"), path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
-        if fs.exists(final):
-            raise RuntimeError(f"another writer has committed state {number} of {self.root}")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps({"buckets": buckets, "notes": notes | {"__buckets": self.buckets}}).encode()))
-        out.close()
-        if not fs.rename(draft, final):
-            raise RuntimeError(f"another writer has committed state {number} of {self.root}")
+        commit_state(self.spark, self.root, number, {"buckets": buckets, "notes": notes | {"__buckets": self.buckets}})
         return Manifest(number, buckets, notes)
 
     def vacuum(self) -> None:
         """Deletes versions that the newest manifest does not use. No reader of an older state may be at work."""
         now = self.manifest()
-        path, fs = self._files()
+        path, fs = files(self.spark, self.root)
         folder = path(f"{self.root}/data")
         if now and fs.exists(folder):
             for version in fs.listStatus(folder):
@@ -126,7 +135,7 @@ class KeyedTable:
             dealt = new.withColumn("bucket", self.bucket()).repartition(len(touched), "bucket")
             folder = f"{number}-{uuid.uuid4().hex}"
             dealt.write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
-            path, fs = self._files()
+            path, fs = files(self.spark, self.root)
             written = {s.getPath().getName() for s in fs.listStatus(path(f"{self.root}/data/{folder}"))}
             for b in touched:
                 held.pop(b, None)
