@@ -75,64 +75,6 @@ def normalised(scored: DataFrame, score: str = "score") -> DataFrame:
     return scored.withColumn("normalised", F.round(F.col(score) / F.when(top > 0, top).otherwise(1.0), 9))
 
 
-#: Queries that go to all tasks at once.
-QUERY_BLOCK = 4096
-
-
-def _nearest(ids: np.ndarray, queries: np.ndarray, groups: np.ndarray, k: int, same: bool):
-    """The k best queries' scores among the rows of each batch, by one matrix product; ties to smaller ids."""
-    sizes = np.linalg.norm(queries, axis=1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            chunk = b.column(0).to_numpy(zero_copy_only=False)
-            lists = b.column(1).to_pylist()
-            fit = np.array([v is not None and len(v) == queries.shape[1] and None not in v for v in lists], bool)
-            rows = np.array([v if ok else [0.0] * queries.shape[1] for v, ok in zip(lists, fit, strict=True)], np.float64).reshape(len(lists), -1)
-            long = np.linalg.norm(rows, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = np.round((queries @ rows.T) / (sizes[:, None] * long[None, :]), 9)
-            scores[(sizes == 0)[:, None] | (long == 0)[None, :]] = 0.0
-            allowed = groups[:, None] == b.column(2).to_numpy(zero_copy_only=False).astype(str)[None, :]
-            if not same:
-                allowed &= ids[:, None] != chunk[None, :]
-            scores = np.where(allowed, scores, -np.inf)
-            order = np.argsort(chunk, kind="stable")
-            best = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]
-            q = np.repeat(np.arange(len(ids)), best.shape[1])
-            r = order[best.ravel()]
-            some = scores[q, r] > -np.inf
-            q, r = q[some], r[some]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(chunk[r], pa.int64()), pa.array(scores[q, r], pa.float64())], names=["query_id", "chunk_id", "score"])
-
-    return run
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, same: bool = False, group: str | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k highest cosines of each query; 0 for zero or unlike vectors.
-
-    A stated query set is taken in blocks of a fixed size, each sent to all tasks; a task gives the k best of each
-    batch of vectors, so that only those are shuffled. With ``group``, a column of both, only vectors of the query's
-    group are compared. Vectors without a value, or with null components, score 0."""
-    key = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
-    asked = queries.where("query_id is not null and embedding is not null").select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"), key.alias("g"))
-    rows = vectors.where("chunk_id is not null").select(F.col("chunk_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), key.alias("g"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # QUERY_BLOCK rows, about
-        for width in sorted({len(r["q"]) for r in mine}) or [0]:
-            some = [r for r in mine if len(r["q"]) == width]
-            ids = np.array([r["query_id"] for r in some], np.int64)
-            held = np.array([[np.nan if x is None else x for x in r["q"]] for r in some], np.float64).reshape(len(some), width)
-            held[np.isnan(held).any(axis=1)] = 0.0
-            groups = np.array([r["g"] for r in some], str)
-            found = rows.mapInArrow(_nearest(ids, held, groups, k, same), "query_id long, chunk_id long, score double")
-            found = written(found, "nearest") if blocks > 1 else found
-            out = found if out is None else out.unionByName(found)
-    return top_k(out, k)
-
-
 #: Texts that an embedder gets at once (fixed value).
 EMBED_BATCH = 100
 

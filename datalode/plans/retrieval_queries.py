@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from datalode.operators import retrieval as R
 from datalode.operators.bm25 import bm25_top
+from datalode.operators.vectors import cached_steps, nearest
 from datalode.plans.registry import query, table
 from datalode.sources.postings import PostingIndex
 from datalode.sources.shared import scratch
@@ -94,7 +95,22 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query("dense_topk", f"WITH {_DENSE}, {_top('t', 'dense', 20)} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM t")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every 50th."""
-    return R.nearest(*_vectors(spark, sf_dir), 20)
+    return nearest(*_vectors(spark, sf_dir), 20)
+
+
+@query(
+    "cache_steps",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, ts, event_type FROM embeddings JOIN events ON event_id = vec_id),
+    s AS (SELECT q.vec_id AS query_id, n.vec_id AS entry_id, round(list_cosine_similarity(q.e, n.e), 9) AS score FROM v q JOIN v n
+          ON q.vec_id <> n.vec_id AND n.ts <= q.ts AND q.ts < n.ts + INTERVAL 24 HOURS AND q.event_type = n.event_type)
+    SELECT query_id, arg_max(entry_id, (score, -entry_id)) AS entry_id, max(score) AS score FROM s WHERE score >= 0.2 GROUP BY 1""",
+)
+def cache_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of all entries of the request's theme that live a day from their event on, if near enough (0.2 on these data)."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), "ts", F.col("event_type").alias("theme"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(events, "vec_id")
+    entries = rows.select(F.col("vec_id").alias("entry_id"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("INTERVAL 24 HOURS")).alias("expires_at"), "theme", "embedding")
+    return cached_steps(rows.withColumnRenamed("vec_id", "query_id"), entries, 0.2, with_theme=True).select("query_id", "entry_id", "score")
 
 
 @query("embedding_check", "SELECT len(embedding) AS dimension, len(embedding) = 64 AS ok, count(*) AS n FROM embeddings GROUP BY ALL")
@@ -118,7 +134,7 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, queries = _vectors(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     asked = docs.join(queries.select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "query_id")
-    return R.fused(R.nearest(vectors, queries, 20), bm25_top(docs, asked, 20, distinct=True), 20)
+    return R.fused(nearest(vectors, queries, 20), bm25_top(docs, asked, 20, distinct=True), 20)
 
 
 @query("rrf_fuse", f"WITH {_HYBRID} SELECT * FROM fused")
@@ -139,7 +155,7 @@ def tenant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest vectors among the documents of the query's own tenant."""
     vectors, queries = _vectors(spark, sf_dir)
     tenants = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
-    return R.nearest(vectors.join(tenants, "chunk_id"), queries.join(tenants.withColumnRenamed("chunk_id", "query_id"), "query_id"), 5, group="source")
+    return nearest(vectors.join(tenants, "chunk_id"), queries.join(tenants.withColumnRenamed("chunk_id", "query_id"), "query_id"), 5, group="source")
 
 
 @query(
@@ -153,7 +169,7 @@ def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tenants = docs.select(F.col("doc_id").alias("chunk_id"), "source")
     chosen = vectors.join(docs.where("lang = 'en'").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
-    return R.nearest(chosen.join(tenants, "chunk_id"), queries.join(tenants.withColumnRenamed("chunk_id", "query_id"), "query_id"), 5, group="source")
+    return nearest(chosen.join(tenants, "chunk_id"), queries.join(tenants.withColumnRenamed("chunk_id", "query_id"), "query_id"), 5, group="source")
 
 
 _FINAL = f"""{_HYBRID}, ft AS (SELECT f.*, d.text, d.source AS source_filename, d.doc_id, q.text AS query_text FROM fused f

@@ -56,12 +56,12 @@ def split_late(stream: DataFrame, timely: KeyedTable, late: KeyedTable, checkpoi
     def step(batch: DataFrame, number: int) -> None:
         now = timely.manifest()
         before = now.notes.get("newest") if now else None
-        behind = F.lit(False) if before is None else F.coalesce(F.unix_micros(time) <= F.lit(before - delay_seconds * 1_000_000), F.lit(False))
+        behind = F.lit(False) if before is None else F.coalesce(F.unix_micros(F.col(time).cast("timestamp")) <= F.lit(before - delay_seconds * 1_000_000), F.lit(False))
         if committed(timely, job, number):
             return
         if not committed(late, job, number):
             late.upsert(batch.where(behind), (), {f"batch:{job}": number})
-        top = batch.agg(F.max(F.unix_micros(time))).first()[0]
+        top = batch.agg(F.max(F.unix_micros(F.col(time).cast("timestamp")))).first()[0]
         newest = max((x for x in (before, top) if x is not None), default=None)
         timely.upsert(batch.where(~behind), (), {f"batch:{job}": number, "newest": newest})
 

@@ -9,6 +9,7 @@ import __spark_entry__
 from datalode.functions import text as X
 from datalode.operators import parse as P
 from datalode.operators import retrieval as R
+from datalode.operators.vectors import nearest
 from datalode.operators import slides as S
 
 
@@ -52,10 +53,10 @@ def test_nearest(spark):
     rows = [(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "a"), (3, [2.0, 0.0], "b"), (4, None, "a"), (5, [0.0, 0.0], "a"), (6, [1.0], "a")]
     vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, g string").repartition(3)
     asked = vectors.where("chunk_id in (1, 5)").withColumnRenamed("chunk_id", "query_id")
-    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in R.nearest(vectors, asked, 2).collect()}
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in nearest(vectors, asked, 2).collect()}
     assert got == {(1, 1): (3, 1.0), (1, 2): (2, 0.0), (5, 1): (1, 0.0), (5, 2): (2, 0.0)}
-    assert {r["chunk_id"] for r in R.nearest(vectors, asked.where("query_id = 1"), 9, group="g").collect()} == {2, 4, 5, 6}
-    assert R.nearest(vectors.limit(0), asked.limit(0), 2).count() == 0
+    assert {r["chunk_id"] for r in nearest(vectors, asked.where("query_id = 1"), 9, group="g").collect()} == {2, 4, 5, 6}
+    assert nearest(vectors.limit(0), asked.limit(0), 2).count() == 0
 
 
 def test_directions_and_radius(spark):
