@@ -454,7 +454,7 @@ def _runs_of_contexts(words: int, length: int):
 
 
 def short_runs(docs: DataFrame, text: str, words: int, length: int) -> DataFrame:
-    """Byte spans ``s`` of each different text's runs of ``words`` words under ``length`` bytes that occur elsewhere too.
+    """The byte spans ``s`` (united) of each different text's runs of ``words`` words under ``length`` bytes that occur elsewhere too.
 
     Anchors are sent, one for many runs. Contexts that occur twice repeat as a whole; only different contexts of one gram
     are compared, by the hash of each of their runs."""
@@ -471,8 +471,9 @@ def short_runs(docs: DataFrame, text: str, words: int, length: int) -> DataFrame
     twice = written(runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "word-runs-repeated")
     counted = runs.join(twice.hint("merge"), ["h1", "h2"], "left_semi").select("gram", "context", "a", "b")
     covered = written(equal.unionByName(counted).groupBy("gram", "context").agg(_union(F.collect_set(F.struct("a", "b"))).alias("s")), "word-runs-covered")
-    out = anchors.join(covered.hint("merge"), ["gram", "context"]).select("t1", "t2", "start", F.explode("s").alias("s"))
-    return out.select("t1", "t2", F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")).alias("s"))
+    moved = F.transform("s", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b")))
+    out = anchors.join(covered.hint("merge"), ["gram", "context"]).select("t1", "t2", moved.alias("s"))
+    return out.groupBy("t1", "t2").agg(_union(F.flatten(F.collect_set("s"))).alias("s"))  # those of copies are one
 
 
 _SPANS = "array<struct<a:int,b:int>>"
@@ -537,7 +538,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, group
     of_text = _united(of_text, list(both))
     if words is None:
         return of_text
-    runs = short_runs(docs, text, words, length).select("t1", "t2", *(F.array("s").alias(name) for name in both))
+    runs = short_runs(docs, text, words, length).select("t1", "t2", *(F.col("s").alias(name) for name in both))
     return _united(of_text.unionByName(runs), list(both))
 
 
