@@ -101,12 +101,28 @@ def waterfall(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return out.select(*rows.columns, F.round(F.least(before, F.col("after")), 6).alias("base"), F.round(F.abs(value), 6).alias("delta"))
 
 
+#: A cell of a slide's grid is as large as its mean box, and at least this part of the largest, so a box lies in few cells.
+LEAST_CELL = 1 / 16
+
+
 def overlaps(boxes: DataFrame) -> DataFrame:
-    """Pairs of boxes of one slide that share area, footers left out."""
-    own = boxes.where("element_type <> 'footer'").select("slide_id", "element_id", "x", "y", "width", "height")
-    other = own.select("slide_id", *(F.col(c).alias(f"{c}2") for c in own.columns if c != "slide_id"))
-    apart = (F.col("x") + F.col("width") <= F.col("x2")) | (F.col("x2") + F.col("width2") <= F.col("x")) | (F.col("y") + F.col("height") <= F.col("y2")) | (F.col("y2") + F.col("height2") <= F.col("y"))
-    return own.join(other, "slide_id").where((F.col("element_id") < F.col("element_id2")) & ~apart).select("slide_id", "element_id", "element_id2")
+    """Pairs of boxes of one slide that share area, footers left out.
+
+    Boxes meet in the cells of a uniform grid that they touch; a pair counts in the one cell that holds the upper left corner of what
+    they share. Slides may hold any number of boxes: pairs that are far apart never meet. Boxes with a null place or size overlap nothing."""
+    own = boxes.where("element_type <> 'footer'").select("slide_id", "element_id", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height"))).dropna()
+    side = lambda c: F.greatest(F.avg(c), F.max(c) * LEAST_CELL, F.lit(1e-9))
+    grid = own.groupBy("slide_id").agg(side("width").alias("cw"), side("height").alias("ch"))
+    at = lambda v, c: F.floor(F.col(v) / F.col(c))
+    own = own.join(grid, "slide_id").withColumns({"right": F.col("x") + F.col("width"), "bottom": F.col("y") + F.col("height")})
+    across = F.sequence(at("x", "cw"), F.greatest(at("x", "cw"), at("right", "cw")))
+    down = F.sequence(at("y", "ch"), F.greatest(at("y", "ch"), at("bottom", "ch")))
+    cells = own.withColumn("cx", F.explode(across)).withColumn("cy", F.explode(down))
+    other = cells.select("slide_id", "cx", "cy", *(F.col(c).alias(f"{c}2") for c in ("element_id", "x", "y", "right", "bottom")))
+    met = cells.join(other, ["slide_id", "cx", "cy"]).where(F.col("element_id") < F.col("element_id2"))
+    here = (F.col("cx") == F.floor(F.greatest("x", "x2") / F.col("cw"))) & (F.col("cy") == F.floor(F.greatest("y", "y2") / F.col("ch")))
+    share = (F.col("right") > F.col("x2")) & (F.col("right2") > F.col("x")) & (F.col("bottom") > F.col("y2")) & (F.col("bottom2") > F.col("y"))
+    return met.where(here & share).select("slide_id", "element_id", "element_id2")
 
 
 def layout_flags(boxes: DataFrame, width: float = 1000, height: float = 1000) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from datalode.functions import names as N
 from datalode.functions import text as X
 from datalode.operators import ingest as I
 from datalode.plans.registry import query, table
@@ -277,3 +278,26 @@ def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = spark.createDataFrame([("en", "ltr"), ("de", "ltr"), ("fr", "ltr"), ("ar", "rtl")], "tag string, direction string")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("-XX")).alias("tag"))
     return I.profile_of(docs, profiles, "en").select("doc_id", "tag", "profile")
+
+
+_NAME_WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}]+')"
+
+
+@query(
+    "pii_names",
+    rf"""WITH d AS (SELECT doc_id, text, {_NAME_WORDS} AS w, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS a FROM documents),
+    n AS (SELECT DISTINCT array_to_string(list_slice(w, 1, CASE WHEN length(text) % 2 = 0 THEN 2 ELSE 3 END), ' ') AS gram FROM d WHERE len(w) >= 3),
+    m AS (SELECT doc_id, list_transform(w, lambda x, i: x || CASE WHEN regexp_full_match(a[i + 1], '[ \t\r\n]+') THEN '' ELSE chr(1) END) AS w FROM d),
+    g AS (SELECT doc_id, s, k, rtrim(array_to_string(list_slice(w, s + 1, s + k), ' '), chr(1)) AS gram FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS s FROM m), (VALUES (2), (3)) v(k) WHERE s + k <= len(w)),
+    h AS (SELECT doc_id, list({{'e': s + k, 's': s}} ORDER BY s, k DESC) AS hits FROM g JOIN n USING (gram) GROUP BY 1),
+    t AS (SELECT doc_id, list_reduce(hits, lambda acc, x: CASE WHEN x.s >= acc[len(acc)].e THEN list_append(acc, x) ELSE acc END, [{{'e': CAST(0 AS BIGINT), 's': CAST(-1 AS BIGINT)}}])[2:] AS spans FROM (SELECT doc_id, list_transform(hits, lambda x: x) AS hits FROM h))
+    SELECT d.doc_id, CAST(coalesce(len(spans), 0) AS BIGINT) AS n_names, md5(CASE WHEN spans IS NULL THEN text ELSE array_to_string(list_concat(flatten(list_transform(w, lambda x, i:
+        CASE WHEN len(list_filter(spans, lambda p: p.s = i - 1)) > 0 THEN [a[i], '<PERSON>'] WHEN len(list_filter(spans, lambda p: p.s < i - 1 AND i - 1 < p.e)) > 0 THEN [] ELSE [a[i], x] END)), [a[len(a)]]), '') END) AS digest
+    FROM d LEFT JOIN t USING (doc_id)""",
+)
+def pii_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a table (here: the first two or three words of every document) redacted in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.regexp_extract_all("text", F.lit(f"({N.WORD})"), F.lit(1))
+    names = docs.select("text", words.alias("w")).where(F.size("w") >= 3).select(F.array_join(F.slice("w", 1, F.when(F.length("text") % 2 == 0, 2).otherwise(3)), " ").alias("name"))
+    return N.without_names(docs, names).select("doc_id", "n_names", F.md5("redacted").alias("digest"))
