@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datalode.functions import names as N
@@ -259,17 +261,15 @@ def first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_-]+'), lambda x: x <> '') AS all_w, length(text) AS n FROM documents),
     k AS (SELECT doc_id, list_transform(all_w, lambda x: CASE WHEN regexp_full_match(x, '[a-z][a-z0-9-]{{2,}}') THEN x END) AS ws FROM w WHERE n >= 10),
     u AS (SELECT doc_id, list_filter(ws, lambda x: x IS NOT NULL) AS ws FROM k),
-    s AS (SELECT doc_id, unnest(ws) AS term, 1 AS weight FROM u UNION ALL
-          SELECT doc_id, p[1] || ' ' || p[2], 3 FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: [ws[i], ws[i + 1]])) AS p FROM u) WHERE p[1] NOT IN ({", ".join(f"'{w}'" for w in X.STOPWORDS)}) AND p[2] NOT IN ({", ".join(f"'{w}'" for w in X.STOPWORDS)})),
-    c AS (SELECT doc_id, term, CAST(sum(weight) AS BIGINT) AS n FROM s WHERE term NOT IN ({", ".join(f"'{w}'" for w in X.STOPWORDS)}) GROUP BY ALL)
-    SELECT doc_id, term, n, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, contains(term, ' '), term) AS r FROM c) WHERE r <= 10""",
+    s AS (SELECT doc_id, p.term AS term, 1 AS weight, p.i AS spot FROM (SELECT doc_id, unnest(list_transform(ws, lambda x, i: {{'term': x, 'i': i}})) AS p FROM u) UNION ALL
+          SELECT doc_id, p[1] || ' ' || p[2], 3, CAST(p[3] AS BIGINT) FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: [ws[i], ws[i + 1], CAST(i AS VARCHAR)])) AS p FROM u) WHERE p[1] NOT IN ({", ".join(f"'{w}'" for w in X.STOPWORDS)}) AND p[2] NOT IN ({", ".join(f"'{w}'" for w in X.STOPWORDS)})),
+    c AS (SELECT doc_id, term, CAST(sum(weight) AS BIGINT) AS n, min(spot) AS spot FROM s WHERE term NOT IN ({", ".join(f"'{w}'" for w in X.STOPWORDS)}) GROUP BY doc_id, term)
+    SELECT doc_id, term, n, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, contains(term, ' '), spot) AS r FROM c) WHERE r <= 10""",
 )
 def keywords_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten heaviest keywords of every document."""
-    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.keyword_terms(F.col("text"))).alias("t"))
-    counts = terms.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("n"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.contains("term", F.lit(" ")), "term")
-    return counts.withColumn("place", F.row_number().over(order)).where("place <= 10")
+    docs = X.keywords(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode("keywords").alias("i", "k")).select("doc_id", "k.term", "k.n", (F.col("i") + 1).alias("place"))
 
 
 @query("language_profile", """SELECT doc_id, lang || '-XX' AS tag, CASE WHEN lang IN ('en', 'de', 'fr') THEN lang ELSE 'en' END AS profile FROM documents""")
@@ -301,3 +301,31 @@ def pii_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(f"({N.WORD})"), F.lit(1))
     names = docs.select("text", words.alias("w")).where(F.size("w") >= 3).select(F.array_join(F.slice("w", 1, F.when(F.length("text") % 2 == 0, 2).otherwise(3)), " ").alias("name"))
     return N.without_names(docs, names).select("doc_id", "n_names", F.md5("redacted").alias("digest"))
+
+
+@query(
+    "entity_spans",
+    r"""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '@[a-z]+'))) AS v, text FROM documents)
+    SELECT doc_id, count(*) AS n, CAST(sum(instr(text, v) - 1) AS BIGINT) AS starts, CAST(sum(length(v)) AS BIGINT) AS characters FROM m GROUP BY 1""",
+)
+def entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a detector (here: signs and letters after an at sign, each value at its first place) finds in every document."""
+
+    def detect(texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        found = [{m: t.index(m) for m in re.findall("@[a-z]+", t)} for t in texts]
+        return [[("HANDLE", at, at + len(v)) for v, at in one.items()] for one in found]
+
+    rows = X.entities(table(spark, sf_dir, "documents").select("doc_id", "text"), detect=detect).where(F.size("entities") > 0).select("doc_id", F.explode("entities").alias("e"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("e.start").cast("long").alias("starts"), F.sum(F.col("e.end") - F.col("e.start")).cast("long").alias("characters"))
+
+
+@query("summaries", "SELECT doc_id, coalesce(lang, '') || ':' || trim(length(text) || ':' || substr(text, 1, 5)) AS summary FROM documents")
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summariser that gets texts in batches of ten (here: language, length and a beginning)."""
+
+    def summarise(texts: list[str]) -> list[str]:
+        assert len(texts) <= X.SUMMARY_BATCH
+        return [f"{len(t.partition('|')[2])}:{t.partition('|')[2][:5]}" for t in texts]
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.coalesce("lang", F.lit("")), F.lit("|"), "text").alias("text"))
+    return X.summarised(rows, summarise).select("doc_id", F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), "summary").alias("summary"))
