@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from datalode.operators import records as R
 from datalode.plans.registry import query, table
 
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
@@ -44,11 +45,8 @@ def outline_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholders filled from a map; the template as it is if one is missing."""
     known = F.when(F.col("turn") % 2 == 0, F.create_map(F.lit("role"), "role", F.lit("id"), F.col("conv_id").cast("string"))).otherwise(F.create_map(F.lit("role"), F.col("role")))
-    template = F.lit("As {role} ({id}): go")
-    wanted = F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), F.lit(1))
-    filled = F.aggregate(F.map_entries("vars"), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
     rows = table(spark, sf_dir, "conversations").withColumn("vars", known)
-    return rows.select("conv_id", "turn", F.when(F.forall(wanted, lambda w: F.map_contains_key("vars", w)), filled).otherwise(template).alias("prompt"))
+    return rows.select("conv_id", "turn", R.rendered(F.lit("As {role} ({id}): go"), F.col("vars")).alias("prompt"))
 
 
 @query("impact_radius", "SELECT CASE WHEN event_type = 'view' THEN 'deck' WHEN event_type = 'signup' THEN 'section' WHEN event_type = 'click' THEN 'element' ELSE 'slide' END AS radius, count(*) AS n FROM events GROUP BY 1")
@@ -63,8 +61,7 @@ def impact_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("figure_triage", "SELECT doc_id, CASE WHEN strlen(text) < 1000 THEN 'decorative' WHEN contains(lower(substr(text, 1, 60)), 'th') THEN 'informational' ELSE 'uncertain' END AS kind FROM documents")
 def figure_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small contents are decorative, those with a telling caption informational, others uncertain."""
-    caption = F.lower(F.substring("text", 1, 60))
-    kind = F.when(F.octet_length("text") < 1000, "decorative").when(F.contains(caption, F.lit("th")), "informational").otherwise("uncertain")
+    kind = R.figure_kind(F.octet_length("text"), F.substring("text", 1, 60), ["th"])
     return table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"))
 
 
@@ -80,7 +77,7 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of another version are rejected; those without one pass."""
     version = F.when(_key() % 3 == 0, "1.0.0").when(_key() % 3 == 1, "0.9.0")
     rows = table(spark, sf_dir, "events").withColumn("version", version)
-    rows = rows.withColumn("rejected", F.col("version").isNotNull() & (F.coalesce("version", F.lit("")) != "1.0.0"))
+    rows = rows.withColumn("rejected", R.version_rejected(F.col("version")))
     return rows.groupBy(F.coalesce("version", F.lit("none")).alias("version"), "rejected").agg(F.count("*").alias("n"))
 
 
@@ -88,7 +85,7 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relaxation_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Font scales held in 0.8 to 1.2 with a warning where they were larger."""
     scale = F.col("value") / 300
-    return table(spark, sf_dir, "events").select("event_id", F.least(F.lit(1.2), F.greatest(F.lit(0.8), F.round(scale, 4))).alias("font_scale"), F.when(scale > 1.2, "clamped").otherwise("").alias("warnings"))
+    return table(spark, sf_dir, "events").select("event_id", R.relaxed_scale(F.round(scale, 4)).alias("font_scale"), F.array_join(R.with_warnings(F.lit(None), F.when(scale > R.SCALES[1], F.array(F.lit("clamped")))), ",").alias("warnings"))
 
 
 @query(
@@ -97,8 +94,8 @@ def relaxation_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def layout_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solve times by tier and the share of cache hits."""
-    le = [F.count_if(F.col("value") <= x).alias(f"le_{x}") for x in (50, 100, 250)]
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tier")).agg(F.count("*").alias("n"), *le, F.round(F.count_if(_key() % 4 == 0) / F.count("*"), 6).alias("hit_ratio"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("tier"), F.col("value").alias("solve_time_ms"), (_key() % 4 == 0).alias("font_cache_hit"))
+    return R.solve_times(rows, ["tier"], (50, 100, 250))
 
 
 @query(
@@ -107,26 +104,22 @@ def layout_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean confidence of each page's recognised words, and the page's text."""
-    w = table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), "ts", "event_id", (_key() - 5).alias("conf"), F.col("event_type").alias("word")).where("conf > 0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "word"))), lambda x: x["word"]), " ")
-    mean = F.avg("conf") / 100
-    return w.groupBy("page").agg(F.round(mean, 3).alias("confidence"), (mean >= 0.3).alias("kept"), F.count("*").alias("words"), F.md5(text).alias("text_hash"))
+    w = table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), "ts", "event_id", (_key() - 5).alias("confidence"), F.col("event_type").alias("word"))
+    return R.recognised_pages(w, ["ts", "event_id"]).select("page", "confidence", "kept", "words", F.md5("text").alias("text_hash"))
 
 
 @query("highlighted_cells", f"SELECT event_id, {_K} IN (SELECT {_K} FROM events WHERE event_type = 'error' AND value > 200) AS highlighted FROM events")
 def highlighted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells whose key is in the highlight set."""
     rows = table(spark, sf_dir, "events").withColumn("k", _key())
-    marked = rows.where("event_type = 'error' and value > 200").select("k").distinct().withColumn("m", F.lit(True))
-    return rows.join(marked, "k", "left").select("event_id", F.coalesce("m", F.lit(False)).alias("highlighted"))
+    return R.highlighted(rows, rows.where("event_type = 'error' and value > 200"), ["k"]).select("event_id", "highlighted")
 
 
 @query("change_symbols", "SELECT event_id, CASE WHEN value > 200 THEN '▲' WHEN value < 50 THEN '▼' ELSE '→' END || ' ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS display FROM events")
 def change_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """values with the sign of their change."""
-    change = F.when(F.col("value") > 200, "up").when(F.col("value") < 50, "down").otherwise("flat")
-    signs = F.create_map(*(F.lit(x) for kv in (("up", "▲"), ("down", "▼"), ("flat", "→")) for x in kv))
-    return table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", signs[change], F.floor("value").cast("string")).alias("display"))
+    change = F.when(F.col("value") > 200, "up").when(F.col("value") < 50, "down").otherwise("neutral")
+    return table(spark, sf_dir, "events").select("event_id", R.change_display(change, F.floor("value").cast("string")).alias("display"))
 
 
 @query("scatter_points", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS x, round(CAST(embedding[i] AS DOUBLE), 6) AS y FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
@@ -142,12 +135,5 @@ def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def eval_case_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation cases from all languages, event types and three lengths; the first fifty (few distinct values)."""
-    p = table(spark, sf_dir, "documents").select("lang").distinct()
-    i = table(spark, sf_dir, "events").select(F.col("event_type").alias("industry")).distinct()
-    rows = p.crossJoin(F.broadcast(i)).withColumn("duration_minutes", F.explode(F.array(*map(F.lit, (5, 15, 30)))))
-    first = rows.orderBy("lang", "industry", "duration_minutes").limit(50)
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy("lang", "industry", "duration_minutes")) - 1
-    framework = F.element_at(F.array(*map(F.lit, ("pyramid_principle", "scqa", "mece"))), (F.col("n") % 3 + 1).cast("int"))
-    return first.withColumn("n", n.cast("long")).select("n", "lang", "industry", "duration_minutes", framework.alias("framework"))
+    industries = table(spark, sf_dir, "events").select(F.col("event_type").alias("industry"))
+    return R.evaluation_cases(table(spark, sf_dir, "documents").select("lang"), industries, (5, 15, 30), ("pyramid_principle", "scqa", "mece"))
