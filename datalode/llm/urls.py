@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -68,11 +69,13 @@ def lower_bound(share: Column, n: Column, z: float) -> Column:
     return around / (1 + z * z / n)
 
 
-def mined_rules(labelled: DataFrame, support: float, confidence: float, least: int, lift: float, z: float) -> tuple[DataFrame, DataFrame]:
+def mined_rules(labelled: DataFrame, support: float, confidence: float, least: int, lift: float, z: float | None, error: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Token combinations (``tokens``, ``confidence``, ``support``) that mean block, and what stands for each token (``token``, ``kind``).
 
     ``labelled`` has ``tokens`` and ``bad``. A rule holds for at least ``least`` bad rows and the share ``support`` of all rows; its share of
     bad rows is at least ``confidence`` and ``lift`` times that of all rows, and the lower end of its interval (``z`` deviations) is over that of all rows.
+    Without ``z`` the deviations follow from ``error``, shared out to all combinations that are frequent among bad rows (Bonferroni): where
+    labels do not depend on URLs, the chance that there is any rule at all is about ``error``.
     A rule with a shorter one inside it that is at least as sure
     is left out. So tokens that lie in the same rows never meet in a rule and take each other's place in it; one stands for all. Rarer tokens than
     the support are dropped before. The number of combinations grows with the tokens that are frequent together in different rows.
@@ -88,6 +91,10 @@ def mined_rules(labelled: DataFrame, support: float, confidence: float, least: i
     rows = rows.select("items", "n_bad", F.explode(F.sequence("first", F.least(F.col("first") + 999, F.col("n") - 1))).alias("i"))
     baskets = rows.select(F.when(F.col("i") < F.col("n_bad"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min(1.0, max(confidence, lift * share * (1 - 1e-12)))).fit(baskets)
+    sets = model.freqItemsets.persist()  # rules and their number come from it
+    if z is None:
+        tried = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).count()
+        z = NormalDist().inv_cdf(1 - error / max(1, tried))
     rules = model.associationRules.where(F.lit(count >= least) & (F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
     rows_of = F.round(F.col("support") * count / F.col("confidence"))
     rules = rules.where(lower_bound(F.col("confidence"), rows_of, z) > share)
@@ -112,7 +119,8 @@ def filter_urls(
     confidence: float = 0.0,
     least: int = 5,
     lift: float = 1.25,
-    z: float = 1.96,
+    z: float | None = None,
+    error: float = 0.05,
 ) -> DataFrame:
     """Adds host, path, rule, verdict, mined_tokens and mined_confidence to every page.
 
@@ -131,7 +139,7 @@ def filter_urls(
     parts = pages.select(F.col(id).alias("__id"), F.col(url).alias("url")).withColumns({"host": host, "path": path})
     parts = parts.withColumn("tokens", url_tokens("url", "host", "path"))
     marks = labels.select(F.col(label_id).alias("__id"), F.coalesce(bad, F.lit(False)).alias("bad"))
-    mined, kinds = mined_rules(parts.join(marks, "__id").where(F.size("tokens") > 0).select("tokens", "bad"), support, confidence, least, lift, z)
+    mined, kinds = mined_rules(parts.join(marks, "__id").where(F.size("tokens") > 0).select("tokens", "bad"), support, confidence, least, lift, z, error)
 
     urls = parts.where(F.col("url").isNotNull() & (F.size("tokens") > 0)).select("url", "tokens").distinct()
     each = mined.select("tokens", "confidence", F.explode("tokens").alias("kind"))
