@@ -69,8 +69,8 @@ def phrase_columns(text: Column, phrases: Mapping[str, str]) -> dict[str, Column
 def template_blocks(texts: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
     """Lines (``t1``, ``t2`` of their text, ``block`` to ``last``) that hold the share ``threshold`` of a template's words.
 
-    A block is one line, or, for notices that are wrapped, a run of as many words as the longest template
-    has, over two lines or more. ``texts`` has t1, t2 and text. Words are ordered by how often the whole corpus has them. A block must
+    A block is one line of no more words than the longest template has, or a run of so many words: within a
+    longer line, or, for notices that are wrapped, over two lines or more. ``texts`` has t1, t2 and text. Words are ordered by how often the whole corpus has them. A block must
     hold a word of a template's prefix; it must have enough words of the templates, and from the first
     common word on enough must follow on both sides.
     """
@@ -92,7 +92,7 @@ def template_blocks(texts: DataFrame, templates: Sequence[tuple[str, str]], thre
     seen = [w for w in vocabulary if order[w] in prefix and often.get(w, 0)]
     some = texts.where(small(F.col("text")).rlike("|".join(seen) if seen else "$^"))
     lines = some.select("t1", "t2", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    lines = lines.where(small(F.col("line")).rlike("|".join(seen) if seen else "$^"))
+    lines = lines.where(small(F.col("line")).rlike("|".join(seen) if seen else "$^") & (F.regexp_count(small(F.col("line")), F.lit(WORD)) <= most))
     held = F.filter(F.array_distinct(F.split(small(F.col("line")), GAP)), lambda w: w.isin(vocabulary))
     lines = lines.select("t1", "t2", "block", F.col("block").alias("last"), F.array_sort(F.transform(held, lambda w: rank_of[w])).alias("own"))
     fewest = min((r[3] for r in rows), default=1)
@@ -112,14 +112,16 @@ def template_blocks(texts: DataFrame, templates: Sequence[tuple[str, str]], thre
 
 
 def _runs(texts: DataFrame, vocabulary: Sequence[str], rank_of: Column, rare: Sequence[int], most: int, fewest: int) -> DataFrame:
-    """Runs of ``most`` words over two lines or more, from each word of the vocabulary on, that hold a rare one."""
+    """Runs of ``most`` words over two lines or more, or within a longer line, from each word of the vocabulary on, that hold a rare one."""
     per_line = lambda line, k: F.transform(F.filter(F.split(small(line), GAP), lambda w: w != ""), lambda w: F.struct(w.alias("word"), k.alias("line")))
-    words = texts.select("t1", "t2", F.flatten(F.transform(F.split("text", "\n"), per_line)).alias("words"))
+    sizes = F.transform(F.split("text", "\n"), lambda line: F.regexp_count(small(line), F.lit(WORD)))
+    words = texts.select("t1", "t2", F.flatten(F.transform(F.split("text", "\n"), per_line)).alias("words"), sizes.alias("sizes"))
     own = F.transform("words", lambda x, i: F.when(x["word"].isin(list(vocabulary)), F.struct(i.alias("at"), x["line"].alias("line"), rank_of[x["word"]].alias("rank"))))
-    words = words.select("t1", "t2", F.filter(own, lambda x: x.isNotNull()).alias("own"))
+    words = words.select("t1", "t2", "sizes", F.filter(own, lambda x: x.isNotNull()).alias("own"))
     words = words.where(F.size(F.array_distinct(F.transform("own", lambda x: x["rank"]))) >= fewest)
     run = F.transform("own", lambda x, j: F.filter(F.slice(F.col("own"), j + 1, F.lit(most)), lambda y: y["at"] < x["at"] + most))
-    wrapped = lambda r: (F.size(r) >= fewest) & (r[0]["line"] < F.element_at(r, -1)["line"]) & F.exists(r, lambda y: y["rank"].isin(list(rare)))
+    beyond = lambda r: (r[0]["line"] < F.element_at(r, -1)["line"]) | (F.element_at("sizes", r[0]["line"] + 1) > most)
+    wrapped = lambda r: (F.size(r) >= fewest) & beyond(r) & F.exists(r, lambda y: y["rank"].isin(list(rare)))
     words = words.select("t1", "t2", F.explode(F.filter(run, wrapped)).alias("run"))
     ranks = F.array_sort(F.array_distinct(F.transform("run", lambda y: y["rank"])))
     return words.select("t1", "t2", F.col("run")[0]["line"].alias("block"), F.element_at("run", -1)["line"].alias("last"), ranks.alias("own"))
@@ -134,7 +136,7 @@ def scan_licenses(
 ) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and blocks to every row.
 
-    ``blocks`` lists the lines (from 0), and the runs of lines (``block`` to ``last``), that hold enough of a
+    ``blocks`` lists the lines (from 0), and the runs of words by their lines (``block`` to ``last``), that hold enough of a
     template, with label and score; a run may begin or end a line beside its notice. ``score`` is
     1 if a phrase occurs, else the best of the blocks, else 0. A null text is empty: no words, no labels,
     null positions, empty strings. Repeated rows get equal results, equal scores are listed in the order of blocks; texts of any length

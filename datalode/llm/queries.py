@@ -66,7 +66,9 @@ _WORDS = "list_filter(regexp_split_to_array(lower({}), '" + _GAP + "'), lambda x
 
 
 def _license_sql() -> str:
-    """Every line against every template, and every phrase at every word."""
+    """Every short line, and every run of as many words as the longest template has, against every template; and every phrase at every word."""
+    words = [t.lower().replace(".", " ").split() for _, t in TEMPLATES]
+    most, vocabulary = max(map(len, words)), ", ".join(sorted({f"'{w}'" for t in words for w in t}))
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
     templates = ", ".join(f"({i}, '{label}', '{t}')" for i, (label, t) in enumerate(TEMPLATES))
     return f"""
@@ -76,10 +78,10 @@ def _license_sql() -> str:
           ON array_to_string(list_slice(w, s, s + n - 1), ' ') = phrase),
     bl AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, list(DISTINCT label) AS ls FROM b GROUP BY 1),
     t AS (SELECT i, label, list_distinct({_WORDS.format("t")}) AS tw FROM (VALUES {templates}) v(i, label, t)),
-    m AS (SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw) AS score
-          FROM (SELECT doc_id, list_distinct({_WORDS.format("line")}) AS lw
-                FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) y) l, t
-          WHERE len(list_intersect(lw, tw)) >= 0.85 * len(tw)),
+    ps AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+    wv AS (SELECT DISTINCT doc_id, list_sort(list_distinct(lw)) AS lw FROM (SELECT doc_id, list(word) OVER (PARTITION BY doc_id ORDER BY p RANGE BETWEEN CURRENT ROW AND {most - 1} FOLLOWING) AS lw FROM ps WHERE word IN ({vocabulary}))),
+    ln AS (SELECT doc_id, list_distinct(lw) AS lw FROM (SELECT doc_id, {_WORDS.format("line")} AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) y) WHERE len(lw) <= {most}),
+    m AS (SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw) AS score FROM (SELECT * FROM ln UNION ALL SELECT * FROM wv) x, t WHERE len(list_intersect(lw, tw)) >= 0.85 * len(tw)),
     ml AS (SELECT doc_id, max(score) AS score, list(DISTINCT label) AS ls FROM m GROUP BY 1)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
            coalesce(array_to_string(list_sort(bl.ls), ','), '') AS base_labels,

@@ -253,6 +253,16 @@ def test_wrapped_licenses(spark):
     assert [[(b["block"], b["last"]) for b in r["blocks"]] for r in rows if r["doc_id"] in (0, 4)] == [[(0, 2)], [(0, 0)]]
 
 
+def test_licenses_on_long_lines(spark):
+    """A line is no block if it is long: only words that stand together are a notice."""
+    apart = f"released {prose(300, 1)} under {prose(200, 2)} the {prose(250, 3)} mit {prose(99, 4)} license"
+    inside = f"{prose(200, 5)} Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files {prose(200, 6)}"
+    texts = [apart, inside, "first\n" + inside + "\nlast", inside.replace("obtaining", prose(40, 7))]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [(r["labels"], r["score"]) for r in rows] == [("", 0.0), ("mit", 1.0), ("mit", 1.0), ("", 0.0)]
+    assert [(b["block"], b["last"]) for b in rows[2]["blocks"]] == [(1, 1)]
+
+
 def test_urls(spark):
     urls = ["http://a.Example.com/en/x", "https://www.example.com/en/1", "ftp://b.net/es/", "b.net/fr/", None, "http://EXAMPLE.com?x=/en/", "http://"]
     pages = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, host string")
