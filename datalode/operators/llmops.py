@@ -215,7 +215,11 @@ def nearest_entries(requests: DataFrame, entries: DataFrame, most: int = 500) ->
 
 
 def first_submissions(rows: DataFrame, hours: int = 24) -> DataFrame:
-    """For each client id and window of ``hours`` from its first request on: the first job and its repeats."""
+    """For each client id and window of ``hours`` from its first request on: the first job and its repeats.
+
+    Times count in seconds, rounded to the nearest (halves to even)."""
     start = F.min("ts").over(Window.partitionBy("client_request_id"))
-    slot = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(start)) / (hours * 3600))
+    seconds = lambda c: F.rint(F.unix_micros(F.col(c).cast("timestamp")) / 1e6).cast("long")
+    rows = rows.withColumn("start", start)
+    slot = F.floor((seconds("ts") - seconds("start")) / (hours * 3600))
     return rows.withColumn("slot", slot).groupBy("client_request_id", "slot").agg(F.min_by("job_id", F.struct("ts", "job_id")).alias("job_id"), F.count("*").alias("requests"))
