@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,12 +149,18 @@ def reranked(found: DataFrame, k: int, score: Column | None = None) -> DataFrame
     return found.withColumn("rerank_score", score).withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= k)
 
 
+@F.pandas_udf(T.StringType())
+def two_digits(score: pd.Series) -> pd.Series:
+    """Two digits of the exact value, halves to even, as C and SQL print them (Spark's format_string gives 0.13 for 0.125)."""
+    return score.map("{:.2f}".format)
+
+
 def context_header(label: Column, filename: Column, page: Column, kind: Column, score: Column) -> Column:
     """The two header lines of a packed source."""
     place = F.when(F.coalesce(page, F.lit(0)) > 0, F.concat(F.lit("p."), page.cast("string"))).otherwise("n.p.")
     return F.concat(
         F.lit("["), label, F.lit("] — "), filename, F.lit(" ("), place, F.lit(") | "), F.initcap(F.replace(kind, F.lit("_"), F.lit(" "))),
-        F.lit("\nRelevance: "), F.format_string("%.2f", score), F.lit("\n"),
+        F.lit("\nRelevance: "), F.coalesce(F.when(score.isNotNull(), two_digits(score.cast("double"))), F.lit("null")), F.lit("\n"),
     )
 
 
