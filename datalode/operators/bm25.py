@@ -2,50 +2,75 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datalode.operators.retrieval import EPSILON, K1, B, words
+from datalode.operators.vectors import Best
 from datalode.sources.shared import written
 
 #: Chunks of a block; those that come together in a batch are cut by length, so that a block's lengths are alike.
 BLOCK_CHUNKS = 128
-#: Queries of one pass over the postings, and of one product within a block.
-PASS_QUERIES, AT_ONCE = 4096, 256
+#: Chunks whose words are held at once.
+BATCH_CHUNKS = 2048
+#: Queries of one pass over the postings or the chunks.
+PASS_QUERIES = 4096
+#: Terms whose weights are a matrix, and the queries that must share one.
+SHARED, SHARED_BY = 512, 8
+#: Chunks that are scored at once where no postings are kept.
+CHUNKS_AT_ONCE = 256
 #: One block in so many is searched first, for a score that all others must reach.
 SAMPLE = 16
 #: Rounded scores differ by less than this from those that bounds are made of.
 SLACK = 1e-8
+ASKED = pa.schema([("query_id", pa.int64()), ("term", pa.string()), ("weight", pa.float64()), ("average", pa.float64())])
 POSTINGS = "tenant_id string, block long, term string, n int, ids array<long>, tfs array<int>, lengths array<int>"
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts that single spaces part, and the place of each word's text."""
+    lists = pc.split_pattern(texts, " ")
+    flat, parent = lists.flatten(), pc.list_parent_indices(lists)
+    filled = pc.not_equal(flat, "")
+    return flat.filter(filled), parent.filter(filled).to_numpy().astype(np.int64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-    for b in batches:
-        tenants = b.column("tenant_id").to_pylist()
-        rows = [(tenants[i] or "", len(w), i, Counter(w)) for i, w in enumerate(t.split(" ") if t else [] for t in b.column("text").to_pylist())]
-        rows.sort(key=lambda r: r[:3])
-        chunk = b.column("chunk_id").to_pylist()
-        first = 0
-        while first < len(rows):
-            some = [r for r in rows[first : first + BLOCK_CHUNKS] if r[0] == rows[first][0]]
-            first += len(some)
+    for b in (batch.slice(a, BATCH_CHUNKS) for batch in batches for a in range(0, batch.num_rows, BATCH_CHUNKS)):
+        tenants, owner = np.unique(np.array(b.column("tenant_id").fill_null("").to_pylist(), object), return_inverse=True)
+        flat, parent = split_words(b.column("text"))
+        coded = flat.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        terms = pa.concat_arrays([pa.array([""]), coded.dictionary.take(pa.array(order))])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        word = rank[coded.indices.to_numpy()]
+        by_text = np.searchsorted(parent, np.arange(b.num_rows + 1))
+        length, chunk = np.diff(by_text), b.column("chunk_id").to_numpy()
+        rows = np.lexsort((np.arange(b.num_rows), length, owner))
+        cuts = np.searchsorted(owner[rows], np.arange(len(tenants) + 1))
+        for first in (x for c, d in zip(cuts, cuts[1:], strict=False) for x in range(c, d, BLOCK_CHUNKS)):
+            some = rows[first : min(first + BLOCK_CHUNKS, cuts[owner[rows[first]] + 1])]
             number += 1
+            words = np.concatenate([word[by_text[i] : by_text[i + 1]] for i in some])
+            place = np.repeat(np.arange(len(some)), length[some])
             # the empty term has every chunk of the block, for counts and lengths
-            held: dict[str, list[tuple[int, int, int]]] = {"": [(chunk[i], 0, n) for _, n, i, _ in some]}
-            for _, n, i, counts in some:
-                for term, tf in counts.items():
-                    held.setdefault(term, []).append((chunk[i], tf, n))
-            terms = sorted(held)
-            ids, tfs, lengths = (pa.array([[x[k] for x in held[t]] for t in terms], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32())))
-            same = [pa.array([some[0][0]] * len(terms)), pa.array(np.full(len(terms), number))]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(terms), pa.array([len(held[t]) for t in terms], pa.int32()), ids, tfs, lengths], names=["tenant_id", "block", "term", "n", "ids", "tfs", "lengths"])
+            key, tf = np.unique(words * len(some) + place, return_counts=True)
+            key, tf = np.concatenate([np.arange(len(some)), key]), np.concatenate([np.zeros(len(some), np.int64), tf])
+            term, place = np.divmod(key, len(some))
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(term)) + 1, [len(term)]])
+            offsets = pa.array(starts, pa.int32())
+            ids, tfs, lengths = (pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((chunk[some][place], pa.int64()), (tf, pa.int32()), (length[some][place], pa.int32())))
+            n = len(starts) - 1
+            same = [pa.array([tenants[owner[some[0]]]] * n, pa.string()), pa.array(np.full(n, number))]
+            yield pa.RecordBatch.from_arrays([*same, terms.take(pa.array(term[starts[:-1]])), pa.array(np.diff(starts), pa.int32()), ids, tfs, lengths], names=["tenant_id", "block", "term", "n", "ids", "tfs", "lengths"])
 
 
 def block_postings(chunks: DataFrame, id: str = "chunk_id", text: str = "text", tenant: str | None = None) -> DataFrame:
@@ -79,62 +104,78 @@ def frequencies(counts: DataFrame, sizes: DataFrame, epsilon: float = EPSILON) -
 
 
 class Asked:
-    """The queries of a pass: for each query its terms with idf times their number, and the score that a chunk must reach."""
-
-    def __init__(self, rows: list, floors: dict[int, float], distinct: bool) -> None:
-        self.ids = sorted({r["query_id"] for r in rows})
-        at = {q: i for i, q in enumerate(self.ids)}
-        self.terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
-        self.query = np.array([at[r["query_id"]] for r in rows], np.int64)
-        self.term = np.array([self.terms[r["term"]] for r in rows], np.int64)
-        self.weight = np.array([r["weight"] for r in rows])
-        order = np.lexsort((self.query, self.term))
-        self.query, self.term, self.weight = self.query[order], self.term[order], self.weight[order]
-        self.first = np.searchsorted(self.term, np.arange(len(self.terms) + 1))
-        self.floor = np.array([floors.get(q, -np.inf) for q in self.ids])
-        self.average = rows[0]["average"] if rows else 1.0
+    """The queries of a pass: for each query its terms with idf times their number, and the score that a chunk must reach.
+
+    Weights of the terms that most queries share are a matrix, those of all others a list for each term."""
+
+    def __init__(self, rows: pa.Table | list, floors: dict[int, float], distinct: bool) -> None:
+        rows = rows if isinstance(rows, pa.Table) else pa.Table.from_pylist(rows, ASKED)
+        self.ids, query = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+        coded = rows["term"].combine_chunks().dictionary_encode()
+        self.terms, term = coded.dictionary, coded.indices.to_numpy()
+        order = np.lexsort((query, term))
+        self.query, self.weight = query[order], rows["weight"].to_numpy()[order]
+        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.floor = np.array([floors.get(q, -np.inf) for q in self.ids.tolist()])
+        self.average = rows["average"][0].as_py() if len(rows) else 1.0
         self.distinct = distinct
-
-    def matrix(self, terms: np.ndarray, queries: slice) -> np.ndarray:
-        """Weights of some queries for some terms."""
-        out = np.zeros((queries.stop - queries.start, len(terms)))
-        for column, t in enumerate(terms.tolist()):
-            a, b = self.first[t], self.first[t + 1]
-            a, b = a + np.searchsorted(self.query[a:b], (queries.start, queries.stop))
-            out[self.query[a:b] - queries.start, column] = self.weight[a:b]
-        return out
+        times = np.diff(self.first)
+        shared = np.argsort(-times, kind="stable")[:SHARED]
+        shared = shared[times[shared] >= SHARED_BY]
+        self.column = np.full(len(times), -1)
+        self.column[shared] = np.arange(len(shared))
+        self.matrix = np.zeros((len(self.ids), len(shared)))
+        for at, t in enumerate(shared.tolist()):
+            own = slice(self.first[t], self.first[t + 1])
+            self.matrix[self.query[own], at] = self.weight[own]
+
+    def impacts(self, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.average))
+
+    def bounds(self, term: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """What each query can score at most with the largest impacts of terms."""
+        shared = self.column[term] >= 0
+        out = np.maximum(self.matrix[:, self.column[term[shared]]], 0) @ most[shared]
+        term, most = term[~shared], most[~shared]
+        n = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return out + np.bincount(self.query[at], np.maximum(self.weight[at], 0) * np.repeat(most, n), len(out))
+
+    def scores(self, term: np.ndarray, chunk: np.ndarray, impact: np.ndarray, width: int) -> np.ndarray:
+        """Sums of all queries (rows) for ``width`` chunks, from the impacts of terms in chunks."""
+        shared = self.column[term] >= 0
+        part = np.zeros((self.matrix.shape[1], width))
+        part[self.column[term[shared]], chunk[shared]] = impact[shared]
+        out = self.matrix @ part
+        term, chunk, impact = term[~shared], chunk[~shared], impact[~shared]
+        n = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return out + np.bincount(self.query[at] * width + np.repeat(chunk, n), self.weight[at] * np.repeat(impact, n), out.size).reshape(out.shape)
 
 
 def answers(table: pa.Table, asked: Asked, k: int) -> tuple[list[tuple[int, int, float]], int, int]:
-    """The k best chunks of a block for each query, and how many queries were scored of how many.
+    """The k best chunks of a block for each query, and how many queries may have one of how many.
 
     The largest impact of each term in the block, times the query's weights, bounds the query's score of every chunk. Only queries
-    whose bound reaches their floor are scored."""
-    terms = np.array([asked.terms[t] for t in table.column("term").to_pylist()])
+    whose bound reaches their floor are answered; a block without such a query is not scored."""
+    term = pc.index_in(table.column("term").combine_chunks(), value_set=asked.terms).to_numpy()
     lists = table.column("ids").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     chunks, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     tf = table.column("tfs").combine_chunks().flatten().to_numpy().astype(np.float64)
-    length = table.column("lengths").combine_chunks().flatten().to_numpy()
-    row = np.repeat(np.arange(len(terms)), sizes)
-    impacts = np.zeros((len(terms), len(chunks)))
-    np.add.at(impacts, (row, place), tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / asked.average)))
-    most, least = impacts.max(axis=1), impacts.min(axis=1)
-    out, scored, seen = [], 0, 0
-    for a in range(0, len(asked.ids), AT_ONCE):
-        queries = slice(a, min(a + AT_ONCE, len(asked.ids)))
-        weights = asked.matrix(terms, queries)
-        bound = np.where(weights > 0, weights * most, weights * least).sum(axis=1)
-        near = np.flatnonzero((bound > 0) & (bound + SLACK >= asked.floor[queries]))
-        seen, scored = seen + len(bound), scored + len(near)
-        scores = np.round(weights[near] @ impacts, 9)
-        for i, own in zip(near.tolist(), scores, strict=True):
-            q = asked.ids[queries.start + i]
-            some = np.flatnonzero((own > 0) & (own >= asked.floor[queries.start + i]) & (chunks != q if asked.distinct else True))
-            if len(some) > k:
-                some = some[np.lexsort((chunks[some], -own[some]))[:k]]
-            out += [(q, int(chunks[c]), float(own[c])) for c in some]
-    return out, scored, seen
+    impact = asked.impacts(tf, table.column("lengths").combine_chunks().flatten().to_numpy())
+    # a weight below zero adds nothing to a bound
+    most = np.maximum.reduceat(impact, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    bound = asked.bounds(term, most)
+    near = np.flatnonzero((bound > 0) & (bound + SLACK >= asked.floor))
+    found = Best(len(asked.ids), k, 0.0)
+    if len(near):
+        found.need = np.maximum(asked.floor, 0.0)
+        scores = np.round(asked.scores(np.repeat(term, sizes), place, impact, len(chunks)), 9)[near]
+        found.add(near, scores, chunks, (scores > 0) & ((chunks != asked.ids[near][:, None]) if asked.distinct else True))
+    found.cut()
+    q, c, s = found.parts[0]
+    return list(zip(asked.ids[q].tolist(), c.tolist(), s.tolist(), strict=True)), len(near), len(asked.ids)
 
 
 def _answered(asked: Asked, k: int):
@@ -151,32 +192,77 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _passes(idf: DataFrame, queries: DataFrame, text: str) -> Iterator[tuple[DataFrame, bool]]:
+    """The weights of the queries' terms (query_id, term, weight, average) in passes of PASS_QUERIES, and whether there are others."""
+    asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.explode(words(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = written(asked.join(idf, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("weight"), "average"), "asked")
+    passes = max(1, -(-asked.select("query_id").distinct().count() // PASS_QUERIES))
+    for i in range(passes):
+        yield asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i), passes > 1
+
+
+def _together(found: Iterator[tuple[DataFrame, bool]]) -> DataFrame:
+    out = None
+    for one, more in found:
+        one = written(one, "ranked") if more else one
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+FOUND = "query_id long, chunk_id long, score double"
+
+
 def search(postings: DataFrame, idf: DataFrame, queries: DataFrame, k: int, distinct: bool = False, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """query_id, chunk_id, score (9 digits) and rank of the k best chunks above zero of each query, ties to smaller ids; with ``distinct``
     never the query's own id. ``postings`` and ``idf`` are those of one tenant.
 
     Query terms count as often as they occur. Queries go to all tasks in passes of PASS_QUERIES; only the postings of their terms are
     shuffled, by block. A sample of blocks is searched first: its k-th best score of a query is one that the others must reach."""
-    asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.explode(words(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = written(asked.join(idf, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("weight"), "average"), "asked")
-    passes = max(1, -(-asked.select("query_id").distinct().count() // PASS_QUERIES))
-    out = None
-    for i in range(passes):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        rows = mine.collect()
+
+    def one(mine: DataFrame) -> DataFrame:
+        rows = mine.toArrow()
         wanted = postings.join(mine.select("term").distinct(), "term", "left_semi").select("block", "term", "ids", "tfs", "lengths")
         few = wanted.where(F.pmod(F.xxhash64("block"), F.lit(sample)) == 0)
-        result = "query_id long, chunk_id long, score double"
-        first = _best(few.groupBy("block").applyInArrow(_answered(Asked(rows, {}, distinct), k), result), k).where(F.col("rank") == k)
+        first = _best(few.groupBy("block").applyInArrow(_answered(Asked(rows, {}, distinct), k), FOUND), k).where(F.col("rank") == k)
         floors = {r["query_id"]: r["score"] for r in first.collect()}
-        found = _best(wanted.groupBy("block").applyInArrow(_answered(Asked(rows, floors, distinct), k), result), k)
-        found = written(found, "ranked") if passes > 1 else found
-        out = found if out is None else out.unionByName(found)
-    return out
+        return _best(wanted.groupBy("block").applyInArrow(_answered(Asked(rows, floors, distinct), k), FOUND), k)
+
+    return _together((one(mine), more) for mine, more in _passes(idf, queries, text))
+
+
+def _best_of_chunks(asked: Asked, k: int):
+    """The k best chunks of a partition for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(asked.ids), k, 0.0)
+        everyone = np.arange(len(asked.ids))
+        for b in (batch.slice(a, CHUNKS_AT_ONCE) for batch in batches for a in range(0, batch.num_rows, CHUNKS_AT_ONCE)):
+            flat, parent = split_words(b.column("text"))
+            length, chunk = np.bincount(parent, minlength=b.num_rows), b.column("chunk_id").to_numpy()
+            term = pc.index_in(flat, value_set=asked.terms)
+            parent, term = parent[term.is_valid().to_numpy(zero_copy_only=False)], term.drop_null().to_numpy().astype(np.int64)
+            key, tf = np.unique(term * b.num_rows + parent, return_counts=True)
+            term, place = np.divmod(key, b.num_rows)
+            scores = np.round(asked.scores(term, place, asked.impacts(tf, length[place]), b.num_rows), 9)
+            best.add(everyone, scores, chunk, (scores > 0) & ((chunk != asked.ids[:, None]) if asked.distinct else True))
+        best.cut()
+        q, c, s = best.parts[0]
+        yield pa.RecordBatch.from_arrays([pa.array(asked.ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "score"])
+
+    return run
 
 
 def bm25_top(chunks: DataFrame, queries: DataFrame, k: int, distinct: bool = False, id: str = "chunk_id", text: str = "text", query_text: str = "text") -> DataFrame:
-    """The k best chunks of each query, as ``search``, over chunks that are indexed for it. The corpus is split into words once."""
-    rows = written(block_postings(chunks, id, text), "postings")
-    counts = written(term_counts(rows), "term-counts")
-    return search(rows.where("term <> ''"), frequencies(counts, chunk_words(rows)), queries, k, distinct, query_text)
+    """The k best chunks of each query, as ``search``, over chunks that are asked once: their words are written once and no postings are kept.
+
+    Every partition gives one answer for each pass of queries, its k best chunks of each query."""
+    rows = chunks.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("chunk_id"), F.array_join(words(F.col(text)), " ").alias("text"))
+    # by id: files of few large row groups would leave most cores without work
+    rows = written(rows.repartition(4 * chunks.sparkSession.sparkContext.defaultParallelism, "chunk_id"), "words")
+    # the empty term has every chunk
+    split = F.split("text", " ")
+    counts = rows.select(F.lit("").alias("tenant_id"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), split))).alias("term"))
+    counts = written(counts.groupBy("tenant_id", "term").agg(F.count("*").alias("df")), "term-counts")
+    sizes = rows.groupBy(F.lit("").alias("tenant_id")).agg(F.sum(F.when(F.col("text") != "", F.size(split)).otherwise(0)).cast("long").alias("words"))
+    idf = frequencies(counts, sizes)
+    return _together((_best(rows.mapInArrow(_best_of_chunks(Asked(mine.toArrow(), {}, distinct), k), FOUND), k), more) for mine, more in _passes(idf, queries, query_text))
