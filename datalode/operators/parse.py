@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datalode.operators.retrieval import words
+from datalode.sources.shared import small
 
 _TAGS = {"h1": ("heading", 1), "h2": ("heading", 2), "h3": ("heading", 3), "p": ("paragraph", None), "li": ("list_item", None), "title": ("title", None), "td": ("cell", None), "th": ("cell", None)}
 
@@ -66,7 +67,7 @@ def html_elements(pages: DataFrame, id: str = "page_id", html: str = "html") ->
     kind = pages.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = []
             for i, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parser = _Blocks()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,6 +20,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that a function of texts takes at once: as Python values they need several times their size.
+SMALL = 500
+
+
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of SMALL rows; an empty batch stays one."""
+    return (b.slice(a, SMALL) for b in batches for a in range(0, max(b.num_rows, 1), SMALL))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table that is written once and read as often as needed."""
     path = scratch(df.sparkSession, name)
