@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datalode.sources.shared import written
+from datalode.sources.shared import small, written
 
 #: BM25 and fusion constants (fixed values).
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
@@ -112,7 +112,7 @@ def embedded(chunks: DataFrame, dimension: int, embed: Callable[[list[str], int]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = [t or "" for t in b.column(place).to_pylist()]
             vectors = [v for a in range(0, len(texts), EMBED_BATCH) for v in one(texts[a : a + EMBED_BATCH])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*b.schema.names, "embedding"])
