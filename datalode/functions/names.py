@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: A word of a name or a text: letters and digits. Between the words of a name there is white space only.
 WORD, SPACE = r"[\p{L}\p{N}]+", r"^[ \t\r\n]+$"
 _BREAK = "\u0001"
+#: Slots of the hashes that tell which runs of words may be names; what goes to all tasks is bounded by them.
+SLOTS = 1 << 24
 
 
 def text_words(text: Column) -> Column:
@@ -17,10 +19,16 @@ def text_words(text: Column) -> Column:
     return F.zip_with(words, F.slice(after, 2, F.size(words)), lambda w, s: F.when(s.rlike(SPACE), w).otherwise(F.concat(w, F.lit(_BREAK))))
 
 
+def may_be_names(runs: DataFrame, known: DataFrame) -> DataFrame:
+    """Runs whose ``gram`` has the slot of a known one: all names and few others, told before anything is shuffled."""
+    slot = F.pmod(F.xxhash64("gram"), F.lit(SLOTS)).alias("slot")
+    return runs.select("*", slot).join(F.broadcast(known.select(slot).distinct()), "slot", "left_semi").drop("slot")
+
+
 def name_spans(texts: DataFrame, names: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
     """t1, t2 (hashes of a text) and its ``spans``: the first word and the number of words of every name in it, for texts that have one.
 
-    Runs of as many words as some name has meet the names in a join, so the table of names may be of any size. Where names
+    Runs of as many words as some name has meet the names in a join, so the table of names may be of any size; runs that cannot be names are left out before it. Where names
     overlap the first one wins, of those that begin at one word the longest. Case counts. Copies of a text are looked at once."""
     known = names.select(F.array_join(F.regexp_extract_all(F.col(name), F.lit(f"({WORD})"), F.lit(1)), " ").alias("gram")).where("gram <> ''").distinct()
     sizes = sorted(r[0] for r in known.select(F.size(F.split("gram", " "))).distinct().collect())  # as many as names have lengths
@@ -33,7 +41,7 @@ def name_spans(texts: DataFrame, names: DataFrame, text: str = "text", name: str
         return F.when(F.size("w") >= n, made).otherwise(F.array().cast("array<struct<start:int,n:int,gram:string>>"))
 
     each = words.select("t1", "t2", F.explode(F.concat(*map(runs, sizes))).alias("r")) if sizes else words.select("t1", "t2", F.lit(None).cast("struct<start:int,n:int,gram:string>").alias("r")).limit(0)
-    found = each.select("t1", "t2", "r.start", "r.n", "r.gram").join(known, "gram").groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("less")))).alias("all"))
+    found = may_be_names(each.select("t1", "t2", "r.start", "r.n", "r.gram"), known).join(known, "gram").groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("less")))).alias("all"))
     none = F.array().cast("array<struct<start:int,n:int>>")
     first = F.struct(F.lit(0).alias("end"), none.alias("spans"))
     take = lambda acc, x: F.when(
