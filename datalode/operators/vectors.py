@@ -17,6 +17,8 @@ QUERY_BLOCK = 4096
 ROWS = 512
 #: Pivots of a batch of vectors.
 PIVOTS = 16
+#: Entries of a cell of the cache of steps.
+HELD_ENTRIES = 1 << 15
 #: Answers that are held before they are cut to the best of each query.
 HELD = 1 << 18
 #: Share of the coordinates, those of most weight, that a cosine join multiplies first.
@@ -157,46 +159,57 @@ def candidates(queries: np.ndarray, rows: np.ndarray, lead: np.ndarray, rest_of_
     return np.nonzero(part + rest_of_queries[:, None] * rest[None, :] + 1e-9 >= least)
 
 
-def _lookup(asked: list, lead: np.ndarray, width: int, least: float):
-    """The best live entry of a partition for each request, and how many entries were compared in full."""
-    ids = np.array([r["query_id"] for r in asked], np.int64)
-    times = np.array([r["at"] for r in asked], np.int64)
-    themes = np.array([r["theme"] or "" for r in asked], str)
-    queries = _matrix([r["e"] for r in asked], width)
-    sizes = np.linalg.norm(queries, axis=1)
-    unit = queries / np.maximum(sizes, 1e-300)[:, None]
-    rests = np.sqrt(np.maximum(1 - (unit[:, lead] ** 2).sum(axis=1), 0))
+def _lookup(lead: np.ndarray, width: int, least: float):
+    """The best live entry of a cell for each of its requests, and how many entries were compared in full."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ids, times = (asked.column(c).to_numpy() for c in ("query_id", "at"))
+        queries = _matrix(asked.column("e").to_pylist(), width)
+        sizes = np.linalg.norm(queries, axis=1)
+        unit = queries / np.maximum(sizes, 1e-300)[:, None]
+        rests = np.sqrt(np.maximum(1 - (unit[:, lead] ** 2).sum(axis=1), 0))
+        entry, start, end = (held.column(c).to_numpy() for c in ("entry_id", "start", "end"))
+        rows = _matrix(held.column("e").to_pylist(), width)
+        long = np.linalg.norm(rows, axis=1)
         best: dict[int, tuple[float, int]] = {}
         seen = np.zeros(len(ids), np.int64)
-        for b in batches:
-            entry, start, end = (b.column(i).to_numpy() for i in range(3))
-            theme = np.array(b.column(3).fill_null("").to_pylist(), str)
-            rows = _matrix(b.column(4).to_pylist(), width)
-            long = np.linalg.norm(rows, axis=1)
-            for a in range(0, len(entry), ROWS):
-                own = slice(a, a + ROWS)
-                fit = np.flatnonzero(long[own] > 0) + a
-                q, r = candidates(unit, rows[fit] / long[fit][:, None], lead, rests, least)
-                r = fit[r]
-                live = (sizes[q] > 0) & (start[r] <= times[q]) & (times[q] < end[r]) & (theme[r] == themes[q]) & (entry[r] != ids[q])
-                q, r = q[live], r[live]
-                seen += np.bincount(q, minlength=len(ids))
-                scores = np.round(np.einsum("ij,ij->i", queries[q], rows[r]) / (sizes[q] * long[r]), 9)
-                for i in np.flatnonzero(scores >= least).tolist():
-                    one = (-float(scores[i]), int(entry[r[i]]))
-                    if one < best.get(int(q[i]), (np.inf, 0)):
-                        best[int(q[i])] = one
+        for a in range(0, len(entry), ROWS):
+            own = slice(a, a + ROWS)
+            fit = np.flatnonzero(long[own] > 0) + a
+            q, r = candidates(unit, rows[fit] / long[fit][:, None], lead, rests, least)
+            r = fit[r]
+            live = (sizes[q] > 0) & (start[r] <= times[q]) & (times[q] < end[r]) & (entry[r] != ids[q])
+            q, r = q[live], r[live]
+            seen += np.bincount(q, minlength=len(ids))
+            scores = np.round(np.einsum("ij,ij->i", queries[q], rows[r]) / (sizes[q] * long[r]), 9)
+            for i in np.flatnonzero(scores >= least).tolist():
+                one = (-float(scores[i]), int(entry[r[i]]))
+                if one < best.get(int(q[i]), (np.inf, 0)):
+                    best[int(q[i])] = one
         some = np.flatnonzero(seen)
         found = [best.get(i) for i in some.tolist()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[some]), pa.array([x and x[1] for x in found], pa.int64()), pa.array([x and -x[0] for x in found], pa.float64()), pa.array(seen[some])], names=["query_id", "entry_id", "score", "compared"]
-        )
+        return pa.table({"query_id": pa.array(ids[some]), "entry_id": pa.array([x and x[1] for x in found], pa.int64()), "score": pa.array([x and -x[0] for x in found], pa.float64()), "compared": pa.array(seen[some])})
 
     return run
 
 
+def _in_cells(asked: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests and entries by cells (theme, span, part, side), so that a request meets each entry of its theme that may be live, once.
+
+    A span is as long as the longest life of an entry, which so lies in two at most. Spans of many rows are cut in parts of some QUERY_BLOCK requests and
+    HELD_ENTRIES entries; every part of one side meets each of the other."""
+    span = max(1, rows.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 1)
+    at = lambda c: F.floor(F.col(c) / F.lit(span).cast("double")).cast("long")
+    asked = asked.withColumn("span", at("at"))
+    rows = rows.where("start < end").withColumn("span", F.explode(F.sequence(at("start"), at("end"))))
+    many = lambda df, most, name: df.groupBy("theme", "span").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    parts = written(many(asked, QUERY_BLOCK, "parts").join(many(rows, HELD_ENTRIES, "sides"), ["theme", "span"]), "cells")  # spans without one of both have no answer
+    part, side = (F.pmod(F.xxhash64(c), F.col(n)).cast("int") for c, n in (("query_id", "parts"), ("entry_id", "sides")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(parts, ["theme", "span"]).select("theme", "span", part.alias("part"), every("sides").alias("side"), "query_id", "at", "e")
+    return asked, rows.join(parts, ["theme", "span"]).select("theme", "span", every("parts").alias("part"), side.alias("side"), "entry_id", "start", "end", "e")
+
+
 def _energies(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
@@ -212,13 +225,13 @@ def cached_steps(requests: DataFrame, entries: DataFrame, least: float = 0.92, w
     """query_id, entry_id, score (9 digits) and ``compared``: the live entry of the highest cosine, ``least`` or more, for each request that has one; the smaller id of equals.
 
     Requests have query_id, ts, theme and embedding; entries entry_id, created_at, expires_at, theme and embedding. An entry lives from its
-    creation on until it expires; it does not answer itself. With ``with_theme`` both themes must agree. All entries are looked at: a pair is
+    creation on until it expires; it does not answer itself. With ``with_theme`` both themes must agree. Only entries whose life is near a request in time meet it: a pair is
     compared in full only if the coordinates of most weight, and a bound on the others, allow ``least``; ``compared`` counts those pairs.
-    Vectors that are null, zero, with null components, or of another size than the largest are left out. Requests go to all tasks in blocks of a fixed size."""
+    Vectors that are null, zero, with null components, or of another size than the largest are left out. Requests and entries meet in cells of bounded size."""
     if least <= 0:
         raise ValueError("the least cosine must be above zero")
     double = F.transform("embedding", lambda x: x.cast("double"))
-    theme = F.col("theme").cast("string") if with_theme else F.lit("")
+    theme = F.coalesce(F.col("theme").cast("string"), F.lit("")) if with_theme else F.lit("")
     asked = requests.where("query_id is not null and embedding is not null and ts is not null").select(F.col("query_id").cast("long").alias("query_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), theme.alias("theme"), double.alias("e"))
     rows = entries.where("entry_id is not null and embedding is not null and created_at is not null and expires_at is not null").select(
         F.col("entry_id").cast("long").alias("entry_id"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("start"), F.unix_micros(F.col("expires_at").cast("timestamp")).alias("end"), theme.alias("theme"), double.alias("e")
@@ -226,13 +239,9 @@ def cached_steps(requests: DataFrame, entries: DataFrame, least: float = 0.92, w
     width = rows.agg(F.max(F.size("e"))).first()[0] or 0
     energies = rows.select("e").mapInArrow(_energies(width), "place int, energy double").groupBy("place").agg(F.sum("energy").alias("energy")).collect()
     lead = np.array([r["place"] for r in sorted(energies, key=lambda r: (-r["energy"], r["place"]))[: max(1, int(width * LEADING))]], np.int64)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        found = rows.mapInArrow(_lookup(mine, lead, width, least), "query_id long, entry_id long, score double, compared long")
-        found = written(found, "cached") if blocks > 1 else found
-        out = found if out is None else out.unionByName(found)
+    cell = ["theme", "span", "part", "side"]
+    mine, held = _in_cells(asked, rows)
+    out = mine.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(_lookup(lead, width, least), "query_id long, entry_id long, score double, compared long")
     best = F.min(F.when(F.col("entry_id").isNotNull(), F.struct((-F.col("score")).alias("less"), F.col("entry_id")))).alias("b")
     told = out.groupBy("query_id").agg(best, F.sum("compared").alias("compared")).where("b is not null")
     return told.select("query_id", "b.entry_id", (-F.col("b.less")).alias("score"), "compared")
