@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datalode.operators.retrieval import EPSILON, K1, B, words
@@ -19,6 +19,8 @@ from datalode.sources.shared import written
 BLOCK_CHUNKS = 128
 #: Chunks whose words are held at once.
 BATCH_CHUNKS = 2048
+#: Chunks whose different words are counted at once: the more, the fewer rows.
+COUNTED_CHUNKS = 8192
 #: Queries of one pass over the postings or the chunks.
 PASS_QUERIES = 4096
 #: Terms whose weights are a matrix, and the queries that must share one.
@@ -33,14 +35,28 @@ ASKED = pa.schema([("query_id", pa.int64()), ("term", pa.string()), ("weight", p
 POSTINGS = "tenant_id string, block long, term string, n int, ids array<long>, tfs array<int>, lengths array<int>"
 
 
+#: Bytes with the white space of ``words`` as a space.
+SPACED = np.arange(256, dtype=np.uint8)
+SPACED[0x09:0x0E] = 0x20
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words of texts that single spaces part, and the place of each word's text."""
+    """Words of lower-cased texts (without nulls), and the place of each word's text."""
+    offsets, data = texts.buffers()[1:]
+    if data is not None:  # such bytes are no part of other characters
+        spaced = pa.py_buffer(SPACED[np.frombuffer(data, np.uint8)])
+        texts = type(texts).from_buffers(texts.type, len(texts), [None, offsets, spaced], 0, texts.offset) if pa.types.is_large_string(texts.type) else pa.StringArray.from_buffers(len(texts), offsets, spaced, None, 0, texts.offset)
     lists = pc.split_pattern(texts, " ")
     flat, parent = lists.flatten(), pc.list_parent_indices(lists)
     filled = pc.not_equal(flat, "")
     return flat.filter(filled), parent.filter(filled).to_numpy().astype(np.int64)
 
 
+def lowered(text: str) -> Column:
+    """Texts as ``split_words`` takes them."""
+    return F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     for b in (batch.slice(a, BATCH_CHUNKS) for batch in batches for a in range(0, batch.num_rows, BATCH_CHUNKS)):
@@ -78,8 +94,8 @@ def block_postings(chunks: DataFrame, id: str = "chunk_id", text: str = "text",
 
     Terms are lower-cased runs without white space. Null texts are empty; chunks without an id are left out."""
     owner = F.col(tenant).cast("string") if tenant else F.lit("")
-    # words are told by Spark, so that their case and white space are those of queries
-    rows = chunks.where(F.col(id).isNotNull()).select(owner.alias("tenant_id"), F.col(id).cast("long").alias("chunk_id"), F.array_join(words(F.col(text)), " ").alias("text"))
+    # Spark lowers the case, so that it is that of queries
+    rows = chunks.where(F.col(id).isNotNull()).select(owner.alias("tenant_id"), F.col(id).cast("long").alias("chunk_id"), lowered(text).alias("text"))
     return rows.mapInArrow(_blocks, POSTINGS)
 
 
@@ -96,11 +112,12 @@ def chunk_words(postings: DataFrame) -> DataFrame:
 
 def frequencies(counts: DataFrame, sizes: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """tenant_id, term, idf and the tenant's average length: ln((n - df + .5) / (df + .5)); negative ones become epsilon times the mean over the tenant's terms."""
+    # one row a tenant is broadcast: all terms of a tenant would meet it in one task
     n = counts.where("term = ''").select("tenant_id", F.col("df").alias("n")).join(sizes, "tenant_id")
-    raw = counts.where("term <> '' and df > 0").join(n, "tenant_id")
+    raw = counts.where("term <> '' and df > 0").join(F.broadcast(n), "tenant_id")
     raw = raw.select("tenant_id", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"), (F.col("words") / F.col("n")).alias("average"))
     mean = raw.groupBy("tenant_id").agg(F.avg("raw").alias("mean"))
-    return raw.join(mean, "tenant_id").select("tenant_id", "term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "average")
+    return raw.join(F.broadcast(mean), "tenant_id").select("tenant_id", "term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "average")
 
 
 class Asked:
@@ -236,15 +253,20 @@ def _best_of_chunks(asked: Asked, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(asked.ids), k, 0.0)
         everyone = np.arange(len(asked.ids))
-        for b in (batch.slice(a, CHUNKS_AT_ONCE) for batch in batches for a in range(0, batch.num_rows, CHUNKS_AT_ONCE)):
+        # the terms of queries are hashed for each look-up, so many chunks are looked up at once
+        for b in (batch.slice(a, BATCH_CHUNKS) for batch in batches for a in range(0, batch.num_rows, BATCH_CHUNKS)):
             flat, parent = split_words(b.column("text"))
             length, chunk = np.bincount(parent, minlength=b.num_rows), b.column("chunk_id").to_numpy()
             term = pc.index_in(flat, value_set=asked.terms)
             parent, term = parent[term.is_valid().to_numpy(zero_copy_only=False)], term.drop_null().to_numpy().astype(np.int64)
-            key, tf = np.unique(term * b.num_rows + parent, return_counts=True)
-            term, place = np.divmod(key, b.num_rows)
-            scores = np.round(asked.scores(term, place, asked.impacts(tf, length[place]), b.num_rows), 9)
-            best.add(everyone, scores, chunk, (scores > 0) & ((chunk != asked.ids[:, None]) if asked.distinct else True))
+            key, tf = np.unique(parent * len(asked.terms) + term, return_counts=True)
+            place, term = np.divmod(key, max(len(asked.terms), 1))
+            impact = asked.impacts(tf, length[place])
+            for first in range(0, b.num_rows, CHUNKS_AT_ONCE):
+                own = slice(*np.searchsorted(place, [first, first + CHUNKS_AT_ONCE]))
+                some = chunk[first : first + CHUNKS_AT_ONCE]
+                scores = np.round(asked.scores(term[own], place[own] - first, impact[own], len(some)), 9)
+                best.add(everyone, scores, some, (scores > 0) & ((some != asked.ids[:, None]) if asked.distinct else True))
         best.cut()
         q, c, s = best.parts[0]
         yield pa.RecordBatch.from_arrays([pa.array(asked.ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "score"])
@@ -252,17 +274,28 @@ def _best_of_chunks(asked: Asked, k: int):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch its terms, with the chunks that hold them; the empty term has all chunks and their words."""
+    for b in (batch.slice(a, COUNTED_CHUNKS) for batch in batches for a in range(0, batch.num_rows, COUNTED_CHUNKS)):
+        flat, parent = split_words(b.column("text"))
+        coded = flat.dictionary_encode()
+        width = max(len(coded.dictionary), 1)
+        held = np.sort(parent * width + coded.indices.to_numpy())  # np.unique would hash, which takes far longer
+        held = held[np.append(held[1:] != held[:-1], True)[: len(held)]] % width
+        terms = pa.concat_arrays([pa.array([""], coded.dictionary.type), coded.dictionary])
+        df = np.append(b.num_rows, np.bincount(held, minlength=len(coded.dictionary)))
+        total = np.append(len(flat), np.zeros(len(coded.dictionary), np.int64))
+        yield pa.RecordBatch.from_arrays([terms, pa.array(df, pa.int64()), pa.array(total, pa.int64())], names=["term", "df", "words"])
+
+
 def bm25_top(chunks: DataFrame, queries: DataFrame, k: int, distinct: bool = False, id: str = "chunk_id", text: str = "text", query_text: str = "text") -> DataFrame:
-    """The k best chunks of each query, as ``search``, over chunks that are asked once: their words are written once and no postings are kept.
+    """The k best chunks of each query, as ``search``, over chunks that are asked once: their texts are written once and no postings are kept.
 
     Every partition gives one answer for each pass of queries, its k best chunks of each query."""
-    rows = chunks.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("chunk_id"), F.array_join(words(F.col(text)), " ").alias("text"))
+    rows = chunks.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("chunk_id"), lowered(text).alias("text"))
     # by id: files of few large row groups would leave most cores without work
     rows = written(rows.repartition(4 * chunks.sparkSession.sparkContext.defaultParallelism, "chunk_id"), "words")
-    # the empty term has every chunk
-    split = F.split("text", " ")
-    counts = rows.select(F.lit("").alias("tenant_id"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), split))).alias("term"))
-    counts = written(counts.groupBy("tenant_id", "term").agg(F.count("*").alias("df")), "term-counts")
-    sizes = rows.groupBy(F.lit("").alias("tenant_id")).agg(F.sum(F.when(F.col("text") != "", F.size(split)).otherwise(0)).cast("long").alias("words"))
-    idf = frequencies(counts, sizes)
+    counts = rows.select("text").mapInArrow(_counted, "term string, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+    counts = written(counts.withColumn("tenant_id", F.lit("")), "term-counts")
+    idf = frequencies(counts.drop("words"), counts.where("term = ''").select("tenant_id", "words"))
     return _together((_best(rows.mapInArrow(_best_of_chunks(Asked(mine.toArrow(), {}, distinct), k), FOUND), k), more) for mine, more in _passes(idf, queries, query_text))

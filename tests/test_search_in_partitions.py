@@ -30,3 +30,14 @@ def test_a_partition_gives_its_best_chunks_once(monkeypatch):
         want += [(q, i, -s) for s, i in sorted(scores)[:4]]
     assert [(r["query_id"], r["chunk_id"]) for r in got] == [(q, i) for q, i, _ in want]
     assert np.allclose([r["score"] for r in got], [s for *_, s in want])
+
+
+def test_words_are_split_and_counted_without_a_row_for_each():
+    texts = pa.array(["a\tb \n a\x0bé\r", "", "b\x0cb", "ü b"])
+    for some, first in ((texts, 0), (texts.slice(2), 2)):
+        flat, parent = bm25.split_words(some)
+        assert [(p, w) for p, w in zip(parent.tolist(), flat.to_pylist(), strict=True)] == [(i - first, w) for i, t in enumerate(texts.to_pylist()) if i >= first for w in t.split()]
+    got = pa.Table.from_batches(bm25._counted(iter([pa.record_batch({"text": texts})]))).to_pylist()
+    assert {r["term"]: (r["df"], r["words"]) for r in got} == {"": (4, 8), "a": (1, 0), "b": (3, 0), "é": (1, 0), "ü": (1, 0)}
+    empty = pa.Table.from_batches(bm25._counted(iter([pa.record_batch({"text": pa.array(["", " "])})]))).to_pylist()
+    assert empty == [{"term": "", "df": 2, "words": 0}]
