@@ -10,7 +10,7 @@ from datalode.operators.bm25 import bm25_top
 from datalode.operators.vectors import cached_steps, nearest
 from datalode.plans.registry import query, table
 from datalode.sources.postings import PostingIndex
-from datalode.sources.shared import scratch
+from datalode.sources.shared import scratch, written
 
 TOKENS = r"list_filter(string_split_regex(lower(coalesce({}, '')), '\s+'), lambda w: w <> '')"
 
@@ -180,8 +180,10 @@ _FINAL = f"""{_HYBRID}, ft AS (SELECT f.*, d.text, d.source AS source_filename,
 
 def _final(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = _hybrid(spark, sf_dir).join(docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", F.col("source").alias("source_filename")), "chunk_id")
-    found = found.join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
+    found = written(_hybrid(spark, sf_dir), "found")  # its size is known, so texts that nothing found are not shuffled
+    asked = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")).join(found.select("query_id").distinct(), "query_id", "left_semi")
+    found = found.join(docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", F.col("source").alias("source_filename")), "chunk_id")
+    found = found.join(asked, "query_id")
     return R.reranked(found, k).withColumns({"page_number": F.lit(0), "chunk_type": F.lit("narrative_text")})
 
 
