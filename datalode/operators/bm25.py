@@ -15,11 +15,11 @@ from datalode.operators.retrieval import EPSILON, K1, B, words
 from datalode.operators.vectors import Best
 from datalode.sources.shared import written
 
-#: Chunks of a block; those that come together in a batch are cut by length, so that a block's lengths are alike.
-BLOCK_CHUNKS = 128
+#: Chunks of a block; those that come together in a batch are cut by length, so that a block's lengths are alike. The larger, the fewer rows.
+BLOCK_CHUNKS = 512
 #: Chunks whose words are held at once.
 BATCH_CHUNKS = 2048
-#: Chunks whose different words are counted at once: the more, the fewer rows.
+#: Chunks whose words are counted, or cut into blocks, at once: the more, the fewer rows.
 COUNTED_CHUNKS = 8192
 #: Queries of one pass over the postings or the chunks.
 PASS_QUERIES = 4096
@@ -59,7 +59,7 @@ def lowered(text: str) -> Column:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-    for b in (batch.slice(a, BATCH_CHUNKS) for batch in batches for a in range(0, batch.num_rows, BATCH_CHUNKS)):
+    for b in (batch.slice(a, COUNTED_CHUNKS) for batch in batches for a in range(0, batch.num_rows, COUNTED_CHUNKS)):
         tenants, owner = np.unique(np.array(b.column("tenant_id").fill_null("").to_pylist(), object), return_inverse=True)
         flat, parent = split_words(b.column("text"))
         coded = flat.dictionary_encode()

@@ -15,14 +15,15 @@ MERGED = 4
 COUNTS = "tenant_id string, term string, df long"
 SIZES = "tenant_id string, words long"
 GONE = "segment string, tenant_id string, chunk_id long"
+GONE_OF_BLOCKS = "segment string, block long, gone array<long>"
 
 
 class PostingIndex:
     """Segments under a folder, named by manifests: what is appended, erased or merged is there when its manifest is.
 
     A segment has its postings, sorted by term, and its counts: documents of each term, chunks and words of each tenant. An erasure
-    writes the chunks that go (``gone``) and their counts as a difference, from the segments that hold them; others
-    are not read. Statistics are the sum of all counts less the differences. Which segment holds a chunk is kept in a
+    writes the chunks that go (``gone``, and by block ``blocks``) and their counts as a difference, from the segments that hold them; others
+    are not read, and no posting is taken apart. Statistics are the sum of all counts less the differences. Which segment holds a chunk is kept in a
     keyed table of its own. A folder has one writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
@@ -87,16 +88,17 @@ class PostingIndex:
         # places go last: a writer that is lost in between leaves chunks that do not come again, never ones that are there twice
         self.places.change(gone, lambda old: old.join(gone.select("tenant_id", "chunk_id"), ["tenant_id", "chunk_id"], "left_anti"))
 
-    def _live(self, names: list[str], erasures: list[str]) -> DataFrame:
-        """Postings of some segments without what is gone."""
-        rows = self._read("postings", names, bm25.POSTINGS)
+    def _live(self, name: str, erasures: list[str]) -> DataFrame:
+        """Postings of a segment without what is gone. Those of blocks that lost nothing stay as they are."""
+        rows = self._read("postings", [name], bm25.POSTINGS)
         if not erasures:
             return rows
-        gone = self._read("gone", erasures, GONE)
-        each = rows.select("tenant_id", "block", "term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("e"))
-        each = each.withColumn("chunk_id", F.col("e.ids")).join(gone.where(F.col("segment").isin(names)).select("tenant_id", "chunk_id"), ["tenant_id", "chunk_id"], "left_anti")
-        back = each.groupBy("tenant_id", "block", "term").agg(F.collect_list("e").alias("e"))
-        return back.select("tenant_id", "block", "term", F.size("e").alias("n"), F.col("e.ids").alias("ids"), F.col("e.tfs").alias("tfs"), F.col("e.lengths").alias("lengths"))
+        gone = self._read("blocks", erasures, GONE_OF_BLOCKS).where(F.col("segment") == name)
+        gone = gone.groupBy("block").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+        each = F.arrays_zip("ids", "tfs", "lengths")
+        left = F.when(F.arrays_overlap("ids", "gone"), F.filter(each, lambda e: ~F.array_contains("gone", e["ids"]))).otherwise(each)
+        rows = rows.join(gone, "block", "left").select("tenant_id", "block", "term", left.alias("e"))
+        return rows.where(F.size("e") > 0).select("tenant_id", "block", "term", F.size("e").alias("n"), *(F.col(f"e.{c}").alias(c) for c in ("ids", "tfs", "lengths")))
 
     def _merge_full_tiers(self) -> None:
         """Where MERGED segments have chunks of one order of size, they become one without what is gone; the rest is not read."""
@@ -113,7 +115,7 @@ class PostingIndex:
     def _merge(self, names: list[str], number: int, now: dict) -> None:
         touching = [e for e, touched in now["erasures"].items() if set(touched) & set(names)]
         # block numbers of unlike segments may be equal
-        rows = [self._live([n], touching).withColumn("block", F.xxhash64(F.lit(n), "block")) for n in names]
+        rows = [self._live(n, touching).withColumn("block", F.xxhash64(F.lit(n), "block")) for n in names]
         merged = rows[0]
         for r in rows[1:]:
             merged = merged.unionByName(r)
@@ -140,11 +142,17 @@ class PostingIndex:
         gone = self._read("gone", [erasure], GONE)
         for i, segment in enumerate(segments):
             own = gone.where(F.col("segment") == segment).select("tenant_id", "chunk_id")
-            hit = self._read("postings", [segment], bm25.POSTINGS).select("tenant_id", "term", F.explode(F.arrays_zip("ids", "lengths")).alias("e"))
-            hit = hit.select("tenant_id", "term", F.col("e.ids").alias("chunk_id"), F.col("e.lengths").alias("length")).join(own, ["tenant_id", "chunk_id"], "left_semi")
             mode = "append" if i else "errorifexists"
-            hit.groupBy("tenant_id", "term").agg(F.count("*").alias("df")).write.mode(mode).parquet(f"{self.root}/{erasure}/counts")
-            hit.where("term = ''").groupBy("tenant_id").agg(F.sum("length").cast("long").alias("words")).write.mode(mode).parquet(f"{self.root}/{erasure}/sizes")
+            postings = self._read("postings", [segment], bm25.POSTINGS)
+            # the empty term has every chunk of a block
+            all_chunks = postings.where("term = ''").select("tenant_id", "block", F.explode(F.arrays_zip("ids", "lengths")).alias("e"))
+            hit = all_chunks.select("tenant_id", "block", F.col("e.ids").alias("chunk_id"), F.col("e.lengths").alias("length")).join(own, ["tenant_id", "chunk_id"], "left_semi")
+            hit.groupBy("tenant_id").agg(F.sum("length").cast("long").alias("words")).write.mode(mode).parquet(f"{self.root}/{erasure}/sizes")
+            blocks = hit.groupBy("block").agg(F.collect_list("chunk_id").alias("gone")).select(F.lit(segment).alias("segment"), "block", "gone")
+            blocks.write.mode(mode).parquet(f"{self.root}/{erasure}/blocks")
+            lost = self._read("blocks", [erasure], GONE_OF_BLOCKS).where(F.col("segment") == segment)
+            less = postings.join(lost, "block").select("tenant_id", "term", F.size(F.array_intersect("ids", "gone")).alias("n")).where("n > 0")
+            less.groupBy("tenant_id", "term").agg(F.sum("n").cast("long").alias("df")).write.mode(mode).parquet(f"{self.root}/{erasure}/counts")
 
     # -- reading ---------------------------------------------------------------------------------
 
@@ -166,7 +174,7 @@ class PostingIndex:
         out = self._read("postings", [], bm25.POSTINGS)
         for name in now["segments"]:
             erasures = [e for e, touched in now["erasures"].items() if name in touched]
-            out = out.unionByName(self._live([name], erasures).withColumn("block", F.xxhash64(F.lit(name), "block")))
+            out = out.unionByName(self._live(name, erasures).withColumn("block", F.xxhash64(F.lit(name), "block")))
         return out
 
     def search(self, queries: DataFrame, k: int, tenant: str = "") -> DataFrame:

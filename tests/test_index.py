@@ -115,3 +115,17 @@ def test_the_index_is_what_a_rebuild_gives(spark, tmp_path, monkeypatch):
     newest = next(s for s in now["segments"] if s not in before["segments"])
     index.erase(spark.createDataFrame([gone[0]], "tenant_id string, chunk_id long"))
     assert list(index.state()[1]["erasures"].values())[-1] == [newest]  # no other segment was read
+
+
+def test_an_erasure_takes_no_posting_apart(spark, tmp_path):
+    index = PostingIndex(spark, str(tmp_path / "index"), buckets=2)
+    texts = {i: f"all w{i % 4}\ta{i}" + " twice" * (i % 3) for i in range(30)}
+    index.append(spark.createDataFrame([(f"t{i % 2}", i, t) for i, t in texts.items()], "tenant_id string, chunk_id long, text string"))
+    index.erase(spark.createDataFrame([("t0", 4), ("t1", 9), ("t1", 99)], "tenant_id string, chunk_id long"))
+    index.erase(spark.createDataFrame([("t0", 8), ("t0", 4)], "tenant_id string, chunk_id long"))
+    assert "Generate" not in index.postings()._jdf.queryExecution().optimizedPlan().toString()
+    want = Counter((f"t{i % 2}", w, i, n, len(t.split())) for i, t in texts.items() if i not in (4, 8, 9) for w, n in [*Counter(t.split()).items(), ("", 0)])
+    got = [(r["tenant_id"], r["term"], *e) for r in index.postings().collect() for e in zip(r["ids"], r["tfs"], r["lengths"], strict=True)]
+    assert Counter(got) == want
+    assert {(r["tenant_id"], r["term"]): r["df"] for r in index.counts().collect()} == Counter((t, w) for t, w, *_ in want)
+    assert {r["tenant_id"]: r["words"] for r in index.sizes().collect()} == {t: sum(n for o, w, _, _, n in want if o == t and not w) for t in ("t0", "t1")}
