@@ -83,11 +83,11 @@ class Exchange:
     split: int = field(default_factory=lambda: SPLIT_BITS)
 
     @staticmethod
-    def levels_of(blocks: int) -> int:
+    def levels_of(blocks: int, split: int | None = None) -> int:
         """Levels after which a range has no more sources than one task merges."""
-        out = 1
-        while blocks > 1 << SPLIT_BITS:
-            blocks = -(-blocks // (1 << SPLIT_BITS))
+        out, most = 1, 1 << (split or SPLIT_BITS)
+        while blocks > most:
+            blocks = -(-blocks // most)
             out += 1
         return out
 

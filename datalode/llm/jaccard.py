@@ -5,14 +5,16 @@ tokens come first in the common order. A text may lack ``missing`` of its tokens
 its prefix is cut where it is worth ``missing + 1``: a seldom token is worth one, of the often ones each
 after the first in its class of neighbouring hashes. Seldom tokens of the prefix are indexed alone, often
 ones as pairs within their class, so a passage that many texts share makes no candidates by itself. Two
-similar texts share an indexed entry. Candidates are verified on their whole sets.
+similar texts share an indexed entry. Candidates are verified on their whole sets. Only tokens of some hashes
+are counted (a few times as many as a prefix holds); the others come last in the order, as often ones do.
 
 Texts with equal sets are one node. Each node is first compared with one hub (of an entry's nodes the
 one with the smallest share of tokens that no other text has); after that only entries with nodes of different
 components are left, so large groups of copies cost one comparison per copy. Links between nodes of one component
 could not change the result.
 
-What is left are small groups, whose members are compared with each other, and families of texts that are all near a hub but not near enough. Their tokens tell nothing, as all
+What is left of an entry's nodes is dealt out by size, since similar sets have similar sizes: small groups, whose members are compared with each other, and
+families of texts that are all near a hub of their size but not near enough. Their tokens tell nothing, as all
 have most of them; what tells them apart is where they differ from the hub. Each is compared with its hub once
 and stands for the set of its differences: A and B differ in exactly those that only one of them has. Of two
 similar ones that no component holds yet at least one is not similar to the hub, so they have differences in
@@ -23,11 +25,12 @@ joined with all differences of the other. A pair's number of common differences
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +42,10 @@ from datalode.llm.components import components
 OFTEN = 16
 #: Bits of a token's hash that its count is kept by.
 BITS = 44
+#: Bits of a token that one level of lists splits by.
+SPLIT = 7
+#: Tokens that are counted, as a multiple of those that a similar text may lack.
+COUNTED = 4
 #: Frequent tokens in a class, about.
 CLASS_TOKENS = 4
 #: Members of a hub that one group compares with it.
@@ -64,12 +71,18 @@ def _table_shingles(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def _send(words: int, exchange: Exchange):
+def counted(hashes: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Which tokens are counted in the corpus. The lowest bits choose, which ``BITS`` leaves out."""
+    num, den = share
+    return (hashes & np.uint64(255)) < np.uint64(min(256, -(-256 * COUNTED * (den - num) // den)))
+
+
+def _send(words: int, share: tuple[int, int], exchange: Exchange):
     """What each block says of its tokens to each range."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         h, _ = _table_shingles(table, words)
-        return exchange.rows(key[0].as_py(), {"tokens": np.unique(h >> np.uint64(64 - BITS), return_counts=True)})
+        return exchange.rows(key[0].as_py(), {"tokens": np.unique(h[counted(h, share)] >> np.uint64(64 - BITS), return_counts=True)})
 
     return run
 
@@ -119,8 +132,10 @@ def _index(words: int, share: tuple[int, int]):
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         h, r = _table_shingles(docs, words)
-        _, place = np.unique(h >> np.uint64(64 - BITS), return_inverse=True)
-        kind = values_of(told.sort_by("part"), "tokens").astype(np.uint8)[place]
+        known = counted(h, share)
+        _, place = np.unique(h[known] >> np.uint64(64 - BITS), return_inverse=True)
+        kind = np.full(len(h), 2, np.uint8)
+        kind[known] = values_of(told.sort_by("part"), "tokens").astype(np.uint8)[place]
         at = np.searchsorted(r, np.arange(docs.num_rows + 1))
         sizes, alone, nodes, index = [], [], [], []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -182,26 +197,35 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, i
     pairs = written(pairs, "pairs")  # all joins with texts are merge joins, so that plans are alike at every size
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
     members = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), "fans").cast("int").alias("salt"), F.col("b").alias("node"))
-    hubs = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.lit(None).cast("binary").alias("node"))
-    rows = members.join(texts.hint("merge"), "node").select("a", "salt", "node", "text")
-    rows = rows.unionByName(hubs.join(texts.withColumnRenamed("node", "a").hint("merge"), "a").select("a", "salt", "node", "text"))
+    hubs = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.col("a").alias("node"))
+    asked = members.withColumn("hub", F.lit(False)).unionByName(hubs.withColumn("hub", F.lit(True)))  # one join, so that texts are shuffled once
+    rows = asked.join(texts.hint("merge"), "node").select("a", "salt", F.when(~F.col("hub"), F.col("node")).alias("node"), "text")
     rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("node").asc_nulls_first())
     columns = "a binary, b binary" + ", same boolean, hub_n long, n long, differences array<long>" * differ
     return rows.mapInArrow(_compare(words, share, differ), columns)
 
 
-#: Members of a hub up to which each is compared with each.
+#: Members of a group up to which each is compared with each.
 FEW = 8
 
 
+def by_size(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Members (hub ``a``, ``n``) with each ``class`` of sizes that they belong to; similar ones have one in common.
+
+    A class spans a little more than the ratio of the sizes of similar sets; each set is in its own and in the next."""
+    num, den = share
+    own = F.floor(F.log("n") / (1.0001 * max(math.log(den / num), 1e-6)))
+    return members.withColumn("class", F.explode(F.array(own, own + 1)))
+
+
 def few_pairs(members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of members of the same small group (hub ``a``, member ``b``, ``label``, ``n``, ``alone``) that may be similar."""
+    """Pairs (a, b) of members of the same small group (hub ``a``, ``class``, member ``b``, ``label``, ``n``, ``alone``) that may be similar."""
     num, den = share
-    other = members.select("a", *(F.col(c).alias(f"{c}2") for c in ("b", "label", "n", "alone")))
+    other = members.select("a", "class", *(F.col(c).alias(f"{c}2") for c in ("b", "label", "n", "alone")))
     # tokens that no other text has are not in common
     most = F.least(F.col("n") - F.col("alone"), F.col("n2") - F.col("alone2"))
     maybe = (F.col("b") < F.col("b2")) & (F.col("label") != F.col("label2")) & ((den + num) * most >= num * (F.col("n") + F.col("n2")))
-    return members.join(other, "a").where(maybe).select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
+    return members.join(other, ["a", "class"]).where(maybe).select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
 
 
 #: Words of 64 bits that hold the parity of a set of differences.
@@ -246,6 +270,11 @@ def close_members(compared: DataFrame, labels: DataFrame, share: tuple[int, int]
     return pairs.select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
 
 
+def first_of(node: str) -> Column:
+    """The hub of a group: the smallest share of tokens that only it has, so that copies with edits link to their original."""
+    return F.min_by(node, F.struct(F.col("alone") / F.col("n"), F.col(node)))
+
+
 def similar_groups(
     docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, share: tuple[int, int] = (80, 100), often: int = OFTEN
 ) -> DataFrame:
@@ -262,17 +291,15 @@ def similar_groups(
     docs = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     count = blocks_of(docs, "text")
     docs = docs.withColumn("block", block(count, "id", "text"))
-    exchange = Exchange(("tokens",), (BITS,), Exchange.levels_of(count), counts=True)
-    sent = docs.groupBy("block").applyInArrow(_send(words, exchange), exchange.schema)
+    exchange = Exchange(("tokens",), (BITS,), Exchange.levels_of(count, SPLIT), counts=True, split=SPLIT)
+    sent = docs.groupBy("block").applyInArrow(_send(words, share, exchange), exchange.schema)
     told = exchange.told(sent, lambda rows: rows.groupBy("part").applyInArrow(_answer(exchange, often), exchange.answers)).withColumnRenamed("source", "block")
     columns = T.StructType([docs.schema["id"], *T.StructType.fromDDL("text string, n long, alone long, node binary, entries array<long>")])
     sets = written(docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_index(words, share), columns), "sets")
 
     nodes = sets.where("entries is not null").groupBy("node").agg(F.min(F.struct("id", "n", "alone", "entries")).alias("s"))
     index = nodes.select("node", "s.n", "s.alone", F.explode(F.array_distinct("s.entries")).alias("entry"))
-    # the hub has the smallest share of tokens that only it has: copies with edits link to their original
-    first = F.min_by("node", F.struct(F.col("alone") / F.col("n"), F.col("node")))
-    shared = index.groupBy("entry").agg(F.count("*").alias("c"), first.alias("hub")).where("c > 1")
+    shared = index.groupBy("entry").agg(F.count("*").alias("c"), first_of("node").alias("hub")).where("c > 1")
     index = written(index.join(shared.select("entry", "hub").hint("merge"), "entry"), "index")
     # one text per node that shares an entry
     asked = index.select("node").distinct()
@@ -291,10 +318,12 @@ def similar_groups(
     seen = _labelled(index, labels)
     mixed = seen.groupBy("entry").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("entry")
     left = seen.join(mixed, "entry", "left_semi").select(F.col("hub").alias("a"), F.col("node").alias("b"), "label", "n", "alone")
-    left = written(left.distinct(), "members")  # a hub is a member of its own group
-    sizes = written(left.groupBy("a").agg(F.count("*").alias("c")), "groups")
-    few = left.join(sizes.where(F.col("c") <= FEW).select("a"), "a", "left_semi")
-    many = left.join(sizes.where(F.col("c") > FEW).select("a"), "a", "left_semi").where("a != b").select("a", "b")
+    left = written(by_size(left.distinct(), share), "members")  # a hub is a member of its own group
+    groups = left.groupBy("a", "class").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y"), first_of("b").alias("hub"))
+    groups = written(groups.where("x != y").select("a", "class", "c", "hub"), "groups")
+    few = left.join(groups.where(F.col("c") <= FEW).select("a", "class"), ["a", "class"], "left_semi")
+    many = left.join(groups.where(F.col("c") > FEW).select("a", "class", "hub"), ["a", "class"])
+    many = many.where("hub != b").select(F.col("hub").alias("a"), "b").distinct()
     compared = written(verified(many, texts, words, share, differ=True), "differences")
     found = written(verified(few_pairs(few, share), texts, words, share), "links")
     links = links.unionByName(found).unionByName(compared.where("same").select("a", "b"))
