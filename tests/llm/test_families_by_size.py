@@ -38,3 +38,17 @@ def test_similar_sizes_have_a_class_in_common(spark, share):
     rows = jaccard.by_size(spark.createDataFrame([(n,) for n in sizes], "n long"), share).collect()
     of = {n: {r["class"] for r in rows if r["n"] == n} for n in sizes}
     assert all(of[a] & of[b] for a in sizes for b in sizes if a <= b and num * b <= den * a)
+
+
+def test_lists_of_several_levels(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(rng.sample(words, 60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(str, similar_groups(docs, words=3, share=(80, 100)).collect()))
+    monkeypatch.setattr(jaccard, "SPLIT", 2)
+    monkeypatch.setattr("datalode.llm.blocks.BLOCK_BYTES", 600)
+    assert jaccard.Exchange.levels_of(jaccard.blocks_of(docs, "text"), jaccard.SPLIT) == 3
+    assert sorted(map(str, similar_groups(docs, words=3, share=(80, 100)).collect())) == want
