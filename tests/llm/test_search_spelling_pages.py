@@ -217,3 +217,40 @@ def test_repeats_equal_brute_force(spark):
         i, u, h = next(x for x in rows if x[0] == r["page_id"])
         places = [a for a in range(len(tokens[i]) - REPEATED + 1) if len(holders[u, tuple(tokens[i][a : a + REPEATED])]) > 1]
         assert (r["text"], r["n_repeated"]) == main_text(blocks_of(h), places)
+
+
+def test_notices_in_articles_go_and_copies_stay(spark):
+    told = lambda i, n=4: [f"Story {i} part {k} tells {' '.join(f'w{i}x{k}x{j}' for j in range(12))}" for k in range(n)]
+    notice = "Read all stories of our house in the app"
+    made = {}
+
+    def page(host, i, parts, tag="article"):
+        made[len(made)] = (f"http://{host}/{i}", f"<nav>Home</nav><{tag}>{''.join(f'<div>{p}</div>' for p in parts)}</{tag}><footer>End</footer>", parts)
+
+    for i in range(7):  # a notice that no markup tells; a heading that is as common is too short for one
+        page("a.org", i, ["In short", *told(i)[:2], notice, *told(i)[2:]], ("article", "main")[i % 2])
+    for i in range(7):  # copies of one article, one of them shortened
+        page("b.org", i, told(100)[: 4 - (i == 6)])
+    for i in range(12):  # half of the host's articles hold a passage: no notice
+        page("c.org", i, [*told(200 + i), *([notice] if i < 6 else [])])
+    for i in range(4):  # too few pages
+        page("d.org", i, [*told(300 + i), notice])
+    for i in range(5):  # copies that hold the notice of the house, and no more
+        page("a.org", 10 + i % 2, [notice])
+    page("", 0, [notice])
+    gone = {i for i, (u, _, _) in made.items() if u.startswith("http://a.org")}
+    rows = [(i, u, h) for i, (u, h, _) in made.items()]
+    pages = spark.createDataFrame(rows + rows[7:9], "page_id long, url string, html string").repartition(5)
+    for r in extract_text(pages).collect():
+        parts = made[r["page_id"]][2]
+        want = [p for p in parts if p != notice] or parts if r["page_id"] in gone else parts
+        assert r["text"] == " ".join(want), r["page_id"]
+    again = spark.createDataFrame([*rows[:2], *rows[:2] * 9], "page_id long, url string, html string")  # rows that repeat are no further pages
+    assert {(r["page_id"], r["text"]) for r in extract_text(again).collect()} == {(i, " ".join(made[i][2])) for i in (0, 1)}
+
+
+def test_pages_of_marked_regions_alone_have_no_text(spark):
+    for html in ("<nav>Home</nav><footer>Us</footer>", "<nav>Home</nav><article></article><div class=ad>Buy</div>", "<article><form>Name</form></article>"):
+        assert text_of(html) == ""
+    pages = spark.createDataFrame([(1, "http://a.org/", "<nav>Home</nav>"), (2, None, "<header>x</header><p>y")], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in extract_text(pages).collect()) == [(1, "", 0), (2, "y", 1)]
