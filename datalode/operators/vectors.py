@@ -17,12 +17,16 @@ QUERY_BLOCK = 4096
 ROWS = 512
 #: Pivots of a batch of vectors.
 PIVOTS = 16
-#: Entries of a cell of the cache of steps.
+#: Entries of a cell of the cache of steps, and requests.
 HELD_ENTRIES = 1 << 15
 #: Answers that are held before they are cut to the best of each query.
 HELD = 1 << 18
-#: Share of the coordinates, those of most weight, that a cosine join multiplies first.
-LEADING = 0.5
+#: Share of the coordinates, those of most weight, that a cosine join multiplies first, if that can tell: from a least cosine of so much on.
+LEADING, TELLING = 0.5, 0.75
+#: More than a coordinate adds to the error of a product of unit vectors in single precision.
+SLACK = 1e-7
+#: Pairs whose cosines are worked out at once.
+PAIRS = 1 << 16
 
 
 def _matrix(lists: list, width: int) -> np.ndarray:
@@ -152,43 +156,77 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, same: bool = False,
 # -- the cache of steps ----------------------------------------------------------------------------
 
 
-def candidates(queries: np.ndarray, rows: np.ndarray, lead: np.ndarray, rest_of_queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of unit vectors whose cosine may be ``least``: the product over the leading coordinates, and at most the product of the rests' lengths (Cauchy-Schwarz)."""
-    part = queries[:, lead] @ rows[:, lead].T
-    rest = np.sqrt(np.maximum(1 - (rows[:, lead] ** 2).sum(axis=1), 0))
-    return np.nonzero(part + rest_of_queries[:, None] * rest[None, :] + 1e-9 >= least)
+def candidates(queries: np.ndarray, rows: np.ndarray, lead: np.ndarray, rest_of_queries: np.ndarray, least: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors whose cosine may be ``least`` (of all, or of each query): the product over the leading coordinates, and at most the product of the rests' lengths (Cauchy-Schwarz)."""
+    if len(lead) == queries.shape[1]:
+        most = queries @ rows.T
+    else:
+        most = queries[:, lead] @ rows[:, lead].T
+        most += rest_of_queries[:, None] * _rests(rows, lead)[None, :]
+    return np.nonzero(most >= (np.reshape(least, (-1, 1)) - SLACK * (queries.shape[1] + 8)).astype(most.dtype))
+
+
+def _rests(units: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Lengths of unit vectors without the leading coordinates, at least."""
+    return np.sqrt(np.maximum(1 - (units[:, lead] ** 2).sum(axis=1, dtype=np.float64), 0) + 1e-6).astype(units.dtype)
+
+
+def _vectors(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """As ``_matrix``, without Python's lists where no vector is odd."""
+    lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    values = lists.flatten()
+    if lists.null_count or values.null_count or len(values) != width * len(lists) or (np.diff(lists.offsets.to_numpy()) != width).any():
+        return _matrix(lists.to_pylist(), width)
+    return values.to_numpy().astype(np.float64).reshape(len(lists), width)
 
 
 def _lookup(lead: np.ndarray, width: int, least: float):
-    """The best live entry of a cell for each of its requests, and how many entries were compared in full."""
+    """The best live entry of a cell for each of its requests, and how many entries were compared in full.
+
+    Both sides are ordered by time, so most blocks without a live pair are not multiplied. Blocks are multiplied in single precision; only
+    pairs that may reach the request's best so far are compared in full."""
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        asked, held = asked.sort_by("at"), held.sort_by("start")
         ids, times = (asked.column(c).to_numpy() for c in ("query_id", "at"))
-        queries = _matrix(asked.column("e").to_pylist(), width)
+        queries = _vectors(asked.column("e"), width)
         sizes = np.linalg.norm(queries, axis=1)
-        unit = queries / np.maximum(sizes, 1e-300)[:, None]
-        rests = np.sqrt(np.maximum(1 - (unit[:, lead] ** 2).sum(axis=1), 0))
+        unit = (queries / np.maximum(sizes, 1e-300)[:, None]).astype(np.float32)
+        rests = _rests(unit, lead)
         entry, start, end = (held.column(c).to_numpy() for c in ("entry_id", "start", "end"))
-        rows = _matrix(held.column("e").to_pylist(), width)
+        rows = _vectors(held.column("e"), width)
         long = np.linalg.norm(rows, axis=1)
-        best: dict[int, tuple[float, int]] = {}
+        score, found = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
         seen = np.zeros(len(ids), np.int64)
-        for a in range(0, len(entry), ROWS):
-            own = slice(a, a + ROWS)
-            fit = np.flatnonzero(long[own] > 0) + a
-            q, r = candidates(unit, rows[fit] / long[fit][:, None], lead, rests, least)
-            r = fit[r]
-            live = (sizes[q] > 0) & (start[r] <= times[q]) & (times[q] < end[r]) & (entry[r] != ids[q])
-            q, r = q[live], r[live]
-            seen += np.bincount(q, minlength=len(ids))
+
+        def compare(q: np.ndarray, r: np.ndarray) -> None:
             scores = np.round(np.einsum("ij,ij->i", queries[q], rows[r]) / (sizes[q] * long[r]), 9)
-            for i in np.flatnonzero(scores >= least).tolist():
-                one = (-float(scores[i]), int(entry[r[i]]))
-                if one < best.get(int(q[i]), (np.inf, 0)):
-                    best[int(q[i])] = one
+            fit = scores >= least
+            q, scores, own = q[fit], scores[fit], entry[r[fit]]
+            order = np.lexsort((own, -scores, q))
+            q, first = np.unique(q[order], return_index=True)
+            scores, own = scores[order][first], own[order][first]
+            better = (scores > score[q]) | (scores == score[q]) & (own < found[q])
+            score[q[better]], found[q[better]] = scores[better], own[better]
+
+        for a in range(0, len(entry), ROWS):
+            fit = np.flatnonzero(long[a : a + ROWS] > 0) + a
+            if not len(fit):
+                continue
+            units = (rows[fit] / long[fit][:, None]).astype(np.float32)
+            first, last = np.searchsorted(times, (start[fit].min(), end[fit].max()))
+            for c in range(first, last, QUERY_BLOCK):
+                own = slice(c, min(c + QUERY_BLOCK, last))
+                q, r = candidates(unit[own], units, lead, rests[own], np.maximum(score[own], least))
+                q, r = q + c, fit[r]
+                live = (sizes[q] > 0) & (start[r] <= times[q]) & (times[q] < end[r]) & (entry[r] != ids[q])
+                q, r = q[live], r[live]
+                seen += np.bincount(q, minlength=len(ids))
+                for i in range(0, len(q), PAIRS):
+                    compare(q[i : i + PAIRS], r[i : i + PAIRS])
         some = np.flatnonzero(seen)
-        found = [best.get(i) for i in some.tolist()]
-        return pa.table({"query_id": pa.array(ids[some]), "entry_id": pa.array([x and x[1] for x in found], pa.int64()), "score": pa.array([x and -x[0] for x in found], pa.float64()), "compared": pa.array(seen[some])})
+        none = score[some] < least
+        return pa.table({"query_id": pa.array(ids[some]), "entry_id": pa.array(found[some], mask=none), "score": pa.array(score[some], mask=none), "compared": pa.array(seen[some])})
 
     return run
 
@@ -196,14 +234,14 @@ def _lookup(lead: np.ndarray, width: int, least: float):
 def _in_cells(asked: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests and entries by cells (theme, span, part, side), so that a request meets each entry of its theme that may be live, once.
 
-    A span is as long as the longest life of an entry, which so lies in two at most. Spans of many rows are cut in parts of some QUERY_BLOCK requests and
-    HELD_ENTRIES entries; every part of one side meets each of the other."""
+    A span is as long as the longest life of an entry, which so lies in two at most. Spans of many rows are cut in parts of some HELD_ENTRIES requests or
+    entries; every part of one side meets each of the other."""
     span = max(1, rows.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 1)
     at = lambda c: F.floor(F.col(c) / F.lit(span).cast("double")).cast("long")
     asked = asked.withColumn("span", at("at"))
     rows = rows.where("start < end").withColumn("span", F.explode(F.sequence(at("start"), at("end"))))
-    many = lambda df, most, name: df.groupBy("theme", "span").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    parts = written(many(asked, QUERY_BLOCK, "parts").join(many(rows, HELD_ENTRIES, "sides"), ["theme", "span"]), "cells")  # spans without one of both have no answer
+    many = lambda df, name: df.groupBy("theme", "span").agg(F.ceil(F.count("*") / HELD_ENTRIES).cast("int").alias(name))
+    parts = written(many(asked, "parts").join(many(rows, "sides"), ["theme", "span"]), "cells")  # spans without one of both have no answer
     part, side = (F.pmod(F.xxhash64(c), F.col(n)).cast("int") for c, n in (("query_id", "parts"), ("entry_id", "sides")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = asked.join(parts, ["theme", "span"]).select("theme", "span", part.alias("part"), every("sides").alias("side"), "query_id", "at", "e")
@@ -226,19 +264,23 @@ def cached_steps(requests: DataFrame, entries: DataFrame, least: float = 0.92, w
 
     Requests have query_id, ts, theme and embedding; entries entry_id, created_at, expires_at, theme and embedding. An entry lives from its
     creation on until it expires; it does not answer itself. With ``with_theme`` both themes must agree. Only entries whose life is near a request in time meet it: a pair is
-    compared in full only if the coordinates of most weight, and a bound on the others, allow ``least``; ``compared`` counts those pairs.
-    Vectors that are null, zero, with null components, or of another size than the largest are left out. Requests and entries meet in cells of bounded size."""
+    compared in full only if a product in single precision (of a high ``least`` over the coordinates of most weight, and a bound on the others) allows the request's best so far; ``compared`` counts those pairs.
+    Vectors that are null, zero, with null components, or of another size than the largest are left out. Requests and entries meet in cells of bounded size.
+    Both tables are read several times."""
     if least <= 0:
         raise ValueError("the least cosine must be above zero")
-    double = F.transform("embedding", lambda x: x.cast("double"))
+    kind = lambda df: "float" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    vector = lambda df: F.col("embedding").cast(f"array<{kind(df)}>").alias("e")
     theme = F.coalesce(F.col("theme").cast("string"), F.lit("")) if with_theme else F.lit("")
-    asked = requests.where("query_id is not null and embedding is not null and ts is not null").select(F.col("query_id").cast("long").alias("query_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), theme.alias("theme"), double.alias("e"))
+    asked = requests.where("query_id is not null and embedding is not null and ts is not null").select(F.col("query_id").cast("long").alias("query_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), theme.alias("theme"), vector(requests))
     rows = entries.where("entry_id is not null and embedding is not null and created_at is not null and expires_at is not null").select(
-        F.col("entry_id").cast("long").alias("entry_id"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("start"), F.unix_micros(F.col("expires_at").cast("timestamp")).alias("end"), theme.alias("theme"), double.alias("e")
+        F.col("entry_id").cast("long").alias("entry_id"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("start"), F.unix_micros(F.col("expires_at").cast("timestamp")).alias("end"), theme.alias("theme"), vector(entries)
     )
     width = rows.agg(F.max(F.size("e"))).first()[0] or 0
-    energies = rows.select("e").mapInArrow(_energies(width), "place int, energy double").groupBy("place").agg(F.sum("energy").alias("energy")).collect()
-    lead = np.array([r["place"] for r in sorted(energies, key=lambda r: (-r["energy"], r["place"]))[: max(1, int(width * LEADING))]], np.int64)
+    lead = np.arange(width)
+    if least >= TELLING:
+        energies = rows.select("e").mapInArrow(_energies(width), "place int, energy double").groupBy("place").agg(F.sum("energy").alias("energy")).collect()
+        lead = np.array([r["place"] for r in sorted(energies, key=lambda r: (-r["energy"], r["place"]))[: max(1, int(width * LEADING))]], np.int64)
     cell = ["theme", "span", "part", "side"]
     mine, held = _in_cells(asked, rows)
     out = mine.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(_lookup(lead, width, least), "query_id long, entry_id long, score double, compared long")

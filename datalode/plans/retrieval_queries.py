@@ -108,7 +108,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of all entries of the request's theme that live a day from their event on, if near enough (0.2 on these data)."""
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), "ts", F.col("event_type").alias("theme"))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(events, "vec_id")
+    rows = written(table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(events, "vec_id"), "steps")
     entries = rows.select(F.col("vec_id").alias("entry_id"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("INTERVAL 24 HOURS")).alias("expires_at"), "theme", "embedding")
     return cached_steps(rows.withColumnRenamed("vec_id", "query_id"), entries, 0.2, with_theme=True).select("query_id", "entry_id", "score")
 
